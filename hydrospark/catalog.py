@@ -1,4 +1,7 @@
 """All queries of the library and the DuckDB SQL that they are held against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from hydrospark.operators import evaluation, events, iterative, projections, rasters, scenes, scoring, spatial, tiles  # noqa: F401  each registers its queries
+from hydrospark.plans.registry import ORACLES, QUERIES  # noqa: F401
+from hydrospark.sources import scans  # noqa: F401
