@@ -230,12 +230,12 @@ def fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint",
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(corpus_ranks(docs, text) if ranks is None else ranks)
     plain = docs.drop(into)
-    at = plain.columns.index(text)
+    names, at = plain.columns, plain.columns.index(text)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(x or "").encode() for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([as_string(c) for c in chains(texts, shared.value)], pa.string())], [*plain.columns, into])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([as_string(c) for c in chains(texts, shared.value)], pa.string())], [*names, into])
 
     return plain.mapInArrow(add, plain.select("*", F.lit("").alias(into)).schema)
 

@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hydrospark.llm.common import whole_text
-from hydrospark.plans.scratch import drop_written, written
+from hydrospark.plans.components import components
+from hydrospark.plans.scratch import written
 
 WORDS = 3
 SEED = 42
@@ -181,26 +182,6 @@ def links(distinct: DataFrame, bits: int = NEAR_BITS, most_in_file: int = MOST_I
     return dealt.mapInArrow(work, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, table: str = "components") -> DataFrame:
-    """``edges`` (a, b) to (node, label): all nodes of a connected set have the least of them as label."""
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{table}-edges")
-    state = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), table)
-    while True:
-        # the least label of a node and its neighbours also goes to the node's own label, which pulls whole sets along
-        near = both.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        met = state.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("least"))
-        told = met.select("node", "least").union(met.select(F.col("label").alias("node"), "least")).groupBy("node").agg(F.min("least").alias("least"))
-        told = written(told, f"{table}-told")
-        jumped = told.join(told.select(F.col("node").alias("least"), F.col("least").alias("further")), "least", "left").select("node", F.coalesce("further", "least").alias("label"))
-        after = written(jumped, table)
-        changed = after.join(state.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
-        drop_written(told)
-        if not changed:
-            return after
-        drop_written(state)
-        state = after
-
-
 def near_duplicates(docs: DataFrame, n_words: int = WORDS, bits: int = NEAR_BITS) -> DataFrame:
     """(doc_id, text_hash, fp, label, component_id, n_links) of each row.
 
