@@ -74,11 +74,14 @@ def tilewise_mse(pixels: DataFrame, last_class: int = N_CLASSES - 1) -> DataFram
 
 def map_agreement(pixels: DataFrame) -> DataFrame:
     """IoU of each class between two runs (targ, pred), for each ROI and over all (null ROI); tiles with nodata are left out."""
-    whole = pixels.withColumn("worst", F.max("targ").over(Window.partitionBy("tile_id"))).where(F.col("worst") < IGNORED)
-    classes = whole.select("roi_id", F.explode(F.sequence(F.lit(0), F.lit(N_CLASSES - 1))).alias("class"), "targ", "pred")
+    # pixels become counts for each tile before anything else
+    counts = pixels.groupBy("roi_id", "tile_id", "targ", "pred").agg(F.count(F.lit(1)).alias("n"))
+    whole = counts.withColumn("worst", F.max("targ").over(Window.partitionBy("tile_id"))).where(F.col("worst") < IGNORED).groupBy("roi_id", "targ", "pred").agg(F.sum("n").alias("n"))
+    classes = whole.select("roi_id", F.explode(F.sequence(F.lit(0), F.lit(N_CLASSES - 1))).alias("class"), "targ", "pred", "n")
     c = F.col("class")
     both, either = (F.col("targ") == c) & (F.col("pred") == c), (F.col("targ") == c) | (F.col("pred") == c)
-    found = classes.groupingSets([["roi_id", "class"], ["class"]], "roi_id", "class").agg(F.count_if(both).alias("both_n"), F.count_if(either).alias("either_n"))
+    add = lambda when: F.sum(F.when(when, F.col("n")).otherwise(0))
+    found = classes.groupingSets([["roi_id", "class"], ["class"]], "roi_id", "class").agg(add(both).alias("both_n"), add(either).alias("either_n"))
     return found.withColumn("iou", F.try_divide(F.col("both_n").cast("double"), F.col("either_n")))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from hydrospark.functions.names import CLIMATE_ZONES, CONTINENTS, domain, values_sql
 from hydrospark.operators.projections import coastal_outlets, flood_impact
-from hydrospark.operators.spatial import box_area, overlap_join, points_in_areas, shared_area, spatial_join
+from hydrospark.operators.spatial import overlap_join, points_in_areas, shared_area, spatial_join
 from hydrospark.plans.registry import query
 
 
@@ -53,7 +53,7 @@ def uncovered_storms(pairs: DataFrame, chosen: DataFrame, storms: DataFrame) ->
 
 def storms_covering_sites(sites: DataFrame, storms: DataFrame, share: float = 0.8) -> DataFrame:
     """Storms that were there on a site's day and cover more than ``share`` of it."""
-    found = overlap_join(sites, storms.withColumnsRenamed({}), share)
+    found = overlap_join(sites, storms, share)
     return found.where(F.col("day").between(F.col("first_track"), F.col("last_track")))
 
 

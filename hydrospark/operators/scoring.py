@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hydrospark.operators.projections import argmax_class
@@ -83,11 +82,10 @@ def pixel_logreg(rows: DataFrame, label: str, rounds: int = 20) -> DataFrame:
 
 def pixel_logreg_scores(rows: DataFrame, weights: DataFrame) -> DataFrame:
     """Probability of each pixel by a weights table (three rows)."""
-    wide = weights.groupBy().pivot("feature", ["value", "around", "constant"]).agg(F.first("weight"))
-    w = wide.select(F.col("value").alias("w_value"), F.col("around").alias("w_around"), F.col("constant").alias("w_constant"))
+    w = {r["feature"]: r["weight"] for r in weights.collect()}
     around = focal(rows.select("roi_id", "gx", "gy", "value"), [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)], "roi_id").groupBy("roi_id", "gx", "gy").agg(F.avg("value").alias("around"))
-    z = F.col("value") * F.col("w_value") + F.col("around") * F.col("w_around") + F.col("w_constant")
-    return rows.join(around, ["roi_id", "gx", "gy"]).join(F.broadcast(w)).select("roi_id", "gx", "gy", (1 / (1 + F.exp(-z))).alias("p"))
+    z = F.col("value") * w["value"] + F.col("around") * w["around"] + w["constant"]
+    return rows.join(around, ["roi_id", "gx", "gy"]).select("roi_id", "gx", "gy", (1 / (1 + F.exp(-z))).alias("p"))
 
 
 # --- queries -------------------------------------------------------------------------------------------------

@@ -54,14 +54,12 @@ def best_balanced_tile(tiles: DataFrame) -> DataFrame:
     return tiles.groupBy("roi_id").agg(F.min_by("tile_id", F.struct(F.round(F.abs(share - 0.5), 9), "tile_id")).alias("tile_id"))
 
 
-def balance_score(rows: DataFrame, key: str) -> DataFrame:
-    """Mean over the values of ``key`` of the deviation of its share across partitions; 0 is balanced."""
-    n_parts = rows.select("part").distinct()
-    counts = rows.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n"))
-    # every value with every partition, so that missing ones count as 0
-    full = counts.select(key).distinct().join(F.broadcast(n_parts)).join(counts, [key, "part"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy(key))
-    return full.withColumn("share", share).groupBy(key).agg(F.stddev_pop("share").alias("s")).agg(F.round(F.avg("s"), 6).alias("score"))
+def balance_score(rows: DataFrame, key: str, parts: int = 5) -> DataFrame:
+    """Mean over the values of ``key`` of the deviation of its share across partitions 0 to parts - 1; 0 is balanced."""
+    # one column for each partition, so that missing ones count as 0
+    wide = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("part") == k).alias(f"p{k}") for k in range(parts)])
+    shares = wide.select(key, F.explode(F.array(*[F.col(f"p{k}") / F.col("n") for k in range(parts)])).alias("share"))
+    return shares.groupBy(key).agg(F.stddev_pop("share").alias("s")).agg(F.round(F.avg("s"), 6).alias("score"))
 
 
 def stop_at_first_flooded(tuplets: DataFrame, order: list[Column], least: int) -> DataFrame:
