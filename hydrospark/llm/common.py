@@ -23,11 +23,6 @@ def count_words(column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    """Packs all columns into ``row``, so that no name of theirs can clash with a helper column."""
-    return docs.select(F.struct("*").alias("row"))
-
-
 def checksum(text: Column) -> Column:
     """Unsigned crc32 of the UTF-8 bytes."""
     return F.crc32(text.cast("binary")).cast("long")
@@ -36,3 +31,10 @@ def checksum(text: Column) -> Column:
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the text 'null'."""
     return F.pmod(checksum(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))), F.lit(parts))
+
+
+def about(rows: DataFrame, key: str, n: int, most: int) -> DataFrame:
+    """About ``most`` of the ``n`` rows, the same ones each time: those whose key has a low hash; all if there are no more. Nothing is sorted."""
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * most / n))

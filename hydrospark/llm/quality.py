@@ -1,7 +1,7 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 Tasks turn each text into STATISTICS, plain numbers; they alone are the inputs. The trees are fitted to a
-bounded sample (``MOST_ROWS`` labelled rows, those with the least hashes of their ids): statistics are cut into
+bounded sample (about ``MOST_ROWS`` labelled rows, those with low hashes of their ids): statistics are cut into
 BINS quantile bins, and each level of a tree sums gradients by node, statistic and bin to find its splits. The
 fitted trees are four flat arrays, so that a task sends a batch of rows down all trees with array indexing.
 
@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hydrospark.llm.common import fold, whole_text
+from hydrospark.llm.common import about, fold, whole_text
 from hydrospark.plans.scratch import written
 
 MOST_ROWS = 20_000
@@ -138,12 +138,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def learn(stats: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS) -> Trees:
-    """Trees from the labelled rows of ``stats`` (doc_id, x); the driver gets at most ``most_rows`` of them."""
+    """Trees from about ``most_rows`` labelled rows of ``stats`` (doc_id, x), or all if there are no more; only they reach the driver."""
     rows = labels.select(F.col("doc_id").alias("l_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1))
-    found = stats.join(rows, F.col("doc_id") == F.col("l_id")).select("x", "y", F.md5(F.col("doc_id").cast("string")).alias("h"))
-    sample = found.orderBy("h", "y", "x").limit(most_rows).select("x", "y").toPandas()
+    rows = about(rows, "l_id", rows.count(), most_rows)
+    sample = stats.join(rows, F.col("doc_id") == F.col("l_id")).select("doc_id", "x", "y").toPandas()
     x = np.array(sample["x"].tolist(), np.float32).astype(float) if len(sample) else np.zeros((0, len(STATISTICS)))
-    return fit(x, sample["y"].to_numpy(float))
+    # in one order whatever the tasks were, as sums of floats depend on it
+    order = np.lexsort((*x.T, sample["y"], sample["doc_id"])) if len(sample) else np.zeros(0, int)
+    return fit(x[order], sample["y"].to_numpy(float)[order])
 
 
 def score(stats: DataFrame, trees: Trees) -> DataFrame:
