@@ -86,18 +86,17 @@ def encode(docs: DataFrame, text: str = "text", into: str = "ids", vocabulary: s
                     if len(known) < CACHED_WORDS:
                         known[word] = ids
                 found.append(ids)
-            ids, ends = joined(found, coded.indices.to_numpy(zero_copy_only=False), np.asarray(lists.offsets) - lists.offsets[0].as_py())
+            flat, size = np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(x) for x in found], np.int64)
+            ids, ends = joined(flat, size, coded.indices.to_numpy(zero_copy_only=False), np.asarray(lists.offsets) - lists.offsets[0].as_py())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], [*names, into])
 
     split = plain.select("*", words(whole_text(text), pattern).alias("split into words"))
     return split.mapInArrow(work, plain.select("*", F.array(F.lit(0)).alias(into)).schema)
 
 
-def joined(found: list[np.ndarray], which: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``found[i]`` for each i of ``which``, end to end, and where in that each of the ``ends`` (in words) comes."""
-    size = np.array([len(x) for x in found], np.int64)
+def joined(flat: np.ndarray, size: np.ndarray, which: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lists that lie end to end in ``flat`` with their ``size``: those that ``which`` names, end to end, and where in that each of the ``ends`` (in lists) comes."""
     start = np.concatenate(([0], np.cumsum(size)))
-    flat = np.concatenate(found) if found else np.zeros(0, np.int32)
     own = size[which]
     upto = np.concatenate(([0], np.cumsum(own)))
     ids = flat[np.arange(upto[-1]) + np.repeat(start[which] - upto[:-1], own)]

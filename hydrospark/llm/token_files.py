@@ -17,7 +17,6 @@ an empty table gives an empty set.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -36,92 +35,82 @@ from hydrospark.plans.scratch import new_path
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 ROWS_PER_PART = 5000
-CACHED_WORDS = 200_000
 NO_ID = -(1 << 63)
-CHUNK = 1000  # chunks that the tokenizer gets in one call
+CHUNK = 5000  # texts that are encoded together
+LOT = 1000  # texts or words that the tokenizer gets in one call
 
-# Inside a text, a blank between two characters that are not white space begins a new word under the
-# byte-level pattern, whatever stands around, so that texts may be cut before such blanks.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+# Blanks that have white space on both sides, or begin or end a text, may belong to a longer match.
+_SPACE = "\\t-\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000} "
+_ODD = f"^ | $|[{_SPACE}] | [{_SPACE}]"
 
 
 class Encoder:
-    """The tokenizers library, asked once for each distinct word."""
+    """The tokenizers library, asked once for each distinct word of a lot of texts.
+
+    A blank between two characters that are no white space begins a new match of the byte-level pattern,
+    whatever stands around it. So a text is cut before such blanks, and equal chunks have equal ids. Texts with
+    other blanks are encoded whole.
+    """
 
     def __init__(self, vocabulary: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.wide = self.tokenizer.get_vocab_size() > 1 << 16
-        self.known: dict[str, np.ndarray] = {}
+        names = self.tokenizer.get_vocab()
+        self.wide = max(names.values()) >= 1 << 16
+        self.opens = np.zeros(max(names.values()) + 1, bool)  # ids whose bytes begin with a blank
+        self.opens[[i for name, i in names.items() if name.startswith("Ġ")]] = True
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with the end id after it, and the bounds of each text's ids."""
-        # a text without odd white space is cut at each blank by Arrow; any other by the rule itself
-        plain = pc.invert(pc.match_substring_regex(texts, r"[^\S ]|  |^ | $|[^\x00-\x{2fff}]|[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}]"))
-        odd = np.flatnonzero(~plain.to_numpy(zero_copy_only=False))
-        lists = pc.split_pattern(texts, " ")
-        words = lists.flatten()
-        lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-        starts = np.concatenate(([0], np.cumsum(lengths)))
-        table = words.dictionary_encode()
-        which = table.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        n = len(table.dictionary)
-        used = np.zeros(n, bool)
-        skip = np.zeros(len(which), bool)
-        for i in odd:
-            skip[starts[i] : starts[i + 1]] = True
-        first = starts[:-1][lengths > 0]
-        inner = ~skip
-        inner[first] = False
-        used[which[inner]] = True
-        # word k of the dictionary with a blank before it is number k; other chunks have numbers from n on
-        wanted: list[str | None] = [f" {w}" if u else None for w, u in zip(table.dictionary.to_pylist(), used)]
-        extra: dict[str, int] = {}
-        heads = pc.list_element(lists.filter(pc.greater(pc.list_value_length(lists), 0)), 0) if len(first) else pa.array([], pa.string())
-        head_of = np.array([extra.setdefault(w, n + len(extra)) for w in heads.to_pylist()], np.int64)
-        which = which.copy()
-        which[first] = head_of
-        own: list[np.ndarray] = []
-        at = 0
-        odd_set = {int(i) for i in odd}
-        if odd_set:
-            all_texts = texts
-            for i in sorted(odd_set):
-                own.append(which[at : starts[i]])
-                parts = cut(all_texts[i].as_py())
-                own.append(np.array([extra.setdefault(w, n + len(extra)) for w in parts], np.int64))
-                lengths[i] = len(parts)
-                at = starts[i + 1]
-            own.append(which[at:])
-            which = np.concatenate(own)
-        wanted += list(extra)
-        found = self.ids_of(wanted)
-        # the end id is one more chunk after each text's chunks
-        found.append(np.array([END_ID], np.int32))
-        ends = np.cumsum(lengths)
-        which = np.insert(which, ends, len(found) - 1)
-        return joined(found, which, np.concatenate(([0], ends + np.arange(1, len(ends) + 1))))
-
-    def ids_of(self, wanted: list[str | None]) -> list[np.ndarray]:
-        none = np.zeros(0, np.int32)
-        found = [none if w is None or w == "" else self.known.get(w) for w in wanted]
-        missing = [i for i, x in enumerate(found) if x is None]
-        for a in range(0, len(missing), CHUNK):
-            some = missing[a : a + CHUNK]
-            for i, e in zip(some, self.tokenizer.encode_batch_fast([wanted[i] for i in some], add_special_tokens=False)):
-                found[i] = ids = np.array(e.ids, np.int32)
-                if len(self.known) < CACHED_WORDS and len(wanted[i]) < 64:
-                    self.known[wanted[i]] = ids
-        return found
-
-
-def cut(text: str) -> list[str]:
-    """The text in chunks that the tokenizer treats apart from each other."""
-    bounds = [0, *(m.start() for m in _CUT.finditer(text)), len(text)]
-    return [text[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+        parts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.concatenate(([0], np.cumsum(parts)))
+        heads = pc.take(coded.dictionary, pa.array(codes[at[:-1]])).to_pylist()
+        inner = np.ones(len(codes), bool)
+        inner[at[:-1]] = False
+        used, where = np.unique(codes[inner], return_inverse=True)
+        distinct = {w: i for i, w in enumerate(dict.fromkeys(heads))}
+        found, sizes = zip(self.words(pc.take(coded.dictionary, pa.array(used)).to_pylist()), self.wholes(list(distinct)), self.wholes(texts.filter(pa.array(odd)).to_pylist()), (np.array([END_ID], np.int32), np.ones(1, np.int64)))
+        codes[inner] = where
+        codes[at[:-1]] = [len(used) + distinct[w] for w in heads]
+        # chunks of each text in turn, and the end id as one more
+        counts = np.ones(len(texts), np.int64)
+        counts[~odd] = parts
+        begin = np.concatenate(([0], np.cumsum(counts + 1)))
+        which = np.full(begin[-1], len(used) + len(distinct) + int(odd.sum()), np.int64)
+        which[np.repeat(begin[:-1][~odd] - at[:-1], parts) + np.arange(len(codes))] = codes
+        which[begin[:-1][odd]] = len(used) + len(distinct) + np.arange(int(odd.sum()))
+        return joined(np.concatenate(found), np.concatenate(sizes), which, begin)
+
+    def wholes(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each text, end to end, and their numbers."""
+        found = [np.array(e.ids, np.int32) for a in range(0, len(texts), LOT) for e in self.tokenizer.encode_batch_fast(texts[a : a + LOT], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(x) for x in found], np.int64)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each word with a blank before it, end to end, and their numbers.
+
+        The words of a lot are one text; only the ids that begin with a blank open a word.
+        """
+        found, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(words), LOT):
+            some = words[a : a + LOT]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(f" {w}" for w in some)], add_special_tokens=False)[0].ids, np.int32)
+            opens = np.flatnonzero(self.opens[ids])
+            if len(opens) == len(some):
+                found.append(ids)
+                sizes.append(np.diff(np.append(opens, len(ids))))
+            else:
+                one, each = self.wholes([f" {w}" for w in some])
+                found.append(one)
+                sizes.append(each)
+        return np.concatenate(found), np.concatenate(sizes)
 
 
 def write_files(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
