@@ -1,9 +1,9 @@
 """Toxicity: a linear-chain conditional random field over tokens.
 
-Labels say which documents are toxic, not where. So Spark first counts, over all labelled documents, in how
-many toxic and other ones each word and each word beginning occurs; those whose log-likelihood ratio is beyond
-chance are cues. In toxic documents of a bounded sample, tokens that hold a cue are labelled toxic, all others
-not. A chain of two states (plain, toxic) is then fitted to these labelled tokens: a weight for each word and
+Labels say which documents are toxic, not where. So Spark first counts, in a bounded sample of labelled
+documents (about ``MOST_DOCS`` of each label), in how many toxic and other ones each word and each word beginning
+occurs; those whose log-likelihood ratio is beyond chance are cues. In toxic documents of the sample, tokens
+that hold a cue are labelled toxic, all others not. A chain of two states (plain, toxic) is then fitted to these labelled tokens: a weight for each word and
 beginning that is a cue, for the strength of a token's cue, and for each step from state to state.
 
 Scoring a text: forward-backward gives each token its marginal of being toxic. The document's score is a
@@ -18,6 +18,7 @@ share; words of any length are taken whole; equal texts get equal scores.
 from __future__ import annotations
 
 import dataclasses
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -25,30 +26,31 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hydrospark.llm.common import fold, whole_text
+from hydrospark.llm.common import about, fold, whole_text
+from hydrospark.plans.scratch import written
 
-MOST_DOCS = 4_000  # of each label that the chain is fitted to
+MOST_DOCS = 5_000  # of each label that is learned from
 MOST_CUES = 200_000  # the strongest ones are kept
 LEAST_TOXIC = 3  # documents that a cue must be seen in
 LEAST_G2 = 20.0
+LEAST_ODDS = 2.0  # log of how many times more often a cue is in toxic documents
 BEGINNINGS = (4, 5, 6)  # code points
-STEPS, RATE, DECAY = 60, 0.3, 1e-3
+STEPS, RATE, DECAY = 50, 0.3, 1e-3
 STRENGTHS = 8
-SEGMENT = 100  # tokens of a training sequence
-KNOWN_WORDS = 300_000  # whose features a worker keeps
+SEGMENT = 50  # tokens of a training sequence
+KNOWN_WORDS = 100_000  # whose features a task keeps
 
 _WORD = r"[^\x20\x09-\x0D.,!?;:\"()]+"  # what is between white space and points
 _WORDS = re.compile(_WORD)
 
 
-def cues(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict[str, float]:
-    """Log-odds of the words ('=word') and beginnings ('^begin') that tell toxic documents from others."""
-    rows = labels.select(F.col("doc_id").alias("l_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1)).distinct()
-    known = docs.select("doc_id", F.array_distinct(F.regexp_extract_all(F.lower(whole_text()), F.lit(f"(?U){_WORD}"), F.lit(0))).alias("words")).join(rows, F.col("doc_id") == F.col("l_id"))
-    totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+def cues(sample: DataFrame) -> dict[str, float]:
+    """Log-odds of the words ('=word') and beginnings ('^begin') that tell toxic texts from others, of a ``sample`` (text, y)."""
+    totals = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, other = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not other:
         return {}
+    known = sample.select("y", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(f"(?U){_WORD}"), F.lit(0))).alias("words"))
     longer = lambda k: lambda w: F.char_length(w) > k
     begin = lambda k: lambda w: F.concat(F.lit("^"), F.substring(w, 1, k))
     begins = [F.transform(F.filter("words", longer(k)), begin(k)) for k in BEGINNINGS]
@@ -59,7 +61,7 @@ def cues(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> dict[str,
     seen = (a + b) / (toxic + other)
     g2 = 2 * (part(a, toxic, seen) + part(b, other, seen) + part(toxic - a, toxic, 1 - seen) + part(other - b, other, 1 - seen))
     odds = F.log((a + 0.5) / (toxic + 1.0)) - F.log((b + 0.5) / (other + 1.0))
-    found = counted.where((a >= LEAST_TOXIC) & (a * other > b * toxic)).select("cue", odds.alias("odds"), g2.alias("g2")).where(F.col("g2") >= LEAST_G2)
+    found = counted.where((a >= LEAST_TOXIC) & (a * other > b * toxic)).select("cue", odds.alias("odds"), g2.alias("g2")).where((F.col("g2") >= LEAST_G2) & (F.col("odds") >= LEAST_ODDS))
     return {r["cue"]: r["odds"] for r in found.orderBy(F.desc("g2"), "cue").limit(MOST_CUES).collect()}
 
 
@@ -74,68 +76,69 @@ class Field:
     first: np.ndarray  # state of the first token
     link: np.ndarray  # constant, weight of the largest marginal's log-odds, weight of the log of their sum
 
-    def features(self, word: str) -> list[int]:
+    def features(self, word: str) -> tuple[int, ...]:
         """Numbers of the features beyond the common one; none for most words."""
         low = word.lower()
-        found = [self.cue_at[c] for c in (f"={low}", *(f"^{low[:k]}" for k in BEGINNINGS if len(low) > k)) if c in self.cue_at]
+        found = tuple(self.cue_at[c] for c in (f"={low}", *(f"^{low[:k]}" for k in BEGINNINGS if len(low) > k)) if c in self.cue_at)
         if not found:
             return found
         strongest = max(self.odds[i] for i in found)
-        return [*found, len(self.odds) + int(np.clip(strongest, 0, STRENGTHS - 1))]
+        return *found, len(self.odds) + int(np.clip(strongest, 0, STRENGTHS - 1))
 
 
 def tokens(text: str) -> list[str]:
     return _WORDS.findall(text)
 
 
-def marginals(push: np.ndarray, sizes: np.ndarray, steps: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def marginals(push: np.ndarray, sizes: np.ndarray, steps: np.ndarray, first: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over many chains at once.
 
     ``push`` holds, chain after chain (longest first), how much more toxic than plain each token is. Returns
-    each token's marginal, and the expected steps of each chain from state to state, summed: (2, 2).
+    each token's marginal and, where it is told how many ``times`` each chain counts, the expected steps from
+    state to state, summed: (2, 2).
     """
     n, total = len(sizes), len(push)
     base = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
     longest = int(sizes[0]) if n else 0
     alive = np.searchsorted(-sizes, -np.arange(longest), side="left")  # chains that have a token at each place
     emit = np.exp(np.clip(push, -30, 30))
-    move, begin = np.exp(steps), np.exp(first)
-    forward, back = np.empty((total, 2)), np.empty((total, 2))
+    (stay, fall), (rise, last) = np.exp(steps).T  # from plain and from toxic to plain; the same to toxic
+    # odds of toxic against plain: of what came up to a token, and of what comes after it
+    forward, back = np.empty(total), np.empty(total)
     for t in range(longest):
         at = base[: alive[t]] + t
-        if t == 0:
-            now = np.tile(begin, (len(at), 1))
+        if t:
+            before = forward[at - 1]
+            forward[at] = (rise + before * last) / (stay + before * fall) * emit[at]
         else:
-            now = forward[at - 1] @ move
-        now[:, 1] *= emit[at]
-        forward[at] = now / now.sum(1, keepdims=True)
+            forward[at] = np.exp(first[1] - first[0]) * emit[at]
     pairs = np.zeros((2, 2))
     for t in range(longest - 1, -1, -1):
         at = base[: alive[t]] + t
-        now = np.ones((len(at), 2))
-        m = alive[t + 1] if t + 1 < longest else 0
-        if m:
-            after = back[at[:m] + 1].copy()
-            after[:, 1] *= emit[at[:m] + 1]
-            now[:m] = after @ move.T
-            joint = forward[at[:m], :, None] * move * after[:, None, :]
-            pairs += (joint / joint.sum((1, 2), keepdims=True)).sum(0)
-        back[at] = now / now.sum(1, keepdims=True)
-    both = forward * back
-    return both[:, 1] / both.sum(1), pairs
-
-
-def _arranged(field: Field, texts: list[str], known: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        back[at] = 1.0
+        if t + 1 < longest:
+            at = at[: alive[t + 1]]
+            after = emit[at + 1] * back[at + 1]
+            back[at] = (fall + last * after) / (stay + rise * after)
+            if times is not None:
+                here = forward[at]
+                joint = np.stack((np.full(len(at), stay), rise * after, here * fall, here * last * after))
+                pairs += (joint @ (times[: len(at)] / joint.sum(0))).reshape(2, 2)
+    odds = forward * back
+    return odds / (1 + odds), pairs
+
+
+def _arranged(field: Field, texts: list[str], known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Order of the texts (longest first), their sizes, and (token, feature) of all features in that order."""
     lists = []
-    if len(known) > KNOWN_WORDS:
-        known.clear()
     for text in texts:
         words, hits = tokens(text), []
         for i, w in enumerate(words):
             found = known.get(w)
             if found is None:
-                found = known[w] = field.features(w)
+                found = field.features(w)
+                if len(known) < KNOWN_WORDS:
+                    known[w] = found
             if found:
                 hits.append((i, found))
         lists.append((len(words), hits))
@@ -148,14 +151,23 @@ def _arranged(field: Field, texts: list[str], known: dict[str, list[int]]) -> tu
     return order, sizes[order], token, feature
 
 
-def fit(texts: list[str], toxic: np.ndarray, odds: dict[str, float]) -> Field:
-    """The chain and the document score from a sample of texts with their labels."""
+def _pushes(field: Field, total: int, token: np.ndarray, feature: np.ndarray) -> np.ndarray:
+    return field.weights[-1] + np.bincount(token, field.weights[feature], total)
+
+
+def fit(texts: list[str], toxic: np.ndarray, odds: dict[str, float], scale: tuple[float, float] = (1.0, 1.0)) -> Field:
+    """The chain and the document score from a sample of texts with their labels.
+
+    ``scale`` tells how many rows a sampled one stands for, of label 0 and of label 1. The chain is fitted to
+    segments of whole texts. Segments without a cue are alike if they are of one length: they are worked on
+    once and counted as often as they occur.
+    """
     names = sorted(odds)
-    n_cues = len(names)
-    field = Field({c: i for i, c in enumerate(names)}, np.array([odds[c] for c in names]), np.zeros(n_cues + STRENGTHS + 1), np.zeros((2, 2)), np.zeros(2), np.zeros(3))
-    share = float(np.clip(toxic.mean(), 1e-3, 1 - 1e-3)) if len(toxic) else 0.5
+    field = Field({c: i for i, c in enumerate(names)}, np.array([odds[c] for c in names]), np.zeros(len(names) + STRENGTHS + 1), np.zeros((2, 2)), np.zeros(2), np.zeros(3))
+    rows = np.array(scale)[toxic] if len(toxic) else np.zeros(0)
+    share = float(np.clip((toxic * rows).sum() / rows.sum(), 1e-3, 1 - 1e-3)) if len(toxic) else 0.5
     field.link[0] = np.log(share / (1 - share))
-    if not n_cues or not len(toxic) or toxic.min() == toxic.max():
+    if not names or not len(toxic) or toxic.min() == toxic.max():
         return field
     order, sizes, token, feature = _arranged(field, texts, {})
     total = int(sizes.sum())
@@ -163,48 +175,51 @@ def fit(texts: list[str], toxic: np.ndarray, odds: dict[str, float]) -> Field:
     hit = np.zeros(total, bool)
     hit[token] = True
     truth = hit & (toxic[order] == 1)[owner]
-    # the chain is fitted to segments: long texts would be one long walk, token by token
-    cuts, bounds = np.concatenate([np.arange(0, n, SEGMENT) for n in sizes]), np.concatenate([np.minimum(np.arange(0, n, SEGMENT) + SEGMENT, n) for n in sizes])
-    lengths = (bounds - cuts).astype(np.int64)
-    by_length = np.argsort(-lengths, kind="stable")
+    # segments, and which of them hold a cue
+    pieces = -(-sizes // SEGMENT)
+    lengths = np.full(int(pieces.sum()), SEGMENT, np.int64)
+    last = np.cumsum(pieces)[pieces > 0] - 1
+    lengths[last] = (sizes - (pieces - 1) * SEGMENT)[pieces > 0]
     starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-    new_starts = np.empty_like(starts)
-    new_starts[by_length] = np.concatenate(([0], np.cumsum(lengths[by_length])[:-1]))
-    moved = np.arange(total) + np.repeat(new_starts - starts, lengths)
-    token = moved[token]
-    truth_at = np.empty(total, bool)
-    truth_at[moved] = truth
-    truth, whole_sizes, sizes = truth_at, sizes, lengths[by_length]
-    back_at = moved  # where a token of the whole texts stands among the segments
-    state = truth.astype(int)
-    base = np.concatenate(([0], np.cumsum(sizes)[:-1]))[sizes > 0]
-    inner = np.ones(total, bool)
+    of_token = np.repeat(np.arange(len(lengths)), lengths)
+    with_cue = np.zeros(len(lengths), bool)
+    with_cue[of_token[token]] = True
+    plain, plain_times = np.unique(lengths[~with_cue], return_counts=True)
+    kept = np.flatnonzero(with_cue)
+    new_lengths = np.concatenate((lengths[kept], plain))
+    by_length = np.argsort(-new_lengths, kind="stable")
+    times = np.concatenate((np.ones(len(kept)), plain_times))[by_length]
+    new_starts = np.empty(len(new_lengths), np.int64)
+    new_starts[by_length] = np.concatenate(([0], np.cumsum(new_lengths[by_length])[:-1]))
+    shift = np.zeros(len(lengths), np.int64)
+    shift[kept] = new_starts[: len(kept)] - starts[kept]
+    at = token + shift[of_token[token]]
+    n, chain_sizes = int(new_lengths.sum()), new_lengths[by_length]
+    counts = np.repeat(times, chain_sizes)
+    state = np.zeros(n, int)
+    state[at] = truth[token]
+    base = np.concatenate(([0], np.cumsum(chain_sizes)[:-1]))
+    inner = np.ones(n, bool)
     inner[base] = False
     seen = np.zeros((2, 2))
-    np.add.at(seen, (state[:-1][inner[1:]], state[1:][inner[1:]]), 1)
-    begun = np.bincount(state[base], minlength=2).astype(float)
-    real = np.zeros_like(field.weights)
-    np.add.at(real, feature, truth[token])
-    real[-1] = truth.sum()
+    np.add.at(seen, (state[:-1][inner[1:]], state[1:][inner[1:]]), counts[1:][inner[1:]])
+    begun = np.bincount(state[base], times, minlength=2)
+    real = np.bincount(feature, state[at], len(field.weights)).astype(float)
+    real[-1] = state.sum()
     # the chance of a step is near what is counted: a good start for the ascent
     field.steps[:] = np.log((seen + 1) / (seen + 1).sum(1, keepdims=True))
     field.first[:] = np.log((begun + 1) / (begun + 1).sum())
-    scale = [np.full(field.weights.shape, 1e-6), np.full((2, 2), 1e-6)]
+    moved = [np.full(field.weights.shape, 1e-6), np.full((2, 2), 1e-6)]
     for _ in range(STEPS):
-        push = np.full(total, field.weights[-1])
-        np.add.at(push, token, field.weights[feature])
-        m, pairs = marginals(push, sizes, field.steps, field.first)
-        expected = np.bincount(feature, m[token], len(field.weights))
-        expected[-1] = m.sum()
+        m, pairs = marginals(_pushes(field, n, at, feature), chain_sizes, field.steps, field.first, times)
+        expected = np.bincount(feature, m[at], len(field.weights))
+        expected[-1] = (m * counts).sum()
         for k, (value, grad) in enumerate(((field.weights, real - expected - DECAY * field.weights), (field.steps, seen - pairs - DECAY * field.steps))):
-            scale[k] += grad**2
-            value += RATE * grad / np.sqrt(scale[k])
-    push = np.full(total, field.weights[-1])
-    np.add.at(push, token, field.weights[feature])
+            moved[k] += grad**2
+            value += RATE * grad / np.sqrt(moved[k])
     # the score is fitted to the marginals of whole texts, as it is used
-    m, _ = marginals(push[back_at], whole_sizes, field.steps, field.first)
-    x = _summary(m, owner, len(whole_sizes))
-    field.link[:] = _logistic(x, toxic[order].astype(float))
+    m, _ = marginals(_pushes(field, total, token, feature), sizes, field.steps, field.first)
+    field.link[:] = _logistic(_summary(m, owner, len(sizes)), toxic[order].astype(float), rows[order])
     return field
 
 
@@ -216,37 +231,39 @@ def _summary(m: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.stack((np.ones(n), np.log(top / (1 - top)), np.log1p(np.where(total < 0.01, 0, total))), axis=1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression by Newton steps, slightly ridged."""
+def _logistic(x: np.ndarray, y: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """Logistic regression by Newton steps, slightly ridged; each row counts so many times."""
     w = np.zeros(x.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(x.shape[1])
-        w += np.linalg.solve(h, x.T @ (y - p) - 0.1 * w)
+        h = (x * (times * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(x.shape[1])
+        w += np.linalg.solve(h, x.T @ (times * (y - p)) - 0.1 * w)
     return w
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_docs: int = MOST_DOCS) -> Field:
-    """Cues from all labelled documents; the chain from at most ``most_docs`` of each label, those with the least hashes."""
-    odds = cues(docs, labels, label)
+    """Cues and chain from about ``most_docs`` labelled documents of each label, or all if there are no more."""
     rows = labels.select(F.col("doc_id").alias("l_id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1)).distinct()
+    counted = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     # which ones is decided without their texts
     picked = None
     for y in (0, 1):
-        some = rows.where(F.col("y") == y).orderBy(F.md5(F.col("l_id").cast("string")), "l_id").limit(most_docs)
+        some = about(rows.where(F.col("y") == y), "l_id", counted.get(y, 0), most_docs)
         picked = some if picked is None else picked.union(some)
-    sample = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("l_id")).select("text", "y", F.md5(F.col("doc_id").cast("string")).alias("h"))
+    # about 2 * most_docs ids at most, so they may be broadcast; the sample's texts are written once and read twice
+    sample = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(picked), F.col("doc_id") == F.col("l_id"))
+    sample = written(sample.select("text", "y", F.md5(F.col("doc_id").cast("string")).alias("h")), "toxicity-sample")
+    odds = cues(sample)
+    scale = tuple(max(1.0, counted.get(y, 0) / most_docs) for y in (0, 1))
 
-    # the fit is one task over a bounded sample, on an executor
+    # the fit is one task over a bounded sample, on an executor; repartition keeps the reading of the sample apart
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-
         found = sorted((h, t, y) for b in batches for t, y, h in zip(*(c.to_pylist() for c in b.columns)))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([t for _, t, _ in found], np.array([y for *_, y in found]), odds))], pa.binary())], ["field"])
-
-    import pickle
+        field = fit([t for _, t, _ in found], np.array([y for *_, y in found], int), odds, scale)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(field)], pa.binary())], ["field"])
 
-    return pickle.loads(sample.coalesce(1).mapInArrow(work, "field binary").first()["field"])
+    found = sample.repartition(1).mapInArrow(work, "field binary").first()
+    return pickle.loads(found["field"]) if found else fit([], np.zeros(0, int), {})
 
 
 def score(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
@@ -270,11 +287,10 @@ def score(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
     return plain.mapInArrow(work, example.schema)
 
 
-def scored(field: Field, texts: list[str], known: dict[str, list[int]]) -> tuple[np.ndarray, list[list[dict]]]:
+def scored(field: Field, texts: list[str], known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, list[list[dict]]]:
     order, sizes, token, feature = _arranged(field, texts, known)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    push = np.full(int(sizes.sum()), field.weights[-1])
-    np.add.at(push, token, field.weights[feature])
+    push = _pushes(field, int(sizes.sum()), token, feature)
     m, _ = marginals(push, sizes, field.steps, field.first)
     value = np.empty(len(texts))
     value[order] = 1 / (1 + np.exp(-np.clip(_summary(m, owner, len(sizes)) @ field.link, -30, 30)))
