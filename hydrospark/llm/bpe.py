@@ -14,6 +14,7 @@ ordinary text; every byte string can be encoded, since all single bytes have a r
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 from collections.abc import Iterator
@@ -24,11 +25,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hydrospark.llm.common import whole_text
+from hydrospark.llm.common import small_batches, tidy, whole_text
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
-CACHED_WORDS = 200_000  # words that a worker keeps from batch to batch
+CACHED_WORDS = 100_000  # words that a task keeps from lot to lot
+LOT = 500  # rows that are worked on at once
 MAP_BUCKETS = 1 << 16
 
 
@@ -75,23 +77,27 @@ def encode(docs: DataFrame, text: str = "text", into: str = "ids", vocabulary: s
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = read_ranks(vocabulary)
-        known: dict[str, np.ndarray] = {}
-        for batch in batches:
-            lists = batch.column(len(names))
-            coded = lists.flatten().dictionary_encode()
-            found = []
-            for word in coded.dictionary.to_pylist():
-                if (ids := known.get(word)) is None:
-                    ids = np.array(fold(word.encode(), ranks), np.int32)
-                    if len(known) < CACHED_WORDS:
-                        known[word] = ids
-                found.append(ids)
-            flat, size = np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(x) for x in found], np.int64)
-            ids, ends = joined(flat, size, coded.indices.to_numpy(zero_copy_only=False), np.asarray(lists.offsets) - lists.offsets[0].as_py())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], [*names, into])
+        known: dict[str, bytes] = {}  # ids of a word as 32-bit integers
+        for whole in batches:
+            for at in range(0, whole.num_rows, LOT):
+                batch = whole.slice(at, LOT)
+                lists = batch.column(len(names))
+                coded = lists.flatten().dictionary_encode()
+                found = []
+                for word in coded.dictionary.to_pylist():
+                    if (ids := known.get(word)) is None:
+                        ids = array.array("i", fold(word.encode(), ranks)).tobytes()
+                        if len(known) < CACHED_WORDS:
+                            known[word] = ids
+                    found.append(ids)
+                flat, size = np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+                ends = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+                ids, ends = joined(flat, size, coded.indices.to_numpy(zero_copy_only=False), ends.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], [*names, into])
 
     split = plain.select("*", words(whole_text(text), pattern).alias("split into words"))
-    return split.mapInArrow(work, plain.select("*", F.array(F.lit(0)).alias(into)).schema)
+    small_batches(docs)
+    return split.mapInArrow(tidy(work), plain.select("*", F.array(F.lit(0)).alias(into)).schema)
 
 
 def joined(flat: np.ndarray, size: np.ndarray, which: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,19 +118,22 @@ def decode(docs: DataFrame, ids: str = "ids", into: str = "decoded", vocabulary:
         ranks = read_ranks(vocabulary)
         pieces = pa.array([p for p, _ in sorted(ranks.items(), key=lambda x: x[1])], pa.large_binary())
         places = np.array(sorted(ranks.values()))
-        for batch in batches:
-            lists = batch.column(at)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            bytes_of = pieces.take(pa.array(np.searchsorted(places, flat)))
-            _, offsets, data = bytes_of.buffers()
-            upto = np.frombuffer(offsets, np.int64)[: len(flat) + 1]
-            ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
-            bounds = upto[ends.astype(np.int64)]
-            whole = memoryview(data or b"")
-            out = [bytes(whole[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary(), mask=lists.is_null().to_numpy(zero_copy_only=False))], [*names, into])
-
-    return plain.mapInArrow(work, plain.select("*", F.lit(b"").alias(into)).schema)
+        for every in batches:
+            for start in range(0, every.num_rows, LOT):
+                batch = every.slice(start, LOT)
+                lists = batch.column(at)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                bytes_of = pieces.take(pa.array(np.searchsorted(places, flat).astype(np.int32)))
+                _, offsets, data = bytes_of.buffers()
+                upto = np.frombuffer(offsets, np.int64)[: len(flat) + 1]
+                ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))))
+                bounds = upto[ends.astype(np.int64)]
+                whole = memoryview(data or b"")
+                out = [bytes(whole[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary(), mask=lists.is_null().to_numpy(zero_copy_only=False))], [*names, into])
+
+    small_batches(docs)
+    return plain.mapInArrow(tidy(work), plain.select("*", F.lit(b"").alias(into)).schema)
 
 
 def rank_map(vocabulary: str = VOCABULARY, buckets: int = MAP_BUCKETS) -> Column:

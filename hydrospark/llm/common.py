@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -38,3 +43,26 @@ def about(rows: DataFrame, key: str, n: int, most: int) -> DataFrame:
     if n <= most:
         return rows
     return rows.where(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * most / n))
+
+
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Lowers the session's rows for each Arrow batch to BATCH_ROWS: a row is a whole text, and tasks hold a few batches at once."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+
+def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` over batches, after which the worker, which waits for other tasks, gives back what Arrow's pool and the C heap keep of freed memory."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run

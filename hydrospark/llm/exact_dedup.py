@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hydrospark.llm.common import whole_text
+from hydrospark.llm.common import small_batches, tidy, whole_text
 from hydrospark.plans.scratch import written
 
 BUCKET_BYTES = 4 << 20  # an overfull bucket holds more
@@ -59,7 +59,8 @@ def folded(rows: DataFrame) -> DataFrame:
                 seen = {}
         yield sums(seen)
 
-    return rows.select(F.col("doc_id").cast("long"), "h", "digest", "text").mapInArrow(fold, "h long, digest binary, text string, n long, top long")
+    small_batches(rows)
+    return rows.select(F.col("doc_id").cast("long"), "h", "digest", "text").mapInArrow(tidy(fold), "h long, digest binary, text string, n long, top long")
 
 
 def directory(counts: dict[int, int], limit: int, most_depth: int = MOST_DEPTH) -> tuple[int, list[int]]:
@@ -138,7 +139,7 @@ def build_index(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
 
     dealt = folded(rows).mapInArrow(bucket_of, "bucket int, h long, digest binary, text string, n long, top long")
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "h", F.col("text").isNull(), "digest")
-    return written(dealt.mapInArrow(own, "bucket int, h long, link int, digest binary, keep_id long, group_size long"), "hash-index")
+    return written(dealt.mapInArrow(tidy(own), "bucket int, h long, link int, digest binary, keep_id long, group_size long"), "hash-index")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hydrospark.llm.common import whole_text
+from hydrospark.llm.common import small_batches, tidy, whole_text
 
 WINDOW = 16  # bytes of a feature
 NEAR = 32  # windows of a neighbourhood
@@ -220,7 +220,8 @@ def corpus_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["bin", "n"])
 
     counts = np.zeros(BINS + 1, np.int64)
-    for row in docs.select(whole_text(text).alias("text")).mapInArrow(count, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+    small_batches(docs)
+    for row in docs.select(whole_text(text).alias("text")).mapInArrow(tidy(count), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         counts[row["bin"]] = row["n"]
     return ranks_of(counts)
 
@@ -237,7 +238,7 @@ def fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint",
             texts = [(x or "").encode() for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([as_string(c) for c in chains(texts, shared.value)], pa.string())], [*names, into])
 
-    return plain.mapInArrow(add, plain.select("*", F.lit("").alias(into)).schema)
+    return plain.mapInArrow(tidy(add), plain.select("*", F.lit("").alias(into)).schema)
 
 
 def in_blocks(docs: DataFrame) -> DataFrame:
@@ -309,4 +310,4 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return in_blocks(docs).mapInArrow(compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_blocks(docs).mapInArrow(tidy(compare), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

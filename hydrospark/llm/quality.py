@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hydrospark.llm.common import about, fold, whole_text
+from hydrospark.llm.common import about, fold, small_batches, tidy, whole_text
 from hydrospark.plans.scratch import written
 
 MOST_ROWS = 20_000
@@ -69,7 +69,8 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             bounds = np.arange(0, len(flat) + 1, len(STATISTICS), dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["doc_id", "x"])
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<float>")
+    small_batches(docs)
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(tidy(work), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<float>")
 
 
 @dataclasses.dataclass

@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hydrospark.llm.common import whole_text
+from hydrospark.llm.common import small_batches, tidy, whole_text
 from hydrospark.plans.components import components
 from hydrospark.plans.scratch import written
 
@@ -97,7 +97,8 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp", n_words:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*others, into])
 
     plain = docs.select(*others, whole_text(text).alias("whole text"))
-    return plain.mapInArrow(work, plain.select(*others, F.lit(0).cast("long").alias(into)).schema)
+    small_batches(docs)
+    return plain.mapInArrow(tidy(work), plain.select(*others, F.lit(0).cast("long").alias(into)).schema)
 
 
 def spanning(members: np.ndarray, others: np.ndarray | None, bits: int) -> list[tuple[int, int]]:

@@ -113,6 +113,19 @@ class Encoder:
         return np.concatenate(found), np.concatenate(sizes)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in batches of ``rows``, whatever the session's batches are."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            held.append(batch.slice(at, rows))
+            if sum(b.num_rows for b in held) >= rows:
+                yield pa.concat_batches(held)
+                held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def write_files(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
     """Encodes ``docs`` (doc_id, text) and writes a set of files; returns the table of its partitions:
     (part, docs, ids, width, first_doc, start), ordered by part, all of it one row for each partition."""
@@ -132,15 +145,13 @@ def write_files(docs: DataFrame, folder: str | None = None, vocabulary: str = VO
         temporary = {x: f"{root}/.{part}-{own}.{x}" for x in ("bin", "off", "ids")}
         out = {x: fs.open_output_stream(p) for x, p in temporary.items()}
         out["off"].write(np.zeros(1, "<i8").tobytes())
-        for batch in batches:
-            for at in range(0, batch.num_rows, CHUNK):
-                some = batch.slice(at, CHUNK)
-                ids, bounds = encoder.encode(some.column(1))
-                out["bin"].write(ids.astype(dtype).tobytes())
-                out["off"].write((bounds[1:] + n_ids).astype("<i8").tobytes())
-                out["ids"].write(pc.fill_null(some.column(0), NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                n_docs += some.num_rows
-                n_ids += len(ids)
+        for some in gathered(batches, CHUNK):
+            ids, bounds = encoder.encode(some.column(1))
+            out["bin"].write(ids.astype(dtype).tobytes())
+            out["off"].write((bounds[1:] + n_ids).astype("<i8").tobytes())
+            out["ids"].write(pc.fill_null(some.column(0), NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+            n_docs += some.num_rows
+            n_ids += len(ids)
         for x, f in out.items():
             f.close()
             fs.move(temporary[x], f"{root}/{part}.{x}") if n_docs else fs.delete_file(temporary[x])

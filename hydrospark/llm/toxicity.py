@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hydrospark.llm.common import about, fold, whole_text
+from hydrospark.llm.common import about, fold, small_batches, tidy, whole_text
 from hydrospark.plans.scratch import written
 
 MOST_DOCS = 5_000  # of each label that is learned from
@@ -262,7 +262,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_docs: i
         field = fit([t for _, t, _ in found], np.array([y for *_, y in found], int), odds, scale)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(field)], pa.binary())], ["field"])
 
-    found = sample.repartition(1).mapInArrow(work, "field binary").first()
+    small_batches(docs)
+    found = sample.repartition(1).mapInArrow(tidy(work), "field binary").first()
     return pickle.loads(found["field"]) if found else fit([], np.zeros(0, int), {})
 
 
@@ -284,7 +285,8 @@ def score(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
 
     plain = docs.select(*others, whole_text(text).alias("whole text"))
     example = plain.select(*others, F.lit(0.0).alias("score"), F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))).alias("spans"))
-    return plain.mapInArrow(work, example.schema)
+    small_batches(docs)
+    return plain.mapInArrow(tidy(work), example.schema)
 
 
 def scored(field: Field, texts: list[str], known: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, list[list[dict]]]:
