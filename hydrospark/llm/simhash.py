@@ -207,6 +207,11 @@ def drop_near_duplicates(docs: DataFrame, n_words: int = WORDS, bits: int = NEAR
     """
     least = near_duplicates(docs, n_words, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = least.groupBy("label").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*").distinct()
+    return first_rows(docs, kept)
+
+
+def first_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each (doc_id, text_hash) of ``kept``."""
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole_text()).alias("own_hash"))
     found = rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")))
     first = Window.partitionBy("id", "own_hash").orderBy(F.lit(0))
