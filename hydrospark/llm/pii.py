@@ -1,12 +1,13 @@
 """Personal data: patterns, and terms that give protected entities away. DataFrame functions alone.
 
 Patterns find the base spans: e-mail addresses, IP addresses, payment cards and phone numbers. Each distinct
-string of them is a protected entity. A term is a word of letters that stands on an entity's line. Over all
-documents Spark counts those that hold an entity (n_e), a term (n_t), and both on one line (n_et). With N
+string of them is a protected entity. A term is a word of letters outside of entities. Over all
+documents Spark counts those that hold an entity (n_e), a term (n_t), and both (n_et). With N
 documents, the information content of an entity is IC = -log2(n_e / N) and what a term tells about it is the
 pointwise mutual information PMI = log2(n_et * N / (n_e * n_t)). PMI / IC is 1 for a term that occurs with the
 entity alone. A term with a share of ``GENERALISE`` or more, seen with the entity in ``SUPPORT`` or more
-distinct texts, is a span of its line too: generalised to its first letter, or removed from ``REMOVE`` on.
+distinct texts, is a span wherever it occurs, in documents without the entity too: generalised to its first letter,
+or removed from ``REMOVE`` on.
 All counts are over all documents; copies of a text add to them but not to the number of distinct texts.
 
 Spans never retry: a candidate that fails its check is dropped, and the search goes on after it. Texts of any
@@ -18,6 +19,8 @@ gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hydrospark.llm.common import whole_text
@@ -26,6 +29,7 @@ from hydrospark.plans.scratch import written
 SUPPORT = 2
 GENERALISE = 0.85
 REMOVE = 0.95
+MOST_SENT = 500_000  # disclosing terms that are broadcast at most
 
 # The four patterns as given; possessive quantifiers and starts at a run's start find the same matches.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -37,8 +41,8 @@ KINDS = ("email", "ip", "card", "phone")
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """All matches of a pattern as array of (start, end, value), in code points; a split at the matches gives what lies between."""
+def located(text: Column, pattern: str, keep: Callable[[Column], Column] | None = None) -> Column:
+    """All matches of a pattern, or those that ``keep`` wants, as array of (start, end, value), in code points; a split at the matches gives what lies between."""
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.char_length(g))
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("spans"))
@@ -46,7 +50,8 @@ def located(text: Column, pattern: str) -> Column:
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + x["gap"]
         end = start + F.char_length(x["value"])
-        return F.struct(end.alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("spans"))
+        spans = F.concat(state["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))))
+        return F.struct(end.alias("at"), (F.when(keep(x["value"]), spans).otherwise(state["spans"]) if keep else spans).alias("spans"))
 
     pairs = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
     return F.aggregate(pairs, begin, step, lambda state: state["spans"])
@@ -74,30 +79,41 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[F.transform(found, named(kind)) for kind, found in kinds.items()])
 
 
-def with_lines(rows: DataFrame) -> DataFrame:
-    """``rows`` (key, text, base) to (key, entity, term, start, end): the terms on each base span's line."""
-    lines = F.split("text", "\n", -1)
-    start = lambda i: F.aggregate(F.slice(lines, 1, i), F.lit(0), lambda a, s: a + F.char_length(s) + 1)
-    placed = F.transform(lines, lambda s, i: F.struct(start(i).alias("at"), s.alias("line")))
-    span = rows.where(F.size("base") > 0).select("key", "base", F.explode(placed).alias("l")).select("key", F.filter("base", lambda s: (s["start"] >= F.col("l.at")) & (s["start"] < F.col("l.at") + F.char_length("l.line"))).alias("own"), "l")
-    span = span.where(F.size("own") > 0).withColumn("terms", located(F.col("l.line"), TERM))
-    # words inside an entity are no terms
-    outside = F.filter("terms", lambda t: ~F.exists("own", lambda s: (t["start"] + F.col("l.at") < s["end"]) & (s["start"] < t["end"] + F.col("l.at"))))
-    each = span.select("key", F.col("l.at").alias("at"), F.array_distinct(F.transform("own", lambda s: s["value"])).alias("entities"), F.explode(outside).alias("t"))
-    return each.select("key", F.explode("entities").alias("entity"), F.lower("t.value").alias("term"), (F.col("t.start") + F.col("at")).alias("start"), (F.col("t.end") + F.col("at")).alias("end"))
+def distinct_terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with spans (start, rank, end, by), in order, replaced by ``by``; of spans that overlap the first counts."""
+    part = lambda a, b: F.substr(text, a + 1, b - a)
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda state, s: F.when(s["start"] < state["at"], state).otherwise(F.struct(s["end"].alias("at"), F.concat(state["out"], part(state["at"], s["start"]), s["by"]).alias("out")))
+    return F.aggregate(F.sort_array(spans), begin, step, lambda state: F.concat(state["out"], part(state["at"], F.char_length(text))))
+
 
+def entities(base: Column) -> Column:
+    """The distinct protected entities of a text's spans."""
+    return F.array_distinct(F.transform(base, lambda s: s["value"]))
 
-def disclosing(rows: DataFrame, held: DataFrame, terms: DataFrame, support: int = SUPPORT, share: float = GENERALISE) -> DataFrame:
+
+def with_terms(held: DataFrame) -> DataFrame:
+    """``held`` (key, n, text, base) to (key, n, entity, term): each entity with each distinct term outside of entities in the same text."""
+    blank = F.transform("base", lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("rank"), s["end"].alias("end"), F.lit(" ").alias("by")))
+    each = held.select("key", "n", entities(F.col("base")).alias("entities"), F.explode(distinct_terms(replaced(F.col("text"), blank))).alias("term"))
+    return each.select("key", "n", F.explode("entities").alias("entity"), "term")
+
+
+def disclosing(rows: DataFrame, held: DataFrame, support: int = SUPPORT, share: float = GENERALISE) -> DataFrame:
     """(entity, term, share) of the terms that tell too much.
 
-    ``rows`` (text) are all documents, ``held`` (key, n, base) the distinct texts with entities and their
-    number of rows, ``terms`` those of ``with_lines``. Words are summed by each reading task before they move.
+    ``rows`` (text) are all documents, ``held`` (key, n, text, base) the distinct texts with entities and their
+    number of rows. Words are summed by each reading task before they move.
     """
     total = rows.count()
-    pairs = terms.select("key", "entity", "term").distinct().join(held.select("key", "n"), "key").groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts"))
+    pairs = with_terms(held).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts"))
     pairs = written(pairs.where(F.col("texts") >= support).drop("texts"), "pii-pairs")
-    of_entity = held.select("n", F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("entity")).groupBy("entity").agg(F.sum("n").alias("n_e"))
-    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    of_entity = held.select("n", F.explode(entities(F.col("base"))).alias("entity")).groupBy("entity").agg(F.sum("n").alias("n_e"))
+    words = rows.select(F.explode(distinct_terms(F.col("text"))).alias("term"))
     of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
     found = pairs.join(of_entity, "entity").join(of_term, "term")
     content = F.log2(F.lit(float(max(1, total))) / F.col("n_e"))
@@ -111,16 +127,18 @@ def find(docs: DataFrame, support: int = SUPPORT, share: float = GENERALISE) ->
     text = whole_text()
     rows = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("key"))
     found = rows.withColumn("base", base_spans(F.col("text")))
-    # only texts with entities go further, equal ones once
+    # only texts with entities are counted with terms, equal ones once
     held = found.where(F.size("base") > 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text"), F.first("base").alias("base"))
     held = written(held, "pii-entities")
-    terms = written(with_lines(held), "pii-terms")
-    told = written(disclosing(rows, held, terms, support, share), "pii-disclosing")
-    extra = terms.join(told, ["entity", "term"]).groupBy("key", "start", "end", "term").agg(F.max("share").alias("share"))
-    extra = extra.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", F.col("term").alias("value"), "share"))).alias("extra"))
-    extra = written(extra, "pii-extra")
+    told = written(disclosing(rows, held, support, share).groupBy("term").agg(F.max("share").alias("share")), "pii-disclosing")
+    few = told.limit(MOST_SENT + 1).count() <= MOST_SENT
+    hits = rows.select("key", F.explode(distinct_terms(F.col("text"))).alias("term")).join(F.broadcast(told) if few else told, "term").groupBy("key", "term").agg(F.max("share").alias("share"))
+    hits = written(hits.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told")), "pii-extra")
     none = F.array().cast("array<struct<start:int,end:int,value:string,share:double>>")
-    return found.join(extra, "key", "left").select("doc_id", "text", "base", F.coalesce("extra", none).alias("extra"))
+    places = located(F.col("text"), TERM, lambda v: F.map_contains_key("told", F.lower(v)))
+    outside = F.filter(places, lambda t: ~F.exists("base", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    extra = F.transform(outside, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("value"), F.element_at("told", F.lower(t["value"])).alias("share")))
+    return found.join(hits, "key", "left").select("doc_id", "text", "base", F.when(F.col("told").isNotNull(), extra).otherwise(none).alias("extra"))
 
 
 def sanitised(found: DataFrame, remove: float = REMOVE) -> DataFrame:
@@ -128,11 +146,6 @@ def sanitised(found: DataFrame, remove: float = REMOVE) -> DataFrame:
 
     Where spans overlap, the one that starts first counts, and an entity before a term.
     """
-    entities = F.transform("base", lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("rank"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by")))
+    kinds = F.transform("base", lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("rank"), s["end"].alias("end"), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("by")))
     terms = F.transform("extra", lambda s: F.struct(s["start"].alias("start"), F.lit(1).alias("rank"), s["end"].alias("end"), F.when(s["share"] >= remove, "").otherwise(F.concat(F.substring(s["value"], 1, 1), F.lit("."))).alias("by")))
-    text = F.col("text")
-    part = lambda a, b: F.substr(text, a + 1, b - a)
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda state, s: F.when(s["start"] < state["at"], state).otherwise(F.struct(s["end"].alias("at"), F.concat(state["out"], part(state["at"], s["start"]), s["by"]).alias("out")))
-    clean = F.aggregate(F.sort_array(F.concat(entities, terms)), begin, step, lambda state: F.concat(state["out"], part(state["at"], F.char_length(text))))
-    return found.withColumn("clean", clean)
+    return found.withColumn("clean", replaced(F.col("text"), F.concat(kinds, terms)))
