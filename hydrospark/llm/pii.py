@@ -1,7 +1,8 @@
 """Personal data: patterns, and terms that give protected entities away. DataFrame functions alone.
 
 Patterns find the base spans: e-mail addresses, IP addresses, payment cards and phone numbers. Each distinct
-string of them is a protected entity. A term is a word of letters outside of entities. Over all
+string of them is a protected entity, and so is each class of strings that it belongs to (``entities``): an exact string
+mostly occurs in one text, from which nothing can be estimated. A term is a word of letters outside of entities. Over all
 documents Spark counts those that hold an entity (n_e), a term (n_t), and both (n_et). With N
 documents, the information content of an entity is IC = -log2(n_e / N) and what a term tells about it is the
 pointwise mutual information PMI = log2(n_et * N / (n_e * n_t)). PMI / IC is 1 for a term that occurs with the
@@ -27,6 +28,7 @@ from hydrospark.llm.common import whole_text
 from hydrospark.plans.scratch import written
 
 SUPPORT = 2
+PREFIX = 6  # first digits that numbers of one class share
 GENERALISE = 0.85
 REMOVE = 0.95
 MOST_SENT = 500_000  # disclosing terms that are broadcast at most
@@ -92,8 +94,19 @@ def replaced(text: Column, spans: Column) -> Column:
 
 
 def entities(base: Column) -> Column:
-    """The distinct protected entities of a text's spans."""
-    return F.array_distinct(F.transform(base, lambda s: s["value"]))
+    """The distinct protected entities of a text's spans, and the classes that they are of: mail domain and mailbox, first numbers, kind."""
+
+    def levels(s: Column) -> Column:
+        kind, value = s["kind"], s["value"]
+        digits = F.regexp_replace(value, "[^0-9]", "")
+        wider = (
+            F.when(kind == "email", F.array(F.concat(F.lit("domain "), F.lower(F.substring_index(value, "@", -1))), F.concat(F.lit("mailbox "), F.lower(F.substring_index(value, "@", 1)))))
+            .when(kind == "ip", F.array(F.concat(F.lit("network "), F.substring_index(value, ".", 3))))
+            .otherwise(F.array(F.concat(kind, F.lit(" prefix "), F.substring(digits, 1, PREFIX))))
+        )
+        return F.concat(F.array(F.concat(F.lit("is "), value), F.concat(F.lit("kind "), kind)), wider)
+
+    return F.array_distinct(F.flatten(F.transform(base, levels)))
 
 
 def with_terms(held: DataFrame) -> DataFrame:

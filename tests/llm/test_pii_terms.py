@@ -13,3 +13,11 @@ def test_terms_are_marked_on_every_line_and_in_every_document(spark):
     got = extras(spark, texts)
     assert all("zbigniew" in e for e in got[:21])
     assert not any(got[21:])
+
+
+def test_strings_that_occur_once_are_reached_by_their_class(spark):
+    texts = [f"Zbigniew uses {box}@acme.org for item {i}" for i, box in enumerate(("zb", "z.b", "zbig"))] + [f"Card {4111111111111111 + 0 * i} holder Wojtek{'!' * i}" for i in range(2)]
+    texts += [f"Someone uses {'abcdefghij'[i % 10]}{i}@other{i}.org for item {i}, card holder" for i in range(10)] + [f"uses item {i} for a card holder" for i in range(300)]
+    got = extras(spark, texts)
+    assert all("zbigniew" in e for e in got[:3]) and all("wojtek" in e for e in got[3:5])
+    assert not any({"uses", "item", "card", "for"} & e for e in got) and not any(got[15:])
