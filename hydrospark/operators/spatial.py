@@ -286,15 +286,27 @@ def _vote(v):
     return class_vote(overlay_weights(v("g_basin"), 5.0, "hybas_id"), "clz_cl_smj", "cell_share")
 
 
-@query("area_average", f"""WITH {_WEIGHTS.format(c='15.0E0')}, g AS (SELECT CAST(gx - 12 AS BIGINT) AS gx, CAST(gy - 4 AS BIGINT) AS gy, day, band, avg(raw_i16) AS value FROM g_weather WHERE NOT is_nodata GROUP BY gx, gy, day, band),
+_AVERAGE = f"""WITH {_WEIGHTS.format(c='15.0E0')}, g AS (SELECT CAST(gx - 12 AS BIGINT) AS gx, CAST(gy - 4 AS BIGINT) AS gy, day, band, avg(raw_i16) AS value FROM g_weather WHERE NOT is_nodata GROUP BY gx, gy, day, band),
     j AS (SELECT continent, g.day, g.band, value, area_share FROM w JOIN g ON w.gx = g.gx AND w.gy = g.gy WHERE day < DATE '1995-04-01')
-    SELECT continent, day, band, round(CASE WHEN band IN ('temperature_2m', 'surface_pressure') THEN sum(value * area_share) / sum(area_share) ELSE sum(value * area_share) END, 3) AS value FROM j GROUP BY continent, day, band""")
-def _average(v):
-    values = v("g_weather").where(~F.col("is_nodata") & (F.col("day") < F.lit("1995-04-01").cast("date"))).groupBy((F.col("gx") - 12).cast("long").alias("gx"), (F.col("gy") - 4).cast("long").alias("gy"), "day", "band").agg(F.avg("raw_i16").alias("value"))
+    SELECT continent, day, band, round(CASE WHEN band IN ('temperature_2m', 'surface_pressure') THEN sum(value * area_share) / sum(area_share) ELSE sum(value * area_share) END, 3) AS value FROM j GROUP BY continent, day, band"""
+
+
+def averages_of(v, weather):
+    values = weather.where(~F.col("is_nodata")).groupBy((F.col("gx") - 12).cast("long").alias("gx"), (F.col("gy") - 4).cast("long").alias("gy"), "day", "band").agg(F.avg("raw_i16").alias("value"))
     found = area_average(overlay_weights(v("g_basin"), 15.0, "hybas_id"), values, ["temperature_2m", "surface_pressure"], "continent")
     return found.withColumn("value", F.round("value", 3))
 
 
+@query("area_average", _AVERAGE)
+def _average(v):
+    return averages_of(v, v("g_weather").where(F.col("day") < F.lit("1995-04-01").cast("date")))
+
+
+@query("area_average_all_days", _AVERAGE.replace(" WHERE day < DATE '1995-04-01'", ""))
+def _average_all(v):
+    return averages_of(v, v("g_weather"))
+
+
 @query("union_cover", "WITH c AS (SELECT DISTINCT roi_id, CAST(floor(xlo * 4) AS BIGINT) AS gx, CAST(floor(ylo * 4) AS BIGINT) AS gy FROM g_tile) SELECT roi_id, count(*) * 0.0625E0 AS area FROM c GROUP BY roi_id")
 def _cover(v):
     return union_cover(v("g_tile"), 0.25, "roi_id")
