@@ -207,11 +207,19 @@ def _completion(v):
     return completion(expected_of(v), current).withColumns({"zones_full": F.round("zones_full", 6), "share": F.round("share", 6)})
 
 
-@query("count_by_domain", f"SELECT k, name, CAST(count(hybas_id) AS BIGINT) AS n FROM (VALUES {values_sql(CLIMATE_ZONES)}) z(k, name) LEFT JOIN (SELECT * FROM g_basin WHERE clz_cl_smj % 4 <> 0) b ON b.clz_cl_smj = k GROUP BY k, name")
+_DOMAIN = f"SELECT k, name, CAST(count(hybas_id) AS BIGINT) AS n FROM (VALUES {values_sql(CLIMATE_ZONES)}) z(k, name) LEFT JOIN (SELECT * FROM g_basin WHERE clz_cl_smj % 4 <> 0) b ON b.clz_cl_smj = k GROUP BY k, name"
+
+
+@query("count_by_domain", _DOMAIN)
 def _domain(v):
     return count_by_domain(v("g_basin").where("clz_cl_smj % 4 <> 0"), "clz_cl_smj", CLIMATE_ZONES)
 
 
+@query("count_by_domain_all_basins", _DOMAIN.replace(" WHERE clz_cl_smj % 4 <> 0", ""))
+def _domain_all(v):
+    return count_by_domain(v("g_basin"), "clz_cl_smj", CLIMATE_ZONES)
+
+
 @query("rank_by_impact", f"SELECT id, hybas_id, dead * 20000 + displaced AS impact, pop_ct_usu FROM {_OVER} AND a.next_down = 0 AND a.endo = 0 AND a.riv_tc_usu > 100 ORDER BY impact DESC, pop_ct_usu DESC, id, hybas_id LIMIT 500")
 def _rank(v):
     pairs = overlap_join(coastal_outlets(v("g_basin")).select("hybas_id", "pop_ct_usu", "xlo", "ylo", "xhi", "yhi"), v("g_flood").select("id", "dead", "displaced", "xlo", "ylo", "xhi", "yhi"))
@@ -232,12 +240,23 @@ def _union(v):
 _GAP = "greatest(e.{lo} - c.{hi}, c.{lo} - e.{hi}, 0)"
 
 
-@query("drop_near_existing", f"""WITH c AS (SELECT event_id, CAST(start_time AS DATE) AS day, xlo, ylo, xlo + 2.5E0 AS xhi, ylo + 2.5E0 AS yhi FROM g_scene), e AS (SELECT * FROM g_scene_event WHERE basin_key % 8 = 0)
+_NEAR = f"""WITH c AS (SELECT event_id, CAST(start_time AS DATE) AS day, xlo, ylo, xlo + 2.5E0 AS xhi, ylo + 2.5E0 AS yhi FROM g_scene), e AS (SELECT * FROM g_scene_event WHERE basin_key % 8 = 0)
     SELECT event_id FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE (sqrt(power({_GAP.format(lo='xlo', hi='xhi')}, 2) + power({_GAP.format(lo='ylo', hi='yhi')}, 2)) <= 0)
-      OR (sqrt(power({_GAP.format(lo='xlo', hi='xhi')}, 2) + power({_GAP.format(lo='ylo', hi='yhi')}, 2)) < 3.5 AND abs(c.day - e.began) <= 6))""")
+      OR (sqrt(power({_GAP.format(lo='xlo', hi='xhi')}, 2) + power({_GAP.format(lo='ylo', hi='yhi')}, 2)) < 3.5 AND abs(c.day - e.began) <= 6))"""
+
+
+def _near_candidates(v):
+    return v("g_scene").select("event_id", F.to_date("start_time").alias("day"), "xlo", "ylo", (F.col("xlo") + 2.5).alias("xhi"), (F.col("ylo") + 2.5).alias("yhi"))
+
+
+@query("drop_near_existing", _NEAR)
 def _near(v):
-    candidates = v("g_scene").select("event_id", F.to_date("start_time").alias("day"), "xlo", "ylo", (F.col("xlo") + 2.5).alias("xhi"), (F.col("ylo") + 2.5).alias("yhi"))
-    return drop_near_existing(candidates, v("g_scene_event").where("basin_key % 8 = 0"), days=6).select("event_id")
+    return drop_near_existing(_near_candidates(v), v("g_scene_event").where("basin_key % 8 = 0"), days=6).select("event_id")
+
+
+@query("drop_near_all_existing", _NEAR.replace(" WHERE basin_key % 8 = 0", "").replace("<= 6))", "<= 20))"))
+def _near_all(v):
+    return drop_near_existing(_near_candidates(v), v("g_scene_event")).select("event_id")
 
 
 @query("distribution_report", """WITH r AS (SELECT 'continent' AS "by", continent AS value, flooding FROM g_roi UNION ALL SELECT 'fold', fold, flooding FROM g_roi),

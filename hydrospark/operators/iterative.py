@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hydrospark.operators.projections import coastal_outlets, flood_impact
 from hydrospark.operators.rasters import majority_filter
-from hydrospark.operators.spatial import majority_basin, overlap_join
+from hydrospark.operators.spatial import lines_hit_grid, majority_basin, overlap_join
 from hydrospark.plans.components import components, reached
 from hydrospark.plans.registry import query
 from hydrospark.plans.scratch import written
@@ -197,7 +197,7 @@ def _postprocess(v):
 @query("grow_flood_extent")
 def _grow(v):
     tiles = v("g_tile").select("roi_id", "tx", "ty", (F.col("n_flooded") > 2508).alias("flooded"), (F.col("n_permanent_water") > 19000).alias("open"))
-    return grow_flood_extent(tiles, v("g_tile").where("tx % 16 = 0 AND n_flooded > 10000"))
+    return grow_flood_extent(tiles, lines_hit_grid(v("g_river"), v("g_tile"), 500))
 
 
 @query("select_sites")

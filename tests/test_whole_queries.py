@@ -1,8 +1,12 @@
 """Registered queries that leave no part of their tables out."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from hydrospark.catalog import QUERIES
+from hydrospark.operators.events import count_by_domain, drop_near_existing
+from hydrospark.operators.spatial import lines_hit_grid
 from hydrospark.sources.views import Views
 
 SF = "/root/testdata/sf0.001"
@@ -14,3 +18,31 @@ def test_area_average_takes_all_days(spark):
     assert found.agg(F.max(F.year("day"))).first()[0] == last.year
     early = found.where("day < DATE '1995-04-01'")
     assert sorted(map(tuple, early.collect())) == sorted(map(tuple, QUERIES["area_average"](spark, SF).collect()))
+
+
+def test_floods_grow_from_all_river_tiles(spark):
+    v = Views(spark, SF)
+    rivers = {(r["roi_id"], r["tx"], r["ty"]) for r in lines_hit_grid(v("g_river"), v("g_tile"), 500).collect()}
+    got = {(r["roi_id"], r["tx"], r["ty"]) for r in QUERIES["grow_flood_extent"](spark, SF).collect()}
+    assert rivers and rivers <= got
+
+
+def test_all_basins_are_counted(spark):
+    found = {r["k"]: r["n"] for r in QUERIES["count_by_domain_all_basins"](spark, SF).collect()}
+    assert sum(found.values()) == Views(spark, SF)("g_basin").count() and all(found[k] for k in (4, 8, 12, 16))
+    few = spark.createDataFrame([(1,), (1,)], "z int")
+    assert {r["k"]: r["n"] for r in count_by_domain(few, "z", {1: "a", 2: "b"}).collect()} == {1: 2, 2: 0}
+
+
+def test_candidates_near_no_site_are_kept(spark):
+    day = datetime.date(2000, 1, 1)
+    row = lambda i, x, d: (i, day + datetime.timedelta(d), x, 0.0, x + 1.0, 1.0)
+    box = "day date, xlo double, ylo double, xhi double, yhi double"
+    candidates = spark.createDataFrame([row(1, 0.5, 900), row(2, 3.0, 20), row(3, 3.0, 21), row(4, 9.0, 0)], f"event_id long, {box}")
+    sites = spark.createDataFrame([row(0, 0.0, 0)], f"basin_key long, {box}").withColumnRenamed("day", "began")
+    assert sorted(r["event_id"] for r in drop_near_existing(candidates, sites).collect()) == [3, 4]
+
+
+def test_all_sites_count(spark):
+    whole, part = ({r["event_id"] for r in QUERIES[q](spark, SF).collect()} for q in ("drop_near_all_existing", "drop_near_existing"))
+    assert whole < part
