@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hydrospark.operators.projections import coastal_outlets, flood_impact
 from hydrospark.operators.rasters import majority_filter
-from hydrospark.operators.spatial import lines_hit_grid, majority_basin, overlap_join
+from hydrospark.operators.spatial import lines_hit_grid, majority_basin, overlap_join, points_in_areas
 from hydrospark.plans.components import components, reached
 from hydrospark.plans.registry import query
 from hydrospark.plans.scratch import written
@@ -144,16 +144,25 @@ def select_sites(candidates: DataFrame, expected: DataFrame, degrees: float = 3.
     return accepted
 
 
-def balanced_partitions(basins: DataFrame, trials: int = 8, parts: int = 5) -> DataFrame:
-    """The best of several deals of basins into partitions: the one whose zones are spread most evenly.
+def balanced_partitions(basins: DataFrame, trials: int = 20, parts: int = 5, points: DataFrame | None = None) -> DataFrame:
+    """The best of several deals of basins into partitions: the one that spreads continents, zones and ``points`` most evenly.
+
+    ``points`` (kind, id, hybas_id) are gauges and sites with their basins. Each of these things adds the mean over
+    its groups of the deviation of their shares across the partitions.
 
     A trial is a column: basins are ordered by a hash of id and trial within each zone and dealt in turn.
     """
     deals = basins.select("hybas_id", "clz_cl_smj", F.explode(F.sequence(F.lit(0), F.lit(trials - 1))).alias("trial"))
     order = Window.partitionBy("trial", "clz_cl_smj").orderBy(F.xxhash64("hybas_id", "trial"), "hybas_id")
     dealt = deals.withColumn("part", F.pmod(F.row_number().over(order) + F.pmod(F.xxhash64("clz_cl_smj", "trial"), F.lit(parts)).cast("int"), F.lit(parts)))
-    counts = dealt.groupBy("trial", "part").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("trial").agg(F.stddev_pop("n").alias("s")).agg(F.min_by("trial", F.struct(F.round("s", 9), "trial")).alias("trial"))
+    things = basins.select("hybas_id", F.explode(F.array(*[F.struct(F.lit(c).alias("thing"), F.col(c).cast("int").alias("group")) for c in ("continent", "clz_cl_smj")])).alias("t")).select("hybas_id", "t.*")
+    if points is not None:
+        things = things.unionByName(points.select("hybas_id", F.col("kind").alias("thing"), F.lit(0).alias("group")))
+    counts = things.groupBy("hybas_id", "thing", "group").agg(F.count(F.lit(1)).alias("n")).join(dealt.select("hybas_id", "trial", "part"), "hybas_id")
+    wide = counts.groupBy("trial", "thing", "group").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"p{k}") for k in range(parts)])
+    shares = wide.select("trial", "thing", "group", F.explode(F.array(*[F.col(f"p{k}") / F.col("n") for k in range(parts)])).alias("share"))
+    scores = shares.groupBy("trial", "thing", "group").agg(F.stddev_pop("share").alias("s")).groupBy("trial", "thing").agg(F.avg("s").alias("s")).groupBy("trial").agg(F.sum("s").alias("s"))
+    best = scores.agg(F.min_by("trial", F.struct(F.round("s", 9), "trial")).alias("trial"))
     # one row
     return dealt.join(F.broadcast(best), "trial").select("hybas_id", "clz_cl_smj", "part")
 
@@ -208,6 +217,22 @@ def _select(v):
     return select_sites(candidates, expected)
 
 
+def _partition_points(v) -> DataFrame:
+    """Gauges, labelled sites and generated sites (kind, id, hybas_id), each in the basin that holds it or its centre."""
+    centres = v("g_tile").groupBy("roi_id").agg(((F.min("xlo") + F.max("xhi")) / 2).alias("px"), ((F.min("ylo") + F.max("yhi")) / 2).alias("py"))
+    kind = F.when(F.col("type") == "kurosiwo", "labelled").otherwise("generated")
+    sites = v("g_roi").select("roi_id", kind.alias("kind")).join(centres, "roi_id").select("kind", F.col("roi_id").cast("long").alias("id"), "px", "py")
+    gauges = v("g_gauge").select(F.lit("gauge").alias("kind"), F.col("gauge_id").cast("long").alias("id"), F.col("lon").alias("px"), F.col("lat").alias("py"))
+    points = gauges.unionByName(sites).withColumn("point", F.struct("kind", "id"))
+    return points_in_areas(points, v("g_basin").select("hybas_id", "xlo", "ylo", "xhi", "yhi"), "hybas_id").select("point.kind", "point.id", "hybas_id")
+
+
 @query("balanced_partitions")
 def _partitions(v):
-    return balanced_partitions(v("g_basin"))
+    return balanced_partitions(v("g_basin"), points=_partition_points(v))
+
+
+@query("partition_assignments")
+def _assignments(v):
+    points = _partition_points(v)
+    return points.join(balanced_partitions(v("g_basin"), points=points), "hybas_id").select("kind", "id", "part")

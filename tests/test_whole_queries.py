@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hydrospark.catalog import QUERIES
 from hydrospark.operators.events import count_by_domain, drop_near_existing
+from hydrospark.operators.iterative import balanced_partitions
 from hydrospark.operators.spatial import lines_hit_grid
 from hydrospark.sources.views import Views
 
@@ -46,3 +47,12 @@ def test_candidates_near_no_site_are_kept(spark):
 def test_all_sites_count(spark):
     whole, part = ({r["event_id"] for r in QUERIES[q](spark, SF).collect()} for q in ("drop_near_all_existing", "drop_near_existing"))
     assert whole < part
+
+
+def test_gauges_and_sites_count_and_are_assigned(spark):
+    basins = spark.createDataFrame([(i, i % 2, 1) for i in range(10)], "hybas_id long, continent int, clz_cl_smj int")
+    points = spark.createDataFrame([("gauge", i, i // 4) for i in range(20)], "kind string, id long, hybas_id long")
+    found = {r["hybas_id"]: r["part"] for r in balanced_partitions(basins, points=points).collect()}
+    assert len({found[i] for i in range(5)}) >= 4
+    assigned = QUERIES["partition_assignments"](spark, SF).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("id").alias("d")).collect()
+    assert {r["kind"] for r in assigned} == {"gauge", "labelled", "generated"} and all(r["n"] == r["d"] for r in assigned)
