@@ -18,13 +18,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "ids")
-    return bpe_digests(coded)
-
-
-def bpe_digests(coded: DataFrame) -> DataFrame:
-    """(doc_id, ids) to the digests of the ids and of the bytes that they decode to."""
-    return bpe.decode(coded).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(documents(spark, sf_dir))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

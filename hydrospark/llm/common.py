@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -46,13 +49,31 @@ def about(rows: DataFrame, key: str, n: int, most: int) -> DataFrame:
 
 
 BATCH_ROWS = 1000
-
-
-def small_batches(df: DataFrame) -> None:
-    """Lowers the session's rows for each Arrow batch to BATCH_ROWS: a row is a whole text, and tasks hold a few batches at once."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, str(BATCH_ROWS))
+LOT_BYTES = 2 << 20  # of text that a task works on at once, or one row
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While it lasts, Arrow batches have at most BATCH_ROWS rows: a row is a whole text, and tasks hold a few batches
+    at once. The session's own value comes back after it, so jobs have to run inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(name)
+    if not 0 < int(own) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
+def in_lots(batch: pa.RecordBatch, sizes: pa.Array, most: int = LOT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of up to about ``most`` bytes, by the ``sizes`` of the rows."""
+    upto = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 def tidy(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

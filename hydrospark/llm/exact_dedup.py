@@ -59,7 +59,6 @@ def folded(rows: DataFrame) -> DataFrame:
                 seen = {}
         yield sums(seen)
 
-    small_batches(rows)
     return rows.select(F.col("doc_id").cast("long"), "h", "digest", "text").mapInArrow(tidy(fold), "h long, digest binary, text string, n long, top long")
 
 
@@ -139,7 +138,8 @@ def build_index(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
 
     dealt = folded(rows).mapInArrow(bucket_of, "bucket int, h long, digest binary, text string, n long, top long")
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "h", F.col("text").isNull(), "digest")
-    return written(dealt.mapInArrow(tidy(own), "bucket int, h long, link int, digest binary, keep_id long, group_size long"), "hash-index")
+    with small_batches(spark):
+        return written(dealt.mapInArrow(tidy(own), "bucket int, h long, link int, digest binary, keep_id long, group_size long"), "hash-index")
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:

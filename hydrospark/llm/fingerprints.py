@@ -20,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from hydrospark.llm.common import small_batches, tidy, whole_text
+from hydrospark.llm.common import in_lots, tidy, whole_text
 
 WINDOW = 16  # bytes of a feature
 NEAR = 32  # windows of a neighbourhood
@@ -215,12 +216,12 @@ def corpus_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = np.zeros(BINS + 1, np.int64)
         for batch in batches:
-            found += count_bins([x.encode() for x in batch.column(0).to_pylist()])
+            for lot in in_lots(batch, pc.binary_length(batch.column(0))):
+                found += count_bins([x.encode() for x in lot.column(0).to_pylist()])
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["bin", "n"])
 
     counts = np.zeros(BINS + 1, np.int64)
-    small_batches(docs)
     for row in docs.select(whole_text(text).alias("text")).mapInArrow(tidy(count), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         counts[row["bin"]] = row["n"]
     return ranks_of(counts)
@@ -235,8 +236,9 @@ def fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint",
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(x or "").encode() for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([as_string(c) for c in chains(texts, shared.value)], pa.string())], [*names, into])
+            for lot in in_lots(batch, pc.binary_length(batch.column(at))):
+                texts = [(x or "").encode() for x in lot.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*lot.columns, pa.array([as_string(c) for c in chains(texts, shared.value)], pa.string())], [*names, into])
 
     return plain.mapInArrow(tidy(add), plain.select("*", F.lit("").alias(into)).schema)
 
@@ -286,12 +288,13 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
         """Runs of rows; the last row of a run opens the next one, where it is needed as a successor."""
         held, size = [], 0
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                held.append(row)
-                size += len(row[3])
-                if size >= PIECE and len(held) > 1:
-                    yield held
-                    held, size = held[-1:], len(held[-1][3])
+            for some in in_lots(batch, pc.binary_length(batch.column(3))):
+                for row in zip(*(some.column(i).to_pylist() for i in range(4))):
+                    held.append(row)
+                    size += len(row[3])
+                    if size >= PIECE and len(held) > 1:
+                        yield held
+                        held, size = held[-1:], len(held[-1][3])
         if held:
             yield [*held, None]
 

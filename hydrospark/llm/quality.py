@@ -69,7 +69,6 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             bounds = np.arange(0, len(flat) + 1, len(STATISTICS), dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], ["doc_id", "x"])
 
-    small_batches(docs)
     return docs.select("doc_id", whole_text().alias("text")).mapInArrow(tidy(work), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, x array<float>")
 
 
@@ -163,7 +162,8 @@ def score(stats: DataFrame, trees: Trees) -> DataFrame:
 
 def score_quality(docs: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row; labels of fold ``held_out`` are not learned from."""
-    stats = written(with_statistics(docs), "quality-statistics")
+    with small_batches(docs.sparkSession):
+        stats = written(with_statistics(docs), "quality-statistics")
     trees = learn(stats, labels.where(fold("doc_id", folds) != held_out))
     found = score(stats, trees)
     return found.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -24,10 +24,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hydrospark.llm.common import small_batches, tidy, whole_text
+from hydrospark.llm.common import in_lots, small_batches, tidy, whole_text
 from hydrospark.plans.components import components
 from hydrospark.plans.scratch import written
 
@@ -93,11 +94,11 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp", n_words:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = simhash(batch.column(len(others)).to_pylist(), n_words)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found.view(np.int64))], [*others, into])
+            for lot in in_lots(batch, pc.binary_length(batch.column(len(others)))):
+                found = simhash(lot.column(len(others)).to_pylist(), n_words)
+                yield pa.RecordBatch.from_arrays([*lot.columns[:-1], pa.array(found.view(np.int64))], [*others, into])
 
     plain = docs.select(*others, whole_text(text).alias("whole text"))
-    small_batches(docs)
     return plain.mapInArrow(tidy(work), plain.select(*others, F.lit(0).cast("long").alias(into)).schema)
 
 
@@ -190,7 +191,8 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, bits: int = NEAR_BITS
     ``n_links`` the number of its other fingerprints.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("text_hash"), "text")
-    rows = written(fingerprints(rows, n_words=n_words), "simhash-rows")
+    with small_batches(docs.sparkSession):
+        rows = written(fingerprints(rows, n_words=n_words), "simhash-rows")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
     labels = components(written(links(distinct.select("fp"), bits), "simhash-links"))
     grouped = distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first_id", F.coalesce("label", "fp").alias("label"))

@@ -262,8 +262,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_docs: i
         field = fit([t for _, t, _ in found], np.array([y for *_, y in found], int), odds, scale)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(field)], pa.binary())], ["field"])
 
-    small_batches(docs)
-    found = sample.repartition(1).mapInArrow(tidy(work), "field binary").first()
+    with small_batches(docs.sparkSession):
+        found = sample.repartition(1).mapInArrow(tidy(work), "field binary").first()
     return pickle.loads(found["field"]) if found else fit([], np.zeros(0, int), {})
 
 
@@ -285,7 +285,6 @@ def score(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
 
     plain = docs.select(*others, whole_text(text).alias("whole text"))
     example = plain.select(*others, F.lit(0.0).alias("score"), F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))).alias("spans"))
-    small_batches(docs)
     return plain.mapInArrow(tidy(work), example.schema)
 
 
