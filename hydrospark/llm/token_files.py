@@ -11,11 +11,12 @@ task leaves no half file behind and overwrites with the same content.
 
 Defined cases: a null text is an empty one, and each document ends with the end id, so none is without ids; a
 null doc_id comes first and is read back as null; rows that repeat stay, in the order of a hash of their text;
-an empty table gives an empty set.
+the string of a special token is that token; an empty table gives an empty set.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
 import zlib
@@ -29,15 +30,16 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from hydrospark.llm.bpe import joined
-from hydrospark.llm.common import whole_text
+from hydrospark.llm.common import in_lots, small_batches, tidy, whole_text
 from hydrospark.plans.scratch import new_path
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 ROWS_PER_PART = 5000
 NO_ID = -(1 << 63)
-CHUNK = 5000  # texts that are encoded together
 LOT = 1000  # texts or words that the tokenizer gets in one call
+CACHED_BYTES = 96 << 20  # of words and their ids that a worker keeps
+ENTRY_BYTES = 200  # of a kept word beside its own and its ids' bytes
 
 # Blanks that have white space on both sides, or begin or end a text, may belong to a longer match.
 _SPACE = "\\t-\\r\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000} "
@@ -45,11 +47,11 @@ _ODD = f"^ | $|[{_SPACE}] | [{_SPACE}]"
 
 
 class Encoder:
-    """The tokenizers library, asked once for each distinct word of a lot of texts.
+    """The tokenizers library, asked once for each distinct word, as long as there is room to keep its ids.
 
     A blank between two characters that are no white space begins a new match of the byte-level pattern,
     whatever stands around it. So a text is cut before such blanks, and equal chunks have equal ids. Texts with
-    other blanks are encoded whole.
+    other blanks are encoded whole. A special token's string in a text is that token, as the library has it.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -57,15 +59,20 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         names = self.tokenizer.get_vocab()
         self.wide = max(names.values()) >= 1 << 16
         self.opens = np.zeros(max(names.values()) + 1, bool)  # ids whose bytes begin with a blank
         self.opens[[i for name, i in names.items() if name.startswith("Ġ")]] = True
+        # a cut inside the string of a special token would hide it
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if " " in t.content]
+        self.known: dict[str, bytes] = {}  # ids of a word with a blank before it, as 32-bit integers
+        self.kept = 0
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each with the end id after it, and the bounds of each text's ids."""
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        for special in self.specials:
+            odd |= pc.match_substring(texts, special).to_numpy(zero_copy_only=False)
         lists = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
         parts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = lists.flatten().dictionary_encode()
@@ -94,36 +101,34 @@ class Encoder:
         return np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(x) for x in found], np.int64)
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each word with a blank before it, end to end, and their numbers.
-
-        The words of a lot are one text; only the ids that begin with a blank open a word.
-        """
-        found, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        """Ids of each word with a blank before it, end to end, and their numbers."""
+        found = [self.known.get(w) for w in words]
+        fresh = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(fresh, self.fresh([words[i] for i in fresh])):
+            found[i] = ids
+            if self.kept < CACHED_BYTES:
+                self.known[words[i]] = ids
+                self.kept += ENTRY_BYTES + len(words[i]) + len(ids)
+        return np.frombuffer(b"".join(found), np.int32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+
+    def fresh(self, words: list[str]) -> Iterator[bytes]:
+        """The words of a lot are one text; only the ids that begin with a blank open a word."""
         for a in range(0, len(words), LOT):
             some = words[a : a + LOT]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(f" {w}" for w in some)], add_special_tokens=False)[0].ids, np.int32)
             opens = np.flatnonzero(self.opens[ids])
             if len(opens) == len(some):
-                found.append(ids)
-                sizes.append(np.diff(np.append(opens, len(ids))))
+                sizes = np.diff(np.append(opens, len(ids)))
             else:
-                one, each = self.wholes([f" {w}" for w in some])
-                found.append(one)
-                sizes.append(each)
-        return np.concatenate(found), np.concatenate(sizes)
+                ids, sizes = self.wholes([f" {w}" for w in some])
+            whole, ends = ids.tobytes(), (np.cumsum(sizes) * 4).tolist()
+            yield from (whole[start:stop] for start, stop in zip([0, *ends], ends))
 
 
-def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
-    """The rows of the batches in batches of ``rows``, whatever the session's batches are."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            held.append(batch.slice(at, rows))
-            if sum(b.num_rows for b in held) >= rows:
-                yield pa.concat_batches(held)
-                held = []
-    if held:
-        yield pa.concat_batches(held)
+@functools.cache
+def encoder(vocabulary: str) -> Encoder:
+    """One for the life of a worker, which serves many tasks."""
+    return Encoder(vocabulary)
 
 
 def write_files(docs: DataFrame, folder: str | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -140,13 +145,13 @@ def write_files(docs: DataFrame, folder: str | None = None, vocabulary: str = VO
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
         part, own = TaskContext.get().partitionId(), uuid.uuid4().hex
-        encoder, n_docs, n_ids = Encoder(vocabulary), 0, 0
-        dtype = np.dtype("<u4" if encoder.wide else "<u2")
+        own_encoder, n_docs, n_ids = encoder(vocabulary), 0, 0
+        dtype = np.dtype("<u4" if own_encoder.wide else "<u2")
         temporary = {x: f"{root}/.{part}-{own}.{x}" for x in ("bin", "off", "ids")}
         out = {x: fs.open_output_stream(p) for x, p in temporary.items()}
         out["off"].write(np.zeros(1, "<i8").tobytes())
-        for some in gathered(batches, CHUNK):
-            ids, bounds = encoder.encode(some.column(1))
+        for some in (lot for batch in batches for lot in in_lots(batch, pc.binary_length(batch.column(1)))):
+            ids, bounds = own_encoder.encode(some.column(1))
             out["bin"].write(ids.astype(dtype).tobytes())
             out["off"].write((bounds[1:] + n_ids).astype("<i8").tobytes())
             out["ids"].write(pc.fill_null(some.column(0), NO_ID).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
@@ -158,14 +163,16 @@ def write_files(docs: DataFrame, folder: str | None = None, vocabulary: str = VO
         if n_docs:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((part, pa.int32()), (n_docs, pa.int64()), (n_ids, pa.int64()), (dtype.itemsize, pa.int32()))], ["part", "docs", "ids", "width"])
 
-    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
-    dealt = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
+    # the reading task comes last, so that rows of one id, and even equal rows, may be in several parts
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash"), F.col("reader")]
+    dealt = rows.withColumns({"text_hash": F.xxhash64("text"), "reader": F.spark_partition_id()}).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
     # one row for each partition, so its order may be that of one task
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    table = dealt.mapInArrow(write, "part int, docs long, ids long, width int").select("*", sums("docs").alias("first_doc"), sums("ids").alias("start"), F.lit(folder).alias("folder"))
+    table = dealt.mapInArrow(tidy(write), "part int, docs long, ids long, width int").select("*", sums("docs").alias("first_doc"), sums("ids").alias("start"), F.lit(folder).alias("folder"))
     path = new_path(spark, "token-parts")
-    table.write.parquet(path)
+    with small_batches(spark):
+        table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
 
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -282,7 +283,6 @@ def test_token_files_read_back(spark, docs, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_files.VOCABULARY)
-    t.encode_special_tokens = True
     for rows in (docs.select("doc_id", "text"), odd.select("doc_id", "text")):
         got = {}
         for r in token_files.read_files(spark, token_files.write_files(rows)).collect():
@@ -477,3 +477,71 @@ def test_terms_that_give_an_entity_away(spark):
 def test_pii_runs_no_python(spark):
     plan = catalog.op10_pii(spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- long words, special strings, session settings
+
+
+def test_a_run_of_letters_is_folded_in_seconds():
+    rng = np.random.default_rng(11)
+    ranks, e = bpe.read_ranks(bpe.VOCABULARY), tiktoken_encoding()
+    for n in (65, 1000, 200_000):
+        word = bytes(rng.integers(97, 107, n).astype(np.uint8))
+        began = time.time()
+        ids = bpe.fold(word, ranks)
+        assert time.time() - began < 20 and ids == e._encode_single_piece(word)
+
+
+def test_words_are_folded_together_as_alone(monkeypatch):
+    rng = np.random.default_rng(12)
+    e, merges = tiktoken_encoding(), bpe.Merges(bpe.VOCABULARY)
+    words = [rng.choice(list(b"ab c\xc3\xa9the\x00\xff"), int(n)).astype(np.uint8).tobytes() for n in rng.integers(1, 90, 2000)]
+    want = [e._encode_single_piece(w) for w in words]
+    for room in (0, bpe.CACHED_BYTES):
+        monkeypatch.setattr(bpe, "CACHED_BYTES", room)
+        for _ in range(2):
+            assert [np.frombuffer(x, np.int32).tolist() for x in merges.fold_all(words)] == want
+    assert len(merges.known) == len(set(words))
+
+
+def test_long_texts_are_encoded_whole(spark):
+    rng = np.random.default_rng(13)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz  \n,é"))
+    texts = ["".join(rng.choice(letters[:26], 50_000)), "".join(rng.choice(letters, 300_000)), " " * 10_000 + "x", "", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    e = tiktoken_encoding()
+    got = {r["doc_id"]: r for r in bpe.digests(rows).collect()}
+    for i, text in enumerate(texts):
+        ids = e.encode_ordinary(text or "")
+        assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+
+
+def test_special_strings_are_tokens_in_files(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_files.VOCABULARY)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", " <|endoftext|>  <|endoftext|> ", "<|endoftext |> <| endoftext|>"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in token_files.read_files(spark, token_files.write_files(rows)).collect()}
+    for i, text in enumerate(texts):
+        ids = [*t.encode(text, add_special_tokens=False).ids, 0]
+        assert (got[i]["n_tokens"], got[i]["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_one_hot_id_is_in_several_parts(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3).alias("text")).repartition(8)
+    table = token_files.write_files(rows)
+    assert table.count() > 2 and token_files.read_files(spark, table).count() == 20_000
+
+
+def test_one_encoder_serves_a_worker():
+    assert token_files.encoder(token_files.VOCABULARY) is token_files.encoder(token_files.VOCABULARY)
+
+
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+def test_queries_leave_the_session_as_it_was(spark, name):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    catalog.QUERIES[name](spark, SF).count()
+    assert spark.conf.get(setting) == before
