@@ -7,22 +7,28 @@ from pyspark.sql import DataFrame, Window, functions as F
 from hydrospark.functions.names import CLIMATE_ZONES, CONTINENTS, domain, values_sql
 from hydrospark.operators.projections import coastal_outlets, flood_impact
 from hydrospark.operators.spatial import overlap_join, points_in_areas, shared_area, spatial_join
-from hydrospark.plans.registry import query
+from hydrospark.plans.registry import ORACLES, QUERIES, query
 
 
-def time_overlap_join(a: DataFrame, b: DataFrame, since: str | None = None) -> DataFrame:
+PER_BUCKET = 20_000  # rows of the smaller side that share a month and a part
+
+
+def time_overlap_join(a: DataFrame, b: DataFrame, since: str | None = None, per_bucket: int = PER_BUCKET) -> DataFrame:
     """Pairs whose times (began to ended, first_track to last_track) overlap.
 
     Both sides are filed under the months that they touch and joined on the month; a pair counts in the month
-    in which the overlap begins.
+    in which the overlap begins. There are few months, so a month alone would be a hot key: the rows of ``a`` are
+    dealt into parts by a hash, and those of ``b`` go to each part. The fullest month decides on the number of parts.
     """
     month = lambda c: F.year(c) * 12 + F.month(c)
     if since is not None:
         a = a.where(F.col("began") >= F.lit(since).cast("date"))
-    left = a.withColumn("m", F.explode(F.sequence(month("began"), month("ended"))))
-    right = b.withColumn("m", F.explode(F.sequence(month("first_track"), month("last_track"))))
-    pairs = left.join(right, "m").where((F.col("began") < F.col("last_track")) & (F.col("first_track") < F.col("ended")))
-    return pairs.where(F.col("m") == month(F.greatest("began", "first_track"))).drop("m")
+    fullest = a.groupBy(month("began").alias("m")).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-fullest // per_bucket))
+    left = a.withColumn("m", F.explode(F.sequence(month("began"), month("ended")))).withColumn("part", F.pmod(F.xxhash64(*a.columns), F.lit(parts)).cast("int"))
+    right = b.withColumn("m", F.explode(F.sequence(month("first_track"), month("last_track")))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = left.join(right, ["m", "part"]).where((F.col("began") < F.col("last_track")) & (F.col("first_track") < F.col("ended")))
+    return pairs.where(F.col("m") == month(F.greatest("began", "first_track"))).drop("m", "part")
 
 
 def storm_floods(floods: DataFrame, storms: DataFrame, size: float = 6.0) -> DataFrame:
@@ -107,13 +113,19 @@ def candidate_union(coastal: DataFrame, storms: DataFrame) -> DataFrame:
 
 
 def drop_near_existing(candidates: DataFrame, existing: DataFrame, degrees: float = 3.5, days: int = 20, size: float = 5.0) -> DataFrame:
-    """Candidates that neither overlap an existing site (at any time) nor lie within ``degrees`` and ``days`` of one."""
-    sites = existing.select(F.col("began").alias("e_began"), *[F.col(c).alias(f"e_{c}") for c in ("xlo", "ylo", "xhi", "yhi")])
+    """Candidates (event_id, day, box) that neither share area with an existing site (at any time) nor lie within less than ``degrees`` and ``days`` of one.
+
+    ``day`` and the site's ``began`` are dates or times; a date is its midnight.
+    """
+    sites = existing.select(F.col("began").cast("timestamp_ntz").alias("e_began"), *[F.col(c).alias(f"e_{c}") for c in ("xlo", "ylo", "xhi", "yhi")])
     wide = sites.select("*", (F.col("e_xlo") - degrees).alias("xlo"), (F.col("e_ylo") - degrees).alias("ylo"), (F.col("e_xhi") + degrees).alias("xhi"), (F.col("e_yhi") + degrees).alias("yhi"))
-    pairs = spatial_join(candidates.select("event_id", "day", "xlo", "ylo", "xhi", "yhi"), wide, size)
-    gap = lambda lo, hi: F.greatest(F.col(f"e_{lo}") - F.col(hi), F.col(lo) - F.col(f"e_{hi}"), F.lit(0.0))
-    near = F.sqrt(F.pow(gap("xlo", "xhi"), F.lit(2)) + F.pow(gap("ylo", "yhi"), F.lit(2)))
-    bad = pairs.where((near <= 0) | (near < degrees) & (F.abs(F.datediff("day", "e_began")) <= days)).select("event_id").distinct()
+    pairs = spatial_join(candidates.select("event_id", F.col("day").cast("timestamp_ntz").alias("at"), "xlo", "ylo", "xhi", "yhi"), wide, size)
+    apart = lambda lo, hi: F.greatest(F.col(f"e_{lo}") - F.col(hi), F.col(lo) - F.col(f"e_{hi}"))
+    dx, dy, zero = apart("xlo", "xhi"), apart("ylo", "yhi"), F.lit(0.0)
+    near = F.sqrt(F.pow(F.greatest(dx, zero), F.lit(2)) + F.pow(F.greatest(dy, zero), F.lit(2))) < degrees
+    span = F.make_dt_interval(F.lit(days))
+    soon = (F.col("e_began") < F.col("at") + span) & (F.col("e_began") > F.col("at") - span)
+    bad = pairs.where((dx < 0) & (dy < 0) | near & soon).select("event_id").distinct()
     return candidates.join(bad, "event_id", "left_anti")
 
 
@@ -207,23 +219,18 @@ def _completion(v):
     return completion(expected_of(v), current).withColumns({"zones_full": F.round("zones_full", 6), "share": F.round("share", 6)})
 
 
-_DOMAIN = f"SELECT k, name, CAST(count(hybas_id) AS BIGINT) AS n FROM (VALUES {values_sql(CLIMATE_ZONES)}) z(k, name) LEFT JOIN (SELECT * FROM g_basin WHERE clz_cl_smj % 4 <> 0) b ON b.clz_cl_smj = k GROUP BY k, name"
-
-
-@query("count_by_domain", _DOMAIN)
+@query("count_by_domain", f"SELECT k, name, CAST(count(hybas_id) AS BIGINT) AS n FROM (VALUES {values_sql(CLIMATE_ZONES)}) z(k, name) LEFT JOIN g_basin b ON b.clz_cl_smj = k GROUP BY k, name")
 def _domain(v):
-    return count_by_domain(v("g_basin").where("clz_cl_smj % 4 <> 0"), "clz_cl_smj", CLIMATE_ZONES)
+    return count_by_domain(v("g_basin"), "clz_cl_smj", CLIMATE_ZONES)
 
 
-@query("count_by_domain_all_basins", _DOMAIN.replace(" WHERE clz_cl_smj % 4 <> 0", ""))
-def _domain_all(v):
-    return count_by_domain(v("g_basin"), "clz_cl_smj", CLIMATE_ZONES)
+QUERIES["count_by_domain_all_basins"], ORACLES["count_by_domain_all_basins"] = QUERIES["count_by_domain"], ORACLES["count_by_domain"]  # its name while the other one left zones out
 
 
-@query("rank_by_impact", f"SELECT id, hybas_id, dead * 20000 + displaced AS impact, pop_ct_usu FROM {_OVER} AND a.next_down = 0 AND a.endo = 0 AND a.riv_tc_usu > 100 ORDER BY impact DESC, pop_ct_usu DESC, id, hybas_id LIMIT 500")
+@query("rank_by_impact", f"SELECT id, hybas_id, dead * 20000 + displaced AS impact, pop_ct_usu FROM {_OVER} AND a.next_down = 0 AND a.endo = 0 AND a.riv_tc_usu > 100")
 def _rank(v):
     pairs = overlap_join(coastal_outlets(v("g_basin")).select("hybas_id", "pop_ct_usu", "xlo", "ylo", "xhi", "yhi"), v("g_flood").select("id", "dead", "displaced", "xlo", "ylo", "xhi", "yhi"))
-    return rank_by_impact(pairs).select("id", "hybas_id", "impact", "pop_ct_usu").limit(500)  # a top-k report
+    return rank_by_impact(pairs).select("id", "hybas_id", "impact", "pop_ct_usu")
 
 
 @query("distinct_covered", f"WITH {_FS} SELECT count(DISTINCT storm_key) AS n_storms, count(DISTINCT id) AS n_floods FROM p")
@@ -240,25 +247,27 @@ def _union(v):
 _GAP = "greatest(e.{lo} - c.{hi}, c.{lo} - e.{hi}, 0)"
 
 
-_NEAR = f"""WITH c AS (SELECT event_id, CAST(start_time AS DATE) AS day, xlo, ylo, xlo + 2.5E0 AS xhi, ylo + 2.5E0 AS yhi FROM g_scene), e AS (SELECT * FROM g_scene_event WHERE basin_key % 8 = 0)
-    SELECT event_id FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE (sqrt(power({_GAP.format(lo='xlo', hi='xhi')}, 2) + power({_GAP.format(lo='ylo', hi='yhi')}, 2)) <= 0)
-      OR (sqrt(power({_GAP.format(lo='xlo', hi='xhi')}, 2) + power({_GAP.format(lo='ylo', hi='yhi')}, 2)) < 3.5 AND abs(c.day - e.began) <= 6))"""
-
-
-def _near_candidates(v):
-    return v("g_scene").select("event_id", F.to_date("start_time").alias("day"), "xlo", "ylo", (F.col("xlo") + 2.5).alias("xhi"), (F.col("ylo") + 2.5).alias("yhi"))
+_NEAR = f"""WITH c AS (SELECT event_id, start_time AS t, xlo, ylo, xlo + 2.5E0 AS xhi, ylo + 2.5E0 AS yhi FROM g_scene), e AS (SELECT * FROM g_scene_event)
+    SELECT event_id FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE (least(e.xhi, c.xhi) > greatest(e.xlo, c.xlo) AND least(e.yhi, c.yhi) > greatest(e.ylo, c.ylo))
+      OR (sqrt(power({_GAP.format(lo='xlo', hi='xhi')}, 2) + power({_GAP.format(lo='ylo', hi='yhi')}, 2)) < 3.5 AND e.began < c.t + INTERVAL 20 DAY AND e.began > c.t - INTERVAL 20 DAY))"""
 
 
-@query("drop_near_existing", _NEAR)
+# sites stand right of the scenes' strip of their basin, so that some scenes are far enough from all
+@query("drop_near_existing", _NEAR.replace("SELECT * FROM g_scene_event", "SELECT began, xlo + 3 AS xlo, ylo + 4.5E0 AS ylo, xhi + 3 AS xhi, yhi + 4.5E0 AS yhi FROM g_scene_event"))
 def _near(v):
-    return drop_near_existing(_near_candidates(v), v("g_scene_event").where("basin_key % 8 = 0"), days=6).select("event_id")
+    moved = v("g_scene_event").select("began", (F.col("xlo") + 3).alias("xlo"), (F.col("ylo") + 4.5).alias("ylo"), (F.col("xhi") + 3).alias("xhi"), (F.col("yhi") + 4.5).alias("yhi"))
+    return drop_near_existing(_near_candidates(v), moved).select("event_id")
 
 
-@query("drop_near_all_existing", _NEAR.replace(" WHERE basin_key % 8 = 0", "").replace("<= 6))", "<= 20))"))
+@query("drop_near_all_existing", _NEAR)
 def _near_all(v):
     return drop_near_existing(_near_candidates(v), v("g_scene_event")).select("event_id")
 
 
+def _near_candidates(v):
+    return v("g_scene").select("event_id", F.col("start_time").alias("day"), "xlo", "ylo", (F.col("xlo") + 2.5).alias("xhi"), (F.col("ylo") + 2.5).alias("yhi"))
+
+
 @query("distribution_report", """WITH r AS (SELECT 'continent' AS "by", continent AS value, flooding FROM g_roi UNION ALL SELECT 'fold', fold, flooding FROM g_roi),
     m AS (SELECT "by", value, CAST(count_if(flooding) AS BIGINT) AS created, count_if(NOT flooding) * 0.5E0 AS negative FROM r GROUP BY "by", value), e AS (SELECT continent AS value, count(*) AS expected FROM g_basin GROUP BY continent)
     SELECT m."by", m.value, created, negative, expected FROM m LEFT JOIN e ON m."by" = 'continent' AND m.value = e.value""")

@@ -97,8 +97,8 @@ def select_sites(candidates: DataFrame, expected: DataFrame, degrees: float = 3.
     """Sites picked by falling impact, for each continent on its own.
 
     ``candidates`` (continent, id, hybas_id, impact, zone, day, box); ``expected`` (continent, zone, basins). A
-    candidate is left out if its zone already has ``basins + slack`` sites, if it overlaps an accepted site, or
-    if it lies within ``degrees`` and ``days`` of one. The walk depends on what came before, so it is one task
+    candidate is left out if its zone already has ``basins + slack`` sites, if it shares area with an accepted site,
+    or if it lies within less than ``degrees`` and ``days`` of one. The walk depends on what came before, so it is one task
     for each continent, over ``chunk`` candidates a round; only accepted sites, as many as are expected at
     most, go on to the next round.
     """
@@ -124,10 +124,10 @@ def select_sites(candidates: DataFrame, expected: DataFrame, degrees: float = 3.
                 continue
             if boxes:
                 b, t = np.array(boxes), np.array(times)
-                dx = np.maximum(np.maximum(b[:, 0] - row["xhi"], row["xlo"] - b[:, 2]), 0)
-                dy = np.maximum(np.maximum(b[:, 1] - row["yhi"], row["ylo"] - b[:, 3]), 0)
-                gap = np.hypot(dx, dy)
-                if ((gap <= 0) | (gap < degrees) & (np.abs(t - day) <= days)).any():
+                dx = np.maximum(b[:, 0] - row["xhi"], row["xlo"] - b[:, 2])
+                dy = np.maximum(b[:, 1] - row["yhi"], row["ylo"] - b[:, 3])
+                gap = np.hypot(np.maximum(dx, 0), np.maximum(dy, 0))
+                if ((dx < 0) & (dy < 0) | (gap < degrees) & (np.abs(t - day) < days)).any():
                     continue
             boxes.append([row["xlo"], row["ylo"], row["xhi"], row["yhi"]])
             times.append(day)

@@ -399,11 +399,11 @@ def _land(v):
     return decoded(v).where("band = 'surface_pressure'").groupBy("gx", "gy").agg((F.count("value") > 0).alias("land"))
 
 
-@query("argmax_class", """WITH a AS (SELECT vec_id, CAST(list_position(embedding[1:3], list_max(embedding[1:3])) - 1 AS INT) AS class FROM embeddings)
-    SELECT vec_id, class, CASE class WHEN 0 THEN '1,0,0' WHEN 1 THEN '0,1,0' ELSE '0,0,1' END AS hot FROM a""")
+@query("argmax_class", """WITH a AS (SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS class, CAST(len(embedding) AS INT) AS n FROM embeddings)
+    SELECT vec_id, class, repeat('0,', class) || '1' || repeat(',0', n - 1 - class) AS hot FROM a""")
 def _argmax(v):
-    c = argmax_class(F.slice("embedding", 1, 3))
-    return v.table("embeddings").select("vec_id", c.alias("class"), F.array_join(one_hot(c, 3), ",").alias("hot"))
+    c, e = argmax_class(F.col("embedding")), F.col("embedding")
+    return v.table("embeddings").select("vec_id", c.alias("class"), F.array_join(F.transform(e, lambda x, i: (i == c).cast("int")), ",").alias("hot"))
 
 
 @query("hour_offset_rows", "SELECT event_id, date_diff('hour', TIMESTAMP '1900-01-01', date_trunc('hour', start_time)) AS hour FROM g_scene WHERE date_diff('hour', TIMESTAMP '1900-01-01', date_trunc('hour', start_time)) BETWEEN date_diff('hour', TIMESTAMP '1900-01-01', TIMESTAMP '2024-01-05') AND date_diff('hour', TIMESTAMP '1900-01-01', TIMESTAMP '2024-01-12')")

@@ -12,18 +12,18 @@ DISK = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if i * i + j * j <= 4
 
 
 def weather_series(rows: DataFrame, window: int = 20) -> DataFrame:
-    """For each cell, band and day the values of the last ``window`` days in order, null where a day is missing.
+    """For each cell, band and day the values of the last ``window`` days in order, null where a day is missing; a series begins with its band's first day.
 
-    A day spine is joined, so that a row count back is a day count back; spines are as long as the band's days.
+    A window over the number of the day reaches back over gaps, so there are no rows for days without a value.
     """
     keys = ["gx", "gy", "band"]
-    daily = rows.groupBy(*keys, "day").agg(F.avg("value").alias("value"))
-    spine = daily.groupBy(*keys).agg(F.min("day").alias("a"), F.max("day").alias("b")).select(*keys, F.explode(F.sequence("a", "b")).alias("day"))
-    last = Window.partitionBy(*keys).orderBy("day").rowsBetween(1 - window, 0)
-    filled = spine.join(daily, [*keys, "day"], "left").withColumn("known", F.col("value").isNotNull())
-    # nulls are kept by packing each value
-    series = filled.withColumn("series", F.transform(F.collect_list(F.struct("value")).over(last), lambda x: x["value"]))
-    return series.where("known").select(*keys, "day", "series")
+    at = F.datediff("day", F.lit("1970-01-01"))
+    daily = rows.groupBy(*keys, "day").agg(F.avg("value").alias("value")).withColumn("at", at)
+    last = Window.partitionBy(*keys).orderBy("at").rangeBetween(1 - window, 0)
+    held = F.collect_list(F.when(F.col("value").isNotNull(), F.struct("at", "value"))).over(last)
+    found = daily.select(*keys, "day", "at", "value", F.min("at").over(Window.partitionBy(*keys)).alias("first"), held.alias("held")).where(F.col("value").isNotNull())
+    days = F.sequence(F.greatest(F.col("first"), F.col("at") - (window - 1)), "at")
+    return found.select(*keys, "day", F.transform(days, lambda d: F.get(F.filter("held", lambda h: h["at"] == d), F.lit(0))["value"]).alias("series"))
 
 
 def resample_linear(grid: DataFrame, points: DataFrame) -> DataFrame:
@@ -72,23 +72,29 @@ def mosaic(rows: DataFrame, order: Column, last: bool, *by: str) -> DataFrame:
 
 
 def band_stats(rows: DataFrame, flags: tuple[str, ...] = ()) -> DataFrame:
-    """Mean and population deviation of each band from sums; nulls are left out, bands of classes keep 0 and 1."""
+    """Mean and population deviation of each band, merged from centred moments; nulls are left out, bands of classes keep 0 and 1."""
     x = F.col("value")
-    s = rows.where(x.isNotNull()).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
-    mean = F.col("s") / F.col("n")
-    std = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))
+    s = rows.where(x.isNotNull()).groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"))
     plain = F.col("band").isin(*flags) if flags else F.lit(False)
-    return s.select("band", "n", F.when(plain, 0.0).otherwise(mean).alias("mean"), F.when(plain, 1.0).otherwise(std).alias("std"))
+    return s.select("band", "n", F.when(plain, 0.0).otherwise(F.col("mean")).alias("mean"), F.when(plain, 1.0).otherwise(F.col("std")).alias("std"))
 
 
 def fold_stats(rows: DataFrame) -> DataFrame:
-    """For each fold and band the mean and deviation over all rows that are not in the fold: the total less the fold's own sums."""
+    """For each fold and band the mean and deviation over all rows that are not in the fold.
+
+    One pass gives each fold's count, mean and variance; those of the others are merged around the band's own
+    mean, so that nothing large is subtracted.
+    """
     x = F.col("value")
-    s = rows.where(x.isNotNull()).groupBy("fold", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    s = rows.where(x.isNotNull()).groupBy("fold", "band").agg(F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("var"))
+    # one row for each fold and band from here on
     whole = Window.partitionBy("band")
-    others = s.select("fold", "band", *[(F.sum(c).over(whole) - F.col(c)).alias(c) for c in ("n", "s", "q")]).where("n > 0")
-    mean = F.col("s") / F.col("n")
-    return others.select("fold", "band", "n", mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"))
+    s = s.withColumn("d", F.col("mean") - F.sum(F.col("mean") * F.col("n")).over(whole) / F.sum("n").over(whole))
+    sums = {"on": F.col("n"), "od": F.col("n") * F.col("d"), "oq": F.col("n") * (F.col("var") + F.col("d") * F.col("d"))}
+    others = s.select("*", *[(F.sum(c).over(whole) - c).alias(name) for name, c in sums.items()]).where("on > 0")
+    shift = F.col("od") / F.col("on")
+    var = F.col("oq") / F.col("on") - shift * shift
+    return others.select("fold", "band", F.col("on").alias("n"), (F.col("mean") - F.col("d") + shift).alias("mean"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"))
 
 
 def nan_reductions(rows: DataFrame, *by: str) -> DataFrame:

@@ -13,8 +13,16 @@ def with_box(scenes: DataFrame) -> DataFrame:
     return scenes.withColumns({"xhi": F.col("xlo") + SIDE, "yhi": F.col("ylo") + SIDE})
 
 
+def dual(scenes: DataFrame) -> DataFrame:
+    """Scenes with both polarizations; all later steps work on these."""
+    return scenes.where(F.col("polarization") == "VV+VH")
+
+
 def scene_day_groups(scenes: DataFrame) -> DataFrame:
-    """Runs of scenes of one day in the order of time, for each basin and direction, with the box that they share."""
+    """Runs of scenes of one day in the order of time, for each basin and direction, with the box around all of them.
+
+    Scenes of one day are successive captures of a basin that is wider than one, so a day's footprint is their union.
+    """
     day = F.to_date("start_time")
     order = Window.partitionBy("basin_key", "flight_direction").orderBy("start_time", "event_id")
     flagged = scenes.withColumn("day", day).withColumn("starts", (F.lag("day").over(order).isNull() | (F.lag("day").over(order) != F.col("day"))).cast("int"))
@@ -23,8 +31,8 @@ def scene_day_groups(scenes: DataFrame) -> DataFrame:
 
 
 def footprint() -> list[Column]:
-    """The box that all scenes of a group share; it may be empty (xlo >= xhi)."""
-    return [F.max("xlo").alias("xlo"), F.max("ylo").alias("ylo"), (F.min("xlo") + SIDE).alias("xhi"), (F.min("ylo") + SIDE).alias("yhi")]
+    """The box around the scenes of a group."""
+    return [F.min("xlo").alias("xlo"), F.min("ylo").alias("ylo"), (F.max("xlo") + SIDE).alias("xhi"), (F.max("ylo") + SIDE).alias("yhi")]
 
 
 def footprint_intersection(groups: DataFrame, *by: str) -> DataFrame:
@@ -35,7 +43,7 @@ def footprint_intersection(groups: DataFrame, *by: str) -> DataFrame:
 
 def scene_eligibility(scenes: DataFrame, events: DataFrame, n: int = 3) -> DataFrame:
     """Basins and the direction to use: at least n - 1 scene days before the event and one after; ascending is preferred."""
-    days = scenes.where(F.col("polarization") == "VV+VH").select("basin_key", "flight_direction", F.to_date("start_time").alias("day")).distinct()
+    days = dual(scenes).select("basin_key", "flight_direction", F.to_date("start_time").alias("day")).distinct()
     counts = days.join(events.select("basin_key", "began"), "basin_key").groupBy("basin_key", "flight_direction").agg(F.count_if(F.col("day") < F.col("began")).alias("n_before"), F.count_if(F.col("day") >= F.col("began")).alias("n_after"))
     fit = counts.where((F.col("n_before") >= n - 1) & (F.col("n_after") >= 1))
     return fit.groupBy("basin_key").agg(F.min("flight_direction").alias("flight_direction"), F.min_by("n_before", "flight_direction").alias("n_before"), F.min_by("n_after", "flight_direction").alias("n_after"))
@@ -57,28 +65,43 @@ def latest_covering_scene(scenes: DataFrame, events: DataFrame, days: int = 60,
     return events.select("basin_key", "began").join(newest, "basin_key", "left").withColumn("day", F.coalesce(F.to_date("start_time"), F.col("began"))).drop("start_time")
 
 
-def scene_tuplets(groups: DataFrame, min_area: float, n: int = 3) -> DataFrame:
-    """For each day group the closest earlier pair (n = 3) or single (n = 2) whose common box has more than ``min_area``.
+def scene_tuplets(groups: DataFrame, events: DataFrame, min_area: float, n: int = 3) -> DataFrame:
+    """For each day group from the event (basin_key, began) on, the closest earlier pair (n = 3) or single (n = 2) whose common box has more than ``min_area``.
 
-    Groups are numbered within basin and direction; earlier ones are joined on that key, nearest first.
+    Positions k, j, i count the groups of a basin and direction in the order of time. There is one group a day at
+    most, so a task can hold all groups of a key: it walks back from each k and stops at the first that fits.
     """
-    keys = ["basin_key", "flight_direction"]
-    at = groups.select(*keys, F.row_number().over(Window.partitionBy(*keys).orderBy("day", "grp")).alias("pos"), "xlo", "ylo", "xhi", "yhi")
-    area = F.greatest(F.col("xhi") - F.col("xlo"), F.lit(0.0)) * F.greatest(F.col("yhi") - F.col("ylo"), F.lit(0.0))
-
-    def meet(left: DataFrame, name: str, before: str) -> DataFrame:
-        other = at.select(*keys, F.col("pos").alias(name), *[F.col(c).alias(f"o_{c}") for c in ("xlo", "ylo", "xhi", "yhi")])
-        pairs = left.join(other, keys).where(F.col(name) < F.col(before))
-        kept = {"xlo": F.greatest("xlo", "o_xlo"), "ylo": F.greatest("ylo", "o_ylo"), "xhi": F.least("xhi", "o_xhi"), "yhi": F.least("yhi", "o_yhi")}
-        # more scenes only make a box smaller, so small ones go at once
-        return pairs.withColumns(kept).drop(*[f"o_{c}" for c in kept]).where(area > min_area)
+    import numpy as np
+    import pandas as pd
 
-    found = meet(at.withColumnRenamed("pos", "k"), "j", "k")
-    order = [F.desc("j")]
-    if n == 3:
-        found, order = meet(found, "i", "j"), [F.desc("j"), F.desc("i")]
-    first = Window.partitionBy(*keys, "k").orderBy(*order)
-    return found.withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank").withColumn("area", area)
+    keys = ["basin_key", "flight_direction"]
+    columns = [*keys, "k", "j", "i", "xlo", "ylo", "xhi", "yhi"]
+
+    def common(boxes: np.ndarray, box: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each box shares with one, and which of these are large enough, the last first."""
+        both = np.concatenate((np.maximum(boxes[:, :2], box[:2]), np.minimum(boxes[:, 2:], box[2:])), axis=1)
+        return both, np.flatnonzero(np.maximum(both[:, 2:] - both[:, :2], 0).prod(1) > min_area)[::-1]
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["day", "grp"])
+        boxes, found = pdf[["xlo", "ylo", "xhi", "yhi"]].to_numpy(float), []
+        key = tuple(pdf[keys].iloc[0])
+        for k in np.flatnonzero(pdf["first_time"] >= pd.Timestamp(pdf["began"].iloc[0])):
+            pair, fit = common(boxes[:k], boxes[k])
+            for j in fit:
+                if n == 2:
+                    found.append((*key, k + 1, j + 1, None, *pair[j]))
+                    break
+                three, last = common(boxes[:j], pair[j])
+                if len(last):
+                    found.append((*key, k + 1, j + 1, last[0] + 1, *three[last[0]]))
+                    break
+        return pd.DataFrame(found, columns=columns)
+
+    rows = groups.join(events.select("basin_key", "began"), "basin_key").select(*keys, "grp", "day", F.col("first_time").cast("timestamp_ntz").alias("first_time"), F.col("began").cast("timestamp_ntz").alias("began"), "xlo", "ylo", "xhi", "yhi")
+    types = ", ".join(f"{c} {groups.schema[c].dataType.simpleString()}" for c in keys)
+    found = rows.groupBy(*keys).applyInPandas(walk, f"{types}, k int, j int, i int, xlo double, ylo double, xhi double, yhi double")
+    return found.withColumn("area", (F.col("xhi") - F.col("xlo")) * (F.col("yhi") - F.col("ylo")))
 
 
 def matching_scene(tiles: DataFrame, groups: DataFrame) -> DataFrame:
@@ -88,30 +111,35 @@ def matching_scene(tiles: DataFrame, groups: DataFrame) -> DataFrame:
     return tiles.join(g, (tiles["basin_key"] == g["basin_key"]) & (tiles["day"] == g["day"]) & inside, "left_semi")
 
 
-def search_funnel(scenes: DataFrame, events: DataFrame) -> DataFrame:
-    """How many basins are left after each test, by direction."""
-    dual = F.col("polarization") == "VV+VH"
-    j = scenes.join(events.select("basin_key", "began"), "basin_key").withColumn("day", F.to_date("start_time"))
-    per = j.groupBy("basin_key", "flight_direction").agg(F.count_if(dual).alias("n_dual"), F.count_if(dual & (F.col("day") < F.col("began"))).alias("n_before"), F.count_if(dual & (F.col("day") >= F.col("began"))).alias("n_after"))
-    enough = F.col("n_before") >= 2
-    return per.groupBy("flight_direction").agg(F.count(F.lit(1)).alias("searched"), F.count_if(F.col("n_dual") > 0).alias("dual"), F.count_if(enough).alias("before"), F.count_if(enough & (F.col("n_after") >= 1)).alias("after"))
+def search_funnel(scenes: DataFrame, events: DataFrame, n: int = 3) -> DataFrame:
+    """How many basins are left after each test, by direction: any scene, ``n`` dual ones, ``n`` days of them, n - 1 days before the event, one from it on."""
+    j = scenes.join(events.select("basin_key", "began"), "basin_key").withColumn("day", F.when(F.col("polarization") == "VV+VH", F.to_date("start_time")))
+    days = j.groupBy("basin_key", "flight_direction", "day").agg(F.count("day").alias("n_dual"), F.first("began").alias("began"))
+    early = F.col("day") < F.col("began")
+    per = days.groupBy("basin_key", "flight_direction").agg(F.sum("n_dual").alias("n_dual"), F.count("day").alias("n_days"), F.count_if(early).alias("n_before"), F.count_if(~early).alias("n_after"))
+    steps, found = {"dual": F.col("n_dual") >= n, "days": F.col("n_days") >= n, "before": F.col("n_before") >= n - 1, "after": F.col("n_after") >= 1}, {}
+    held = F.lit(True)
+    for name, test in steps.items():
+        held = held & test
+        found[name] = F.count_if(held)
+    return per.groupBy("flight_direction").agg(F.count(F.lit(1)).alias("searched"), *[c.alias(name) for name, c in found.items()])
 
 
 # --- queries -------------------------------------------------------------------------------------------------
 
-_GROUPS = """f AS (SELECT *, CAST(start_time AS DATE) AS day, CASE WHEN lag(CAST(start_time AS DATE)) OVER o IS DISTINCT FROM CAST(start_time AS DATE) THEN 1 ELSE 0 END AS starts FROM g_scene WINDOW o AS (PARTITION BY basin_key, flight_direction ORDER BY start_time, event_id)),
+_GROUPS = """f AS (SELECT *, CAST(start_time AS DATE) AS day, CASE WHEN lag(CAST(start_time AS DATE)) OVER o IS DISTINCT FROM CAST(start_time AS DATE) THEN 1 ELSE 0 END AS starts FROM g_scene WHERE polarization = 'VV+VH' WINDOW o AS (PARTITION BY basin_key, flight_direction ORDER BY start_time, event_id)),
     h AS (SELECT *, CAST(sum(starts) OVER (PARTITION BY basin_key, flight_direction ORDER BY start_time, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM f),
-    g AS (SELECT basin_key, flight_direction, grp, day, count(*) AS n_scenes, min(start_time) AS first_time, max(xlo) AS xlo, max(ylo) AS ylo, min(xlo) + 2.5E0 AS xhi, min(ylo) + 2.5E0 AS yhi FROM h GROUP BY basin_key, flight_direction, grp, day)"""
+    g AS (SELECT basin_key, flight_direction, grp, day, count(*) AS n_scenes, min(start_time) AS first_time, min(xlo) AS xlo, min(ylo) AS ylo, max(xlo + 2.5E0) AS xhi, max(ylo + 2.5E0) AS yhi FROM h GROUP BY basin_key, flight_direction, grp, day)"""
 
 
 @query("scene_day_groups", f"WITH {_GROUPS} SELECT * FROM g")
 def _day_groups(v):
-    return scene_day_groups(v("g_scene"))
+    return scene_day_groups(dual(v("g_scene")))
 
 
 @query("footprint_intersection", f"WITH {_GROUPS}, s AS (SELECT basin_key, day, max(xlo) AS xlo, max(ylo) AS ylo, min(xhi) AS xhi, min(yhi) AS yhi FROM g GROUP BY basin_key, day) SELECT *, greatest(xhi - xlo, 0) * greatest(yhi - ylo, 0) AS area FROM s")
 def _footprint(v):
-    return footprint_intersection(scene_day_groups(v("g_scene")), "basin_key", "day")
+    return footprint_intersection(scene_day_groups(dual(v("g_scene"))), "basin_key", "day")
 
 
 @query("scene_eligibility", """WITH d AS (SELECT DISTINCT basin_key, flight_direction, CAST(start_time AS DATE) AS day FROM g_scene WHERE polarization = 'VV+VH'),
@@ -133,24 +161,26 @@ def _covering(v):
     return latest_covering_scene(v("g_scene"), v("g_scene_event"))
 
 
-_TUPLETS = """a AS (SELECT *, row_number() OVER (PARTITION BY basin_key, flight_direction ORDER BY day, grp) AS pos FROM g),
+# all triples of days are compared here; the reference area is such that several days fail
+_TUPLETS = """a AS (SELECT g.*, row_number() OVER (PARTITION BY g.basin_key, flight_direction ORDER BY day, grp) AS pos, first_time >= began AS late FROM g JOIN g_scene_event e ON g.basin_key = e.basin_key),
     t AS (SELECT k.basin_key, k.flight_direction, CAST(k.pos AS INT) AS k, CAST(j.pos AS INT) AS j, CAST(i.pos AS INT) AS i, greatest(k.xlo, j.xlo, i.xlo) AS xlo, greatest(k.ylo, j.ylo, i.ylo) AS ylo, least(k.xhi, j.xhi, i.xhi) AS xhi, least(k.yhi, j.yhi, i.yhi) AS yhi
-      FROM a k JOIN a j ON k.basin_key = j.basin_key AND k.flight_direction = j.flight_direction AND j.pos < k.pos JOIN a i ON k.basin_key = i.basin_key AND k.flight_direction = i.flight_direction AND i.pos < j.pos),
-    r AS (SELECT *, greatest(xhi - xlo, 0) * greatest(yhi - ylo, 0) AS area FROM t), q AS (SELECT *, row_number() OVER (PARTITION BY basin_key, flight_direction, k ORDER BY j DESC, i DESC) AS rn FROM r WHERE area > 1.0)"""
+      FROM a k JOIN a j ON k.basin_key = j.basin_key AND k.flight_direction = j.flight_direction AND j.pos < k.pos JOIN a i ON k.basin_key = i.basin_key AND k.flight_direction = i.flight_direction AND i.pos < j.pos WHERE k.late),
+    r AS (SELECT *, greatest(xhi - xlo, 0) * greatest(yhi - ylo, 0) AS area FROM t), q AS (SELECT *, row_number() OVER (PARTITION BY basin_key, flight_direction, k ORDER BY j DESC, i DESC) AS rn FROM r WHERE area > 6.5)"""
 
 
 @query("scene_tuplets", f"WITH {_GROUPS}, {_TUPLETS} SELECT basin_key, flight_direction, k, j, i, area FROM q WHERE rn = 1")
 def _tuplets(v):
-    return scene_tuplets(scene_day_groups(v("g_scene")), 1.0).select("basin_key", "flight_direction", "k", "j", "i", "area")
+    return scene_tuplets(scene_day_groups(dual(v("g_scene"))), v("g_scene_event"), 6.5).select("basin_key", "flight_direction", "k", "j", "i", "area")
 
 
 @query("matching_scene", f"WITH {_GROUPS} SELECT basin_key, began AS day FROM g_scene_event e WHERE EXISTS (SELECT 1 FROM g WHERE g.basin_key = e.basin_key AND g.day = e.began AND e.xlo + 1 >= g.xlo AND e.ylo + 1 >= g.ylo AND e.xlo + 1.5 <= g.xhi AND e.ylo + 1.5 <= g.yhi)")
 def _matching(v):
     tiles = v("g_scene_event").select("basin_key", F.col("began").alias("day"), (F.col("xlo") + 1).alias("xlo"), (F.col("ylo") + 1).alias("ylo"), (F.col("xlo") + 1.5).alias("xhi"), (F.col("ylo") + 1.5).alias("yhi"))
-    return matching_scene(tiles, scene_day_groups(v("g_scene"))).select("basin_key", "day")
+    return matching_scene(tiles, scene_day_groups(dual(v("g_scene")))).select("basin_key", "day")
 
 
-@query("search_funnel", """WITH p AS (SELECT s.basin_key, flight_direction, count_if(polarization = 'VV+VH') AS d, count_if(polarization = 'VV+VH' AND CAST(start_time AS DATE) < began) AS b, count_if(polarization = 'VV+VH' AND CAST(start_time AS DATE) >= began) AS a FROM g_scene s JOIN g_scene_event e ON s.basin_key = e.basin_key GROUP BY s.basin_key, flight_direction)
-    SELECT flight_direction, count(*) AS searched, CAST(count_if(d > 0) AS BIGINT) AS dual, CAST(count_if(b >= 2) AS BIGINT) AS before, CAST(count_if(b >= 2 AND a >= 1) AS BIGINT) AS after FROM p GROUP BY flight_direction""")
+@query("search_funnel", """WITH d AS (SELECT s.basin_key, flight_direction, CASE WHEN polarization = 'VV+VH' THEN CAST(start_time AS DATE) END AS day, began FROM g_scene s JOIN g_scene_event e ON s.basin_key = e.basin_key),
+    p AS (SELECT basin_key, flight_direction, count(day) AS n, count(DISTINCT day) AS d, count(DISTINCT CASE WHEN day < began THEN day END) AS b, count(DISTINCT CASE WHEN day >= began THEN day END) AS a FROM d GROUP BY basin_key, flight_direction)
+    SELECT flight_direction, count(*) AS searched, CAST(count_if(n >= 3) AS BIGINT) AS dual, CAST(count_if(n >= 3 AND d >= 3) AS BIGINT) AS days, CAST(count_if(n >= 3 AND d >= 3 AND b >= 2) AS BIGINT) AS before, CAST(count_if(n >= 3 AND d >= 3 AND b >= 2 AND a >= 1) AS BIGINT) AS after FROM p GROUP BY flight_direction""")
 def _funnel(v):
     return search_funnel(v("g_scene"), v("g_scene_event"))

@@ -118,7 +118,7 @@ def _ensemble(v):
 def _blend(v):
     e = v.table("embeddings")
     k = F.floor(F.col("vec_id") / 4)
-    tiles = e.select((F.col("vec_id") % 2).cast("int").alias("ox"), (F.floor(F.col("vec_id") / 2) % 2).cast("int").alias("oy"), (k % 16).alias("tx"), F.floor(k / 16).alias("ty"), F.slice(F.transform("embedding", lambda x: x.cast("double")), 1, 64).alias("values"))
+    tiles = e.select((F.col("vec_id") % 2).cast("int").alias("ox"), (F.floor(F.col("vec_id") / 2) % 2).cast("int").alias("oy"), (k % 16).alias("tx"), F.floor(k / 16).alias("ty"), F.transform("embedding", lambda x: x.cast("double")).alias("values"))
     return blend_offset_tiles(tiles, 8).select("tx", "ty", F.transform("blended", lambda x: F.round(x, 6)).alias("blended"))
 
 

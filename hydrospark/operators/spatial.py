@@ -7,9 +7,11 @@ corner of what the two boxes share, so no ``distinct`` is needed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hydrospark.plans.registry import query
+from hydrospark.plans.registry import ORACLES, QUERIES, query
 
 CELL = 3.0  # degrees
 MARGIN = 1e-9  # boxes are snapped outward by it, so that touching ones share a cell
@@ -53,13 +55,29 @@ def overlap_join(a: DataFrame, b: DataFrame, threshold: float = 0.3, size: float
 
 
 def points_in_areas(points: DataFrame, areas: DataFrame, key: str, size: float = CELL) -> DataFrame:
-    """The area that holds each point (lower and left edges belong to it); of several the one with the least ``key``."""
+    """The area that holds each point (lower and left edges belong to it); of several the one with the least ``key``.
+
+    Areas are boxes, or polygons if they have a ``ring`` beside their box: cells and boxes find the candidates, then
+    the ring decides.
+    """
     at = points.withColumns({"cx": F.floor(F.col("px") / size), "cy": F.floor(F.col("py") / size)})
     pairs = at.join(in_cells(areas, size), ["cx", "cy"])
     inside = (F.col("px") >= F.col("xlo")) & (F.col("px") < F.col("xhi")) & (F.col("py") >= F.col("ylo")) & (F.col("py") < F.col("yhi"))
+    if "ring" in areas.columns:
+        inside = inside & ring_holds(F.col("ring"), F.col("px"), F.col("py"))
     return pairs.where(inside).groupBy(*points.columns).agg(F.min(key).alias(key))
 
 
+def with_bounds(areas: DataFrame, ring: str = "ring") -> DataFrame:
+    """Areas with the bounds of their rings as xlo, ylo, xhi, yhi."""
+    of = lambda c: F.transform(ring, lambda p: p[c])
+    return areas.withColumns({"xlo": F.array_min(of("x")), "ylo": F.array_min(of("y")), "xhi": F.array_max(of("x")), "yhi": F.array_max(of("y"))})
+
+
+def ring_of(*corners: tuple[Column, Column]) -> Column:
+    return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners])
+
+
 def ring_holds(ring: Column, x: Column, y: Column) -> Column:
     """Whether a ring, array of (x, y), holds a point: an odd number of its sides lie to the right of it."""
     n = F.size(ring)
@@ -72,24 +90,54 @@ def ring_holds(ring: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.transform(ring, crossings), F.lit(0), lambda a, b: a + b) % 2 == 1
 
 
-def lines_hit_grid(rivers: DataFrame, tiles: DataFrame, min_flow: int, most: int | None = None) -> DataFrame:
-    """Tiles (tx, ty) that a river with enough flow touches, with the number of rivers; at most ``most`` for each ROI.
+def _hits(rivers: DataFrame) -> DataFrame:
+    """(river_id, tx, ty) of the tiles that segments touch, edges included.
 
-    A segment is cut at whole x; in each column it covers the rows between its heights there.
+    A segment, its ends in the order of x, is cut at whole x; in each column it covers the rows between its heights
+    there. An upright one has one column (two on an edge) and all its height.
     """
-    large = rivers.where(F.col("riv_tc_usu") > min_flow)
-    columns = large.withColumn("tx", F.explode(F.sequence(F.floor("x1"), F.floor("x2"))))
-    slope = (F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1"))
-    height = lambda x: F.col("y1") + slope * (F.least(F.greatest(x, F.col("x1")), F.col("x2")) - F.col("x1"))
-    a, b = height(F.col("tx").cast("double")), height(F.col("tx") + 1.0)
-    hit = columns.withColumn("ty", F.explode(F.sequence(F.floor(F.least(a, b)), F.floor(F.greatest(a, b))))).groupBy("tx", "ty").agg(F.count_distinct("river_id").alias("n_rivers"))
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    back = x1 > x2
+    ends = {"ax": F.when(back, x2).otherwise(x1), "ay": F.when(back, y2).otherwise(y1), "bx": F.when(back, x1).otherwise(x2), "by": F.when(back, y1).otherwise(y2)}
+    columns = rivers.select("river_id", *[c.alias(name) for name, c in ends.items()]).withColumn("tx", F.explode(F.sequence(F.ceil("ax") - 1, F.floor("bx"))))
+    run = F.col("bx") - F.col("ax")
+    height = lambda x: F.col("ay") + (F.col("by") - F.col("ay")) / F.when(run == 0, 1.0).otherwise(run) * (F.least(F.greatest(x, F.col("ax")), F.col("bx")) - F.col("ax"))
+    upright = run == 0
+    low, high = height(F.col("tx").cast("double")), height(F.col("tx") + 1.0)
+    low, high = F.when(upright, F.col("ay")).otherwise(low), F.when(upright, F.col("by")).otherwise(high)
+    return columns.select("river_id", "tx", F.explode(F.sequence(F.ceil(F.least(low, high)) - 1, F.floor(F.greatest(low, high)))).alias("ty"))
+
+
+def lines_hit_grid(rivers: DataFrame, tiles: DataFrame, min_flow: int, most: int | None = None) -> DataFrame:
+    """Tiles (tx, ty) that a river with enough flow touches, with the number of rivers; the first ``most`` of each ROI, column by column."""
+    hit = _hits(rivers.where(F.col("riv_tc_usu") > min_flow)).groupBy("tx", "ty").agg(F.count_distinct("river_id").alias("n_rivers"))
     found = tiles.join(hit, ["tx", "ty"])
     if most is None:
         return found
-    order = Window.partitionBy("roi_id").orderBy(F.desc("n_rivers"), "tile_id")
+    order = Window.partitionBy("roi_id").orderBy("tx", "ty", "tile_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
 
 
+def initial_tiles(rivers: DataFrame, tiles: DataFrame, min_flow: int = 500, most: int = 200, around: int = 2, centre: int = 3) -> DataFrame:
+    """(roi_id, tx, ty) where the search of a ROI's floods starts: its river tiles, grown by ``around``.
+
+    A ROI without large rivers takes rivers of any flow (up to ``min_flow`` tiles), one without rivers the tiles
+    around the middle of its grid. Grids go from (0, 0) to the ROI's largest tx and ty.
+    """
+    from hydrospark.operators.rasters import grow_window
+
+    grid = tiles.groupBy("roi_id").agg((F.max("tx") + 1).alias("w"), (F.max("ty") + 1).alias("h"))
+    large = lines_hit_grid(rivers, tiles, min_flow, most).select("roi_id", "tx", "ty")
+    left = tiles.join(large.select("roi_id").distinct(), "roi_id", "left_anti")
+    small = lines_hit_grid(rivers, left, 0, min_flow).select("roi_id", "tx", "ty")
+    bare = grid.join(large.select("roi_id").union(small.select("roi_id")).distinct(), "roi_id", "left_anti")
+    middle = grow_window(bare.select("roi_id", F.floor(F.col("w") / 2).alias("tx"), F.floor(F.col("h") / 2).alias("ty")), centre, 1 << 30, 1 << 30)
+    starts = large.union(small).union(middle)
+    # the starting tiles themselves are always inside of their own window
+    grown = grow_window(starts, around, 1 << 30, 1 << 30).join(grid, "roi_id")
+    return grown.where((F.col("tx") < F.col("w")) & (F.col("ty") < F.col("h"))).select("roi_id", "tx", "ty")
+
+
 def areas_without_rivers(tiles: DataFrame, rivers: DataFrame, min_flow: int) -> DataFrame:
     """ROIs of which no tile is touched by a river with enough flow."""
     return tiles.select("roi_id").distinct().join(lines_hit_grid(rivers, tiles, min_flow).select("roi_id").distinct(), "roi_id", "left_anti")
@@ -103,6 +151,58 @@ def overlay_weights(areas: DataFrame, cell: float, key: str) -> DataFrame:
     return spread.withColumn("area", w * h).where(F.col("area") > 0).withColumns({"area_share": F.col("area") / box_area(), "cell_share": F.col("area") / (cell * cell)})
 
 
+RING = "array<struct<x:double,y:double>>"
+
+
+def half_plane(a: Column, b: Column, c: Column) -> Column:
+    """The side of a line on which a x + b y >= c."""
+    return F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"), c.cast("double").alias("c"))
+
+
+def clipped(ring: Column, planes: Column) -> Column:
+    """The part of a ring on the one side of all ``planes``, an array of ``half_plane``: corners inside, and where sides cross a line.
+
+    Planes are taken in turn by a fold, so the ring is a variable in it and the expression stays small. The planes
+    enclose something convex; the ring may be any simple one.
+    """
+
+    def cut(own: Column, p: Column) -> Column:
+        above = lambda q: p["a"] * q["x"] + p["b"] * q["y"] - p["c"]
+
+        def corner(q: Column, i: Column) -> Column:
+            r = F.element_at(own, F.pmod(i + 1, F.size(own)) + 1)
+            share = above(q) / (above(q) - above(r))
+            at = F.struct((q["x"] + (r["x"] - q["x"]) * share).alias("x"), (q["y"] + (r["y"] - q["y"]) * share).alias("y"))
+            come, stay = above(r) >= 0, above(q) >= 0
+            return F.when(stay & come, F.array(r)).when(stay, F.array(at)).when(come, F.array(at, r)).otherwise(F.array().cast(RING))
+
+        return F.flatten(F.transform(own, corner)).cast(RING)
+
+    return F.aggregate(planes, ring.cast(RING), cut)
+
+
+def ring_planes(ring: Column) -> Column:
+    """The half planes of a convex ring's sides, counter-clockwise."""
+    side = lambda q, r: half_plane(q["y"] - r["y"], r["x"] - q["x"], (q["y"] - r["y"]) * q["x"] + (r["x"] - q["x"]) * q["y"])
+    return F.transform(ring, lambda q, i: side(q, F.element_at(ring, F.pmod(i + 1, F.size(ring)) + 1)))
+
+
+def overlap_area(ring: Column, convex: Column) -> Column:
+    """The area that a ring shares with a convex one; both counter-clockwise."""
+    return ring_area(clipped(ring, ring_planes(convex)))
+
+
+def ring_overlay_weights(areas: DataFrame, cell: float) -> DataFrame:
+    """Areas (with ``ring`` and its bounds) to the grid cells (gx, gy) under them, with the share of the area and the share of the cell."""
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.greatest(F.floor(F.col(lo) / cell), F.ceil(F.col(hi) / cell) - 1)))
+    spread = areas.withColumn("gx", span("xlo", "xhi")).withColumn("gy", span("ylo", "yhi"))
+    one, none = F.lit(1.0), F.lit(0.0)
+    x, y = F.col("gx") * F.lit(cell), F.col("gy") * F.lit(cell)
+    box = F.array(half_plane(one, none, x), half_plane(-one, none, -x - cell), half_plane(none, one, y), half_plane(none, -one, -y - cell))
+    shares = spread.withColumn("area", F.abs(ring_area(clipped(F.col("ring"), box)))).withColumn("area_share", F.col("area") / F.abs(ring_area(F.col("ring"))))
+    return shares.where(F.col("area") > 1e-9).withColumn("cell_share", F.col("area") / (cell * cell)).drop("ring")
+
+
 def areas_to_grid(areas: DataFrame, cell: float, key: str, absolute: str, relative: str, klass: str) -> DataFrame:
     """Attributes of areas on a grid: absolute ones are split by area, relative ones weighted by cell share, classes by vote."""
     weights = overlay_weights(areas, cell, key)
@@ -129,6 +229,14 @@ def union_cover(boxes: DataFrame, cell: float, *by: str) -> DataFrame:
     return spread.select(*by, "gx", "gy").distinct().groupBy(*by).agg((F.count(F.lit(1)) * (cell * cell)).alias("area"))
 
 
+def covered_share(areas: DataFrame, boxes: DataFrame, cell: float, key: str) -> DataFrame:
+    """The share of each area (key, box) that the union of ``boxes`` covers, as whole cells; exact for boxes on the grid."""
+    spread = lambda df: df.withColumn("gx", F.explode(F.sequence(F.floor(F.col("xlo") / cell), F.ceil(F.col("xhi") / cell) - 1))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("ylo") / cell), F.ceil(F.col("yhi") / cell) - 1)))
+    covered = spread(boxes.select("xlo", "ylo", "xhi", "yhi")).select("gx", "gy").distinct()
+    own = spread(areas.select(key, "xlo", "ylo", "xhi", "yhi"))
+    return own.join(covered, ["gx", "gy"]).groupBy(key, "xlo", "ylo", "xhi", "yhi").agg(F.count(F.lit(1)).alias("n")).select(key, (F.col("n") * (cell * cell) / box_area()).alias("share"))
+
+
 def hull(points: DataFrame, key: str) -> DataFrame:
     """Convex hull of each key's points (px, py) as a ring, counter-clockwise from the lowest left one (monotone chain).
 
@@ -159,9 +267,13 @@ def hull(points: DataFrame, key: str) -> DataFrame:
 
 def ring_area(ring: Column) -> Column:
     """Signed area of a ring: positive if counter-clockwise."""
-    n = F.size(ring)
-    cross = F.transform(ring, lambda a, i: a["x"] * F.element_at(ring, F.pmod(i + 1, n) + 1)["y"] - F.element_at(ring, F.pmod(i + 1, n) + 1)["x"] * a["y"])
-    return F.aggregate(cross, F.lit(0.0), lambda a, b: a + b) / 2
+
+    def area(own: Column) -> Column:
+        after = lambda i: F.element_at(own, F.pmod(i + 1, F.size(own)) + 1)
+        return F.aggregate(F.transform(own, lambda a, i: a["x"] * after(i)["y"] - after(i)["x"] * a["y"]), F.lit(0.0), lambda a, b: a + b) / 2
+
+    # in an array of its own the ring is a variable, worked out once
+    return F.get(F.transform(F.array(ring), area), F.lit(0))
 
 
 def hull_and_centroid(tiles: DataFrame) -> DataFrame:
@@ -215,6 +327,12 @@ def climate_zone_of(tiles: DataFrame, basins: DataFrame) -> DataFrame:
     return tiles.select("tile_id").join(found, "tile_id", "left")
 
 
+def zone_counts(basins: DataFrame, shapes: DataFrame, key: str, threshold: float = 0.3) -> DataFrame:
+    """Basins by climate zone of which a shape (key, box) covers more than ``threshold``."""
+    found = overlap_join(basins.select("hybas_id", "clz_cl_smj", "xlo", "ylo", "xhi", "yhi"), shapes.select(key, "xlo", "ylo", "xhi", "yhi"), threshold)
+    return found.groupBy(key, "clz_cl_smj").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- queries -------------------------------------------------------------------------------------------------
 
 _MEET = "a.xlo <= b.xhi AND b.xlo <= a.xhi AND a.ylo <= b.yhi AND b.ylo <= a.yhi"
@@ -237,14 +355,29 @@ def _overlap(v):
 
 @query("points_in_areas", "SELECT gauge_id, min(hybas_id) AS hybas_id FROM g_gauge g JOIN g_basin a ON lon >= xlo AND lon < xhi AND lat >= ylo AND lat < yhi GROUP BY gauge_id")
 def _points(v):
-    points = v("g_gauge").select("gauge_id", F.col("lon").alias("px"), F.col("lat").alias("py"))
-    return points_in_areas(points, v("g_basin").select("hybas_id", "xlo", "ylo", "xhi", "yhi"), "hybas_id").select("gauge_id", "hybas_id")
+    return points_in_areas(_gauge_points(v), v("g_basin").select("hybas_id", "xlo", "ylo", "xhi", "yhi"), "hybas_id").select("gauge_id", "hybas_id")
+
+
+def _gauge_points(v):
+    return v("g_gauge").select("gauge_id", F.col("lon").alias("px"), F.col("lat").alias("py"))
+
+
+def _notched(v):
+    """Basins as boxes with a wedge cut out of the upper side, down to a third of the height."""
+    at = lambda x, y: (F.col("xlo") + x, F.col("ylo") + y)
+    return v("g_basin").withColumn("ring", ring_of(at(0.0, 0.0), at(3.0, 0.0), at(3.0, 3.0), at(1.5, 1.0), at(0.0, 3.0)))
+
 
+@query("points_in_rings", "SELECT gauge_id, min(hybas_id) AS hybas_id FROM g_gauge g JOIN g_basin a ON lon >= xlo AND lon < xhi AND lat >= ylo AND 3 * (lat - ylo - 1) < 4 * abs(lon - xlo - 1.5E0) GROUP BY gauge_id")
+def _points_in_rings(v):
+    return points_in_areas(_gauge_points(v), _notched(v).select("hybas_id", "xlo", "ylo", "xhi", "yhi", "ring"), "hybas_id").select("gauge_id", "hybas_id")
 
-_HIT = """s AS (SELECT river_id, x1, y1, x2, y2, unnest(generate_series(CAST(floor(x1) AS BIGINT), CAST(floor(x2) AS BIGINT))) AS tx FROM g_river WHERE riv_tc_usu > {flow}),
-    h AS (SELECT river_id, tx, y1 + (y2 - y1) / (x2 - x1) * (least(greatest(tx, x1), x2) - x1) AS a, y1 + (y2 - y1) / (x2 - x1) * (least(greatest(tx + 1, x1), x2) - x1) AS b FROM s),
-    c AS (SELECT river_id, tx, unnest(generate_series(CAST(floor(least(a, b)) AS BIGINT), CAST(floor(greatest(a, b)) AS BIGINT))) AS ty FROM h),
-    n AS (SELECT tx, ty, count(DISTINCT river_id) AS n_rivers FROM c GROUP BY tx, ty)"""
+
+# a tile is touched if the boxes meet and its corners are not all on one side of the river's line
+_SIDE = "sign((x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1))"
+_CORNERS = [_SIDE.format(x=x, y=y) for x in ("tx", "tx + 1") for y in ("ty", "ty + 1")]
+_HIT = f"""t AS (SELECT DISTINCT tx, ty FROM g_tile), n AS (SELECT tx, ty, count(DISTINCT river_id) AS n_rivers FROM t JOIN g_river ON tx <= greatest(x1, x2) AND tx + 1 >= least(x1, x2) AND ty <= greatest(y1, y2) AND ty + 1 >= least(y1, y2)
+    WHERE riv_tc_usu > {{flow}} AND greatest({", ".join(_CORNERS)}) >= 0 AND least({", ".join(_CORNERS)}) <= 0 GROUP BY tx, ty)"""
 
 
 @query("lines_hit_grid", f"WITH {_HIT.format(flow=500)} SELECT t.roi_id, t.tile_id, n_rivers FROM g_tile t JOIN n ON t.tx = n.tx AND t.ty = n.ty")
@@ -252,14 +385,32 @@ def _lines(v):
     return lines_hit_grid(v("g_river"), v("g_tile"), 500).select("roi_id", "tile_id", "n_rivers")
 
 
-@query("capped_river_tiles", f"WITH {_HIT.format(flow=500)} SELECT roi_id, tile_id FROM (SELECT t.roi_id, t.tile_id, row_number() OVER (PARTITION BY t.roi_id ORDER BY n_rivers DESC, t.tile_id) AS r FROM g_tile t JOIN n ON t.tx = n.tx AND t.ty = n.ty) WHERE r <= 20")
+@query("capped_river_tiles", f"WITH {_HIT.format(flow=500)} SELECT roi_id, tile_id FROM (SELECT t.roi_id, t.tile_id, row_number() OVER (PARTITION BY t.roi_id ORDER BY t.tx, t.ty, t.tile_id) AS r FROM g_tile t JOIN n ON t.tx = n.tx AND t.ty = n.ty) WHERE r <= 20")
 def _capped(v):
     return lines_hit_grid(v("g_river"), v("g_tile"), 500, 20).select("roi_id", "tile_id")
 
 
-@query("areas_without_rivers", f"WITH {_HIT.format(flow=2980)} SELECT DISTINCT roi_id FROM g_tile WHERE roi_id NOT IN (SELECT t.roi_id FROM g_tile t JOIN n ON t.tx = n.tx AND t.ty = n.ty)")
+# an area is one column of a ROI's tiles
+@query("areas_without_rivers", f"WITH {_HIT.format(flow=2995)} SELECT DISTINCT roi_id * 64 + tx AS roi_id FROM g_tile WHERE roi_id * 64 + tx NOT IN (SELECT t.roi_id * 64 + t.tx FROM g_tile t JOIN n ON t.tx = n.tx AND t.ty = n.ty)")
 def _without(v):
-    return areas_without_rivers(v("g_tile"), v("g_river"), 2980)
+    return areas_without_rivers(v("g_tile").withColumn("roi_id", F.col("roi_id") * 64 + F.col("tx")), v("g_river"), 2995)
+
+
+# rivers of the first ten columns alone, so that all three kinds of start are met: ROIs above 60 keep their tiles right of column 20
+_STARTS = f"""g_tile2 AS (SELECT roi_id, tile_id, tx, ty FROM g_tile WHERE roi_id <= 60 OR tx > 20), g_river2 AS (SELECT * FROM g_river WHERE greatest(x1, x2) <= 10 OR greatest(x1, x2) > 50 AND riv_tc_usu <= 500),
+    {_HIT.format(flow=0).replace("g_tile", "g_tile2").replace("g_river", "g_river2").replace("t AS (", "t0 AS (", 1).replace("FROM t JOIN", "FROM t0 JOIN", 1)}, {_HIT.format(flow=500).replace("g_tile", "g_tile2").replace("g_river", "g_river2").replace("t AS (", "t1 AS (", 1).replace("FROM t JOIN", "FROM t1 JOIN", 1).replace("n AS (", "n1 AS (", 1)},
+    l AS (SELECT roi_id, tx, ty FROM (SELECT t.roi_id, t.tx, t.ty, row_number() OVER (PARTITION BY t.roi_id ORDER BY t.tx, t.ty, t.tile_id) AS r FROM g_tile2 t JOIN n1 ON t.tx = n1.tx AND t.ty = n1.ty) WHERE r <= 200),
+    m AS (SELECT roi_id, tx, ty FROM (SELECT t.roi_id, t.tx, t.ty, row_number() OVER (PARTITION BY t.roi_id ORDER BY t.tx, t.ty, t.tile_id) AS r FROM g_tile2 t JOIN n ON t.tx = n.tx AND t.ty = n.ty WHERE t.roi_id NOT IN (SELECT roi_id FROM l)) WHERE r <= 500),
+    b AS (SELECT roi_id, max(tx) + 1 AS w, max(ty) + 1 AS h FROM g_tile2 GROUP BY roi_id), o3 AS (SELECT unnest([-3, -2, -1, 0, 1, 2]) AS i), o2 AS (SELECT unnest([-2, -1, 0, 1]) AS i),
+    c AS (SELECT roi_id, CAST(floor(w / 2.0) AS BIGINT) + p.i AS tx, CAST(floor(h / 2.0) AS BIGINT) + q.i AS ty FROM b, o3 p, o3 q WHERE roi_id NOT IN (SELECT roi_id FROM l UNION SELECT roi_id FROM m)),
+    s AS (SELECT * FROM l UNION ALL SELECT * FROM m UNION ALL SELECT * FROM c WHERE tx >= 0 AND ty >= 0)"""
+
+
+@query("initial_tiles", f"WITH {_STARTS} SELECT DISTINCT s.roi_id, s.tx + p.i AS tx, s.ty + q.i AS ty FROM s, o2 p, o2 q, b WHERE b.roi_id = s.roi_id AND s.tx + p.i BETWEEN 0 AND w - 1 AND s.ty + q.i BETWEEN 0 AND h - 1")
+def _starts(v):
+    right = F.greatest("x1", "x2")
+    rivers = v("g_river").where((right <= 10) | (right > 50) & (F.col("riv_tc_usu") <= 500))
+    return initial_tiles(rivers, v("g_tile").where((F.col("roi_id") <= 60) | (F.col("tx") > 20)))
 
 
 _WEIGHTS = """s AS (SELECT *, unnest(generate_series(CAST(floor(xlo / {c}) AS BIGINT), CAST(ceil(xhi / {c}) - 1 AS BIGINT))) AS gx FROM g_basin),
@@ -273,6 +424,19 @@ def _weights(v):
     return overlay_weights(v("g_basin"), 2.0, "hybas_id").select("hybas_id", "gx", "gy", F.round("area_share", 6).alias("area_share"), F.round("cell_share", 6).alias("cell_share"))
 
 
+# the part of a lower left half box within a cell, by the area below the diagonal from each of the cell's corners
+_BELOW = "power(greatest(xlo + ylo + 3 - ({x}) - ({y}), 0), 2) / 2"
+_CORNER = {k: _BELOW.format(x=f"greatest(gx * 2.0E0, xlo)" if k[0] == "l" else "(gx + 1) * 2.0E0", y="greatest(gy * 2.0E0, ylo)" if k[1] == "l" else "(gy + 1) * 2.0E0") for k in ("ll", "hl", "lh", "hh")}
+
+
+@query("ring_overlay_weights", f"""WITH {_WEIGHTS.format(c='2.0E0')}, a AS (SELECT hybas_id, gx, gy, {_CORNER['ll']} - {_CORNER['hl']} - {_CORNER['lh']} + {_CORNER['hh']} AS area FROM t)
+    SELECT hybas_id, gx, gy, round(area / 4.5E0, 6) AS area_share, round(area / 4, 6) AS cell_share FROM a WHERE area > 1e-9""")
+def _ring_weights(v):
+    at = lambda x, y: (F.col("xlo") + x, F.col("ylo") + y)
+    halves = v("g_basin").withColumn("ring", ring_of(at(0.0, 0.0), at(3.0, 0.0), at(0.0, 3.0)))
+    return ring_overlay_weights(halves, 2.0).select("hybas_id", "gx", "gy", F.round("area_share", 6).alias("area_share"), F.round("cell_share", 6).alias("cell_share"))
+
+
 _VOTE = "(SELECT gx, gy, clz_cl_smj, row_number() OVER (PARTITION BY gx, gy ORDER BY round(sum(cell_share), 9) DESC, clz_cl_smj) AS r FROM w GROUP BY gx, gy, clz_cl_smj)"
 
 
@@ -287,7 +451,7 @@ def _vote(v):
 
 
 _AVERAGE = f"""WITH {_WEIGHTS.format(c='15.0E0')}, g AS (SELECT CAST(gx - 12 AS BIGINT) AS gx, CAST(gy - 4 AS BIGINT) AS gy, day, band, avg(raw_i16) AS value FROM g_weather WHERE NOT is_nodata GROUP BY gx, gy, day, band),
-    j AS (SELECT continent, g.day, g.band, value, area_share FROM w JOIN g ON w.gx = g.gx AND w.gy = g.gy WHERE day < DATE '1995-04-01')
+    j AS (SELECT continent, g.day, g.band, value, area_share FROM w JOIN g ON w.gx = g.gx AND w.gy = g.gy)
     SELECT continent, day, band, round(CASE WHEN band IN ('temperature_2m', 'surface_pressure') THEN sum(value * area_share) / sum(area_share) ELSE sum(value * area_share) END, 3) AS value FROM j GROUP BY continent, day, band"""
 
 
@@ -299,12 +463,15 @@ def averages_of(v, weather):
 
 @query("area_average", _AVERAGE)
 def _average(v):
-    return averages_of(v, v("g_weather").where(F.col("day") < F.lit("1995-04-01").cast("date")))
+    return averages_of(v, v("g_weather"))
 
 
-@query("area_average_all_days", _AVERAGE.replace(" WHERE day < DATE '1995-04-01'", ""))
-def _average_all(v):
-    return averages_of(v, v("g_weather"))
+QUERIES["area_average_all_days"], ORACLES["area_average_all_days"] = QUERIES["area_average"], ORACLES["area_average"]  # its name while the other one took some days alone
+
+
+@query("covered_share", f"""WITH c AS (SELECT DISTINCT xlo AS x, ylo AS y FROM g_tile) SELECT hybas_id, round(count(*) * 0.0625E0 / {_AREA.replace("a.", "")}, 6) AS share FROM g_basin JOIN c ON x >= xlo AND x < xhi AND y >= ylo AND y < yhi GROUP BY hybas_id, xlo, ylo, xhi, yhi""")
+def _covered_share(v):
+    return covered_share(v("g_basin"), v("g_tile"), 0.25, "hybas_id").withColumn("share", F.round("share", 6))
 
 
 @query("union_cover", "WITH c AS (SELECT DISTINCT roi_id, CAST(floor(xlo * 4) AS BIGINT) AS gx, CAST(floor(ylo * 4) AS BIGINT) AS gy FROM g_tile) SELECT roi_id, count(*) * 0.0625E0 AS area FROM c GROUP BY roi_id")
@@ -312,14 +479,22 @@ def _cover(v):
     return union_cover(v("g_tile"), 0.25, "roi_id")
 
 
-@query("hull_and_centroid", "SELECT roi_id, min(xlo) AS xlo, min(ylo) AS ylo, max(xhi) AS xhi, max(yhi) AS yhi, round(avg((xlo + xhi) / 2), 6) AS cx, round(avg((ylo + yhi) / 2), 6) AS cy FROM g_tile GROUP BY roi_id")
+# a pair of corners is a side of the hull if no corner lies to its right, and those on its line lie between the two
+_RIGHT = "(b.x - a.x) * (r.y - a.y) - (b.y - a.y) * (r.x - a.x)"
+_HULL = f"""c AS (SELECT roi_id, xlo AS x, ylo AS y0, yhi AS y1 FROM g_tile UNION ALL SELECT roi_id, xhi, ylo, yhi FROM g_tile), k AS (SELECT roi_id, x, min(y0) AS lo, max(y1) AS hi FROM c GROUP BY roi_id, x),
+    p AS (SELECT roi_id, x, lo AS y FROM k UNION ALL SELECT roi_id, x, hi FROM k), s AS (SELECT a.roi_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM p a JOIN p b ON a.roi_id = b.roi_id AND (a.x <> b.x OR a.y <> b.y)
+      JOIN p r ON r.roi_id = a.roi_id GROUP BY a.roi_id, a.x, a.y, b.x, b.y HAVING min({_RIGHT}) >= 0 AND max(CASE WHEN {_RIGHT} = 0 THEN (r.x - a.x) * (r.x - b.x) + (r.y - a.y) * (r.y - b.y) ELSE 0 END) <= 0),
+    h AS (SELECT roi_id, sum(ax * b_y - bx * ay) / 2 AS hull_area FROM s GROUP BY roi_id)"""
+
+
+@query("hull_and_centroid", f"WITH {_HULL} SELECT g_tile.roi_id, min(xlo) AS xlo, min(ylo) AS ylo, max(xhi) AS xhi, max(yhi) AS yhi, round(avg((xlo + xhi) / 2), 6) AS cx, round(avg((ylo + yhi) / 2), 6) AS cy, round(max(hull_area), 6) AS hull_area FROM g_tile JOIN h ON h.roi_id = g_tile.roi_id GROUP BY g_tile.roi_id")
 def _hull(v):
-    return hull_and_centroid(v("g_tile")).drop("hull_area").withColumns({"cx": F.round("cx", 6), "cy": F.round("cy", 6)})
+    return hull_and_centroid(v("g_tile")).withColumns({c: F.round(c, 6) for c in ("cx", "cy", "hull_area")})
 
 
-@query("tile_hulls")
+@query("tile_hulls", f"WITH {_HULL} SELECT roi_id, round(hull_area, 6) AS hull_area FROM h")
 def _hulls(v):
-    return hull_and_centroid(v("g_tile")).select("roi_id", "hull_area")
+    return hull_and_centroid(v("g_tile")).select("roi_id", F.round("hull_area", 6).alias("hull_area"))
 
 
 _COVER = "o AS (SELECT DISTINCT CAST(floor(xlo / 3) AS BIGINT) AS gx, CAST(floor(ylo / 3) AS BIGINT) AS gy FROM g_basin)"
@@ -359,10 +534,10 @@ def _zone(v):
     return climate_zone_of(v("g_tile"), v("g_basin"))
 
 
-@query("zone_counts", f"SELECT roi_id, clz_cl_smj, count(*) AS n FROM g_basin a JOIN (SELECT roi_id, min(xlo) AS xlo, min(ylo) AS ylo, max(xhi) AS xhi, max(yhi) AS yhi FROM g_tile GROUP BY roi_id) b ON {_MEET} WHERE {_SHARED} / {_AREA} > 0.3 GROUP BY roi_id, clz_cl_smj")
+@query("zone_counts", f"SELECT roi_id, clz_cl_smj, count(*) AS n FROM g_basin a JOIN (SELECT roi_id, min(xlo) AS xlo, min(ylo) AS ylo, max(xhi) AS xhi, max(yhi) AS yhi FROM g_tile GROUP BY roi_id) b ON {_MEET} WHERE {_SHARED} / {_AREA} > 0.05 GROUP BY roi_id, clz_cl_smj")
 def _zones(v):
     shapes = v("g_tile").groupBy("roi_id").agg(F.min("xlo").alias("xlo"), F.min("ylo").alias("ylo"), F.max("xhi").alias("xhi"), F.max("yhi").alias("yhi"))
-    return overlap_join(v("g_basin").select("hybas_id", "clz_cl_smj", "xlo", "ylo", "xhi", "yhi"), shapes).groupBy("roi_id", "clz_cl_smj").agg(F.count(F.lit(1)).alias("n"))
+    return zone_counts(v("g_basin"), shapes, "roi_id", 0.05)
 
 
 @query("tiles_matching", f"SELECT a.roi_id, a.tile_id FROM g_tile a JOIN g_scene_event b ON {_MEET} WHERE {_SHARED} / {_AREA} > 0.01 GROUP BY a.roi_id, a.tile_id")

@@ -82,9 +82,9 @@ def unpack_band_names(bands: DataFrame) -> DataFrame:
     return bands.select(F.to_date(F.regexp_extract(label, r"^(\d{4}-\d{2}-\d{2})-", 1)).alias("day"), F.regexp_extract(label, r"^\d{4}-\d{2}-\d{2}-(.+)$", 1).alias("name"), "*").drop("label")
 
 
-def scan_label_tiles(spark: SparkSession, folder: str) -> DataFrame:
-    """All info.json files under a folder, however deep."""
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "info.json").option("multiLine", True).json(folder)
+def scan_label_tiles(spark: SparkSession, folder: str, name: str = "info.json") -> DataFrame:
+    """All files of a name (or pattern) under a folder, however deep; each is one JSON object."""
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).option("multiLine", True).json(folder)
 
 
 def labelled_folders(files: DataFrame, mark: str = "MK0_MLU_") -> DataFrame:
@@ -258,11 +258,11 @@ def _gauges(v):
     return v.spark.read.csv(path, header=True, schema="gauge_id long, lon double, lat double")
 
 
-@query("scan_label_tiles")
+@query("scan_label_tiles", "SELECT concat('act/', roi_id) AS folder, CAST(post_date AS VARCHAR) AS flood_date FROM g_roi")
 def _label_tiles(v):
     path = new_path(v.spark, "labels")
     v("g_roi").select("roi_id", F.concat_ws("/", F.lit("act"), F.col("roi_id").cast("string")).alias("folder"), F.date_format("post_date", "yyyy-MM-dd").alias("flood_date")).write.partitionBy("roi_id").json(path)
-    return v.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path).select("folder", "flood_date")
+    return scan_label_tiles(v.spark, path, "*.json").select("folder", "flood_date")
 
 
 @query("labelled_folders", "WITH f AS (SELECT DISTINCT roi_id, tile_id, px, targ FROM g_pixel), l AS (SELECT DISTINCT roi_id, tile_id FROM f WHERE targ = 2) SELECT f.roi_id, f.tile_id, count(*) AS n FROM f JOIN l ON f.roi_id = l.roi_id AND f.tile_id = l.tile_id GROUP BY f.roi_id, f.tile_id")

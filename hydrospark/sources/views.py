@@ -30,9 +30,11 @@ VIEWS = {
         CAST(-180 + (c_custkey * 29) % 350 AS DOUBLE) + 8.0 AS xhi, CAST(-40 + (c_custkey * 13) % 80 AS DOUBLE) + 8.0 AS yhi FROM {customer}""",
     "g_gauge": """SELECT c_custkey AS gauge_id, CAST((c_custkey * 53) % 3600 AS DOUBLE)/10.0 - 180.0 + 0.05 AS lon,
         CAST((c_custkey * 31) % 1100 AS DOUBLE)/10.0 - 60.0 + 0.05 AS lat FROM {customer}""",
-    "g_river": """SELECT p_partkey AS river_id, (p_partkey * 41) % 3000 AS riv_tc_usu, (p_partkey * 19) % 4000 AS upland_skm,
-        CAST((p_partkey * 7) % 64 AS DOUBLE) AS x1, CAST((p_partkey * 11) % 8 AS DOUBLE) AS y1,
-        CAST((p_partkey * 7) % 64 AS DOUBLE) + 4.0 AS x2, CAST((p_partkey * 11) % 8 AS DOUBLE) + CAST(p_size % 5 AS DOUBLE) AS y2 FROM {part}""",
+    # a third of the rivers go to the right, a third to the left, a third stand upright (some are single points)
+    "g_river": """SELECT river_id, riv_tc_usu, upland_skm, CASE WHEN turn = 1 THEN x + 4.0 ELSE x END AS x1, CASE WHEN turn = 1 THEN y + rise ELSE y END AS y1,
+        CASE WHEN turn = 0 THEN x + 4.0 ELSE x END AS x2, CASE WHEN turn = 1 THEN y ELSE y + rise END AS y2
+        FROM (SELECT p_partkey AS river_id, (p_partkey * 41) % 3000 AS riv_tc_usu, (p_partkey * 19) % 4000 AS upland_skm, p_partkey % 3 AS turn,
+          CAST((p_partkey * 7) % 64 AS DOUBLE) AS x, CAST((p_partkey * 11) % 8 AS DOUBLE) AS y, CAST(p_size % 5 AS DOUBLE) AS rise FROM {part}) r""",
     "g_scene": """SELECT event_id, ts AS start_time, CAST(user_id % 40 AS BIGINT) AS basin_key,
         CASE WHEN event_id % 5 = 0 THEN 'HH+HV' ELSE 'VV+VH' END AS polarization,
         CASE WHEN event_id % 2 = 0 THEN 'ASCENDING' ELSE 'DESCENDING' END AS flight_direction,
