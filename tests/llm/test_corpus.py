@@ -545,3 +545,77 @@ def test_queries_leave_the_session_as_it_was(spark, name):
     before = spark.conf.get(setting)
     catalog.QUERIES[name](spark, SF).count()
     assert spark.conf.get(setting) == before
+
+
+# --- toxic words without a cue, long lines
+
+
+def test_a_toxic_word_without_a_cue_is_tagged_from_its_context():
+    rng = np.random.default_rng(14)
+    plain, bad = [f"w{i}" for i in range(200)], ["vile", "rotten", "nasty", "filthy", "scummy", "wretched"]
+    texts, toxic = [], []
+    for i in range(300):
+        words = [plain[k] for k in rng.integers(0, 200, 40)]
+        if i % 3 == 0:
+            run = [bad[k] for k in rng.integers(0, 6, 5)]
+            if i % 2:
+                run[2] = f"{'qzxvkjpy'[i % 8]}{i}"  # seen once, so no cue
+            at = int(rng.integers(0, 35))
+            words[at:at] = run
+        texts.append(" ".join(words))
+        toxic.append(int(i % 3 == 0))
+    odds = {f"={w}": 5.0 for w in bad}
+    field = toxicity.fit(texts, np.array(toxic), odds)
+    fresh = " ".join([*plain[:10], "vile", "nasty", "unheard", "filthy", "rotten", *plain[10:20]])
+    alone = " ".join([*plain[:10], "unheard", *plain[10:20]])
+    score, spans = toxicity.scored(field, [fresh, alone], {})
+    assert [fresh[s["start"] : s["end"]] for s in spans[0]] == ["vile", "nasty", "unheard", "filthy", "rotten"] and not spans[1]
+    assert score[0] > 0.9 > 0.1 > score[1]
+
+
+def test_a_score_is_that_of_the_sum_over_paths():
+    """Marginals and the score of a short text from all paths of its tokens, and the features from their definition."""
+    field = toxicity.Field({"=vile": 0, "^rott": 1, "$tten": 2}, np.array([3.2, 1.1, 9.9]), np.linspace(-1, 1, 3 + 3 * toxicity.STRENGTHS + 1), np.array([[0.1, -1.0], [-0.5, 0.7]]), np.array([-0.1, -2.0]), np.array([-1.0, 0.6, 0.8]))
+    words = ["a", "VILE", "rotten", "b"]
+    s, w = toxicity.STRENGTHS, field.weights
+    push = [w[3 + 2 * s + 3], w[0] + w[3 + 3] + w[3 + 2 * s + 1], w[1] + w[2] + w[3 + 1] + w[3 + s + 3], w[3 + s + 1]]
+    push = [p + w[-1] for p in push]
+    weight = {}
+    for code in range(16):
+        path = [(code >> i) & 1 for i in range(4)]
+        weight[tuple(path)] = np.exp(field.first[path[0]] + sum(p * x for p, x in zip(push, path)) + sum(field.steps[a, b] for a, b in zip(path, path[1:])))
+    m = [sum(v for p, v in weight.items() if p[i]) / sum(weight.values()) for i in range(4)]
+    got, spans = toxicity.scored(field, [" ".join(words), ""], {})
+    top = min(max(m), 1 - 1e-4)
+    z = field.link @ [1, np.log(top / (1 - top)), np.log1p(sum(m))]
+    assert got[0] == pytest.approx(1 / (1 + np.exp(-z)))
+    assert len(spans[0]) == sum(x >= 0.5 for x in m) and not spans[1]
+
+
+def test_cues_are_those_of_plain_counts(spark):
+    rng = np.random.default_rng(15)
+    rows = [(" ".join([f"w{k}" for k in rng.integers(0, 50, 20)] + (["vile", "Rotten."] if y else [])), y) for y in [1] * 20 + [0] * 60]
+    got = toxicity.cues(spark.createDataFrame(rows, "text string, y int"))
+    assert set(got) == {"=vile", "=rotten", "^rott", "^rotte", "$tten"}
+    assert all(v == pytest.approx(np.log(20.5 / 21) - np.log(0.5 / 61)) for v in got.values())
+
+
+def test_terms_of_long_lines_are_all_found(spark):
+    rng = np.random.default_rng(16)
+    took = {}
+    for n in (20_000, 40_000):
+        filler = [f"{a}{b}{c}" for a, b, c in zip(*(rng.choice(list("abcdefghijklmnop"), n) for _ in range(3)))]
+        for i in range(0, n, 50):
+            filler[i] = "Zbigniew"
+        long = " ".join(filler) + " zb@x.org"
+        texts = [long] + [f"Zbigniew is at zb@x.org, item {i}" for i in range(20)] + [f"nobody of item {i} is at all" for i in range(300)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        began = time.time()
+        found = {r["doc_id"]: r for r in pii.find(docs).collect()}
+        took[n] = time.time() - began
+        want = [(m.start(), m.end()) for m in re.finditer("Zbigniew", long)]
+        assert [(s["start"], s["end"]) for s in found[0]["extra"] if s["value"] == "zbigniew"] == want
+        assert [(s["start"], s["end"]) for s in found[0]["base"]] == [(len(long) - 8, len(long))]
+        clean = pii.sanitised(pii.find(docs).where("doc_id = 0")).first()["clean"]
+        assert "Zbigniew" not in clean and clean.endswith("[EMAIL]") and clean.count(" ") == long.count(" ")
+    assert took[40_000] < 3 * took[20_000] + 5
