@@ -36,6 +36,11 @@ def checksum(text: Column) -> Column:
     return F.crc32(text.cast("binary")).cast("long")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of a row's columns (but maps, which Spark does not hash): an order of rows that no task decides on."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of the id as text, modulo ``parts``; a null id counts as the text 'null'."""
     return F.pmod(checksum(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))), F.lit(parts))

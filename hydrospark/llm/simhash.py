@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hydrospark.llm.common import in_lots, small_batches, tidy, whole_text
+from hydrospark.llm.common import in_lots, row_hash, small_batches, tidy, whole_text
 from hydrospark.plans.components import components
 from hydrospark.plans.scratch import written
 
@@ -213,8 +213,8 @@ def drop_near_duplicates(docs: DataFrame, n_words: int = WORDS, bits: int = NEAR
 
 
 def first_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each (doc_id, text_hash) of ``kept``."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole_text()).alias("own_hash"))
+    """One row of ``docs`` for each (doc_id, text_hash) of ``kept``: of several the one with the least hash of its columns."""
+    rows = docs.select(F.struct("*").alias("row"), row_hash(docs).alias("place"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(whole_text()).alias("own_hash"))
     found = rows.join(kept, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")))
-    first = Window.partitionBy("id", "own_hash").orderBy(F.lit(0))
+    first = Window.partitionBy("id", "own_hash").orderBy("place")
     return found.select("row", F.row_number().over(first).alias("again")).where("again = 1").select("row.*")

@@ -238,7 +238,7 @@ def test_directory_doubles_where_buckets_are_full():
 
 def test_colliding_hashes_are_chained(spark, odd, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
-    index = exact_dedup.build_index(odd).collect()
+    index = exact_dedup.build_index(odd).entries.collect()
     assert len(index) == len({t or "" for _, t, *_ in ODD}) and sorted(r["link"] for r in index) == list(range(len(index)))
     assert sum(r["group_size"] for r in index) == len(ODD)
 
@@ -619,3 +619,35 @@ def test_terms_of_long_lines_are_all_found(spark):
         clean = pii.sanitised(pii.find(docs).where("doc_id = 0")).first()["clean"]
         assert "Zbigniew" not in clean and clean.endswith("[EMAIL]") and clean.count(" ") == long.count(" ")
     assert took[40_000] < 3 * took[20_000] + 5
+
+
+# --- the index
+
+
+def test_buckets_split_and_rows_find_them(spark, monkeypatch):
+    rows = [(i, f"text {i % 700} " + "x" * (i % 700)) for i in range(2000)] + [(5000 + i, "hot") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    index = exact_dedup.build_index(docs, bucket_bytes=10_000)
+    entries, slots = index.entries.collect(), {r["p"]: r["bucket"] for r in index.directory.collect()}
+    assert index.depth >= 4 and len(slots) == 1 << index.depth and len(set(slots.values())) > 16
+    assert all(slots[(r["h"] & (2**64 - 1)) >> (64 - index.depth)] == r["bucket"] for r in entries)
+    assert len(entries) == 701 and sum(r["group_size"] for r in entries) == len(rows)
+    whole = sorted(map(tuple, exact_dedup.exact_duplicates(docs).drop("bucket", "link").collect()))
+    monkeypatch.setattr(exact_dedup, "FOLD_BYTES", 1000)
+    monkeypatch.setattr(exact_dedup, "MOST_SENT", 0)
+    assert whole == sorted(map(tuple, exact_dedup.exact_duplicates(docs).drop("bucket", "link").collect()))
+
+
+def test_merges_compare_bytes(spark, monkeypatch):
+    """Texts that share hash and digest are two entries all the same."""
+    monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string").coalesce(1)
+    got = {r["digest"].hex(): (r["keep_id"], r["group_size"]) for r in exact_dedup.build_index(docs).entries.collect()}
+    assert got == {hashlib.sha256(b"a").hexdigest(): (3, 2), hashlib.sha256(b"b").hexdigest(): (2, 1)}
+
+
+def test_the_same_one_of_repeated_rows_stays(spark):
+    rows = [(7, "the same text", "en", s, i) for i, s in enumerate("abcdefgh")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for drop in (exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates):
+        assert len({tuple(drop(docs.orderBy(F.rand(k)).repartition(k)).first()) for k in (1, 3, 5)}) == 1
