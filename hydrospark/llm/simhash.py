@@ -41,12 +41,19 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SLAB = 1 << 16  # shingles whose bits are counted at once
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of hashes: the bits that over half of them have."""
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), _SLAB):
+        counts += np.unpackbits(hashes[a : a + _SLAB].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def simhash(texts: list[str], n_words: int = WORDS) -> np.ndarray:
     """Unsigned 64-bit fingerprints: a bit is set if over half of the shingles' hashes have it."""
     out = np.zeros(len(texts), np.uint64)
     hashes: list[int] = []
     owners: list[tuple[int, int]] = []
-    counts = None
 
     def settle() -> None:
         if not owners:
@@ -74,11 +81,8 @@ def simhash(texts: list[str], n_words: int = WORDS) -> np.ndarray:
             starts = [0, *ends]
             n = len(found) - n_words + 1
             if n > _SLAB:  # a very long text: its bits are counted slab by slab
-                counts = np.zeros(64, np.int64)
-                for a in range(0, n, _SLAB):
-                    some = np.array([digest(whole[s : e - 1], SEED) for s, e in zip(starts[a : min(n, a + _SLAB)], ends[a + n_words - 1 :])], np.uint64)
-                    counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                out[i] = np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0]
+                some = np.fromiter((digest(whole[s : e - 1], SEED) for s, e in zip(starts, ends[n_words - 1 :])), np.uint64, n)
+                out[i] = majority(some)
                 continue
             hashes += [digest(whole[s : e - 1], SEED) for s, e in zip(starts, ends[n_words - 1 :])]
             owners.append((i, n))

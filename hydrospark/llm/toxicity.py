@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 from hydrospark.llm.common import about, fold, in_lots, small_batches, tidy, whole_text
 from hydrospark.plans.scratch import written
 
-MOST_DOCS = 5_000  # of each label that is learned from
+MOST_DOCS = 3_000  # of each label that is learned from
 MOST_BYTES = 64 << 20  # of their texts; beyond it fewer documents are learned from
 LEAST_TOXIC = 3  # documents that a cue must be seen in
 LEAST_G2 = 20.0
