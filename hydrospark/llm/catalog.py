@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hydrospark.llm import bpe, exact_dedup, fingerprints, mixing, pii, quality, sharding, simhash, token_files, toxicity
+from hydrospark.llm import bpe, exact_dedup, fingerprints, mixing, pii, quality, sharding, simhash, substrings, token_files, toxicity
 from hydrospark.llm.common import documents, labels
 
 
@@ -55,7 +55,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(F.array_join(named("base"), ","), 256).alias("base_sha256"), F.array_join(F.concat(named("base"), named("extra", "term")), ",").alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_sharding, op3_byte_bpe, op4_exact_dedup, op5_mixing, op6_token_files, op7_quality, op8_toxicity, op9_simhash, op10_pii)}
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_sharding, op3_byte_bpe, op4_exact_dedup, op5_mixing, op6_token_files, op7_quality, op8_toxicity, op9_simhash, op10_pii, op11_substrings)}
 
 ORACLES = {
     "op4_exact_dedup": """
@@ -63,4 +68,5 @@ ORACLES = {
         SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
             doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY t) AND again = 1 AS kept, sha256(t) AS text_sha256 FROM g""",
     "op5_mixing": mixing.MIX_SQL,
+    "op11_substrings": substrings.REPEATS_SQL,
 }
