@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hydrospark.llm import bpe, exact_dedup, fingerprints, mixing, pii, quality, sharding, simhash, substrings, token_files, toxicity
+from hydrospark.llm import bpe, exact_dedup, fingerprints, mixing, phrases, pii, quality, repair, sharding, simhash, substrings, token_files, toxicity
 from hydrospark.llm.common import documents, labels
 
 
@@ -60,7 +60,17 @@ def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_sharding, op3_byte_bpe, op4_exact_dedup, op5_mixing, op6_token_files, op7_quality, op8_toxicity, op9_simhash, op10_pii, op11_substrings)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair.repair(repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    said = F.array_join(F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
+    return found.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(said, 256).alias("repaired_sha256"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_fingerprints, op2_sharding, op3_byte_bpe, op4_exact_dedup, op5_mixing, op6_token_files, op7_quality, op8_toxicity, op9_simhash, op10_pii, op11_substrings, op12_conversation_repair, op13_phrases)}
 
 ORACLES = {
     "op4_exact_dedup": """
@@ -69,4 +79,5 @@ ORACLES = {
             doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY t) AND again = 1 AS kept, sha256(t) AS text_sha256 FROM g""",
     "op5_mixing": mixing.MIX_SQL,
     "op11_substrings": substrings.REPEATS_SQL,
+    "op13_phrases": phrases.COLLOCATIONS_SQL,
 }

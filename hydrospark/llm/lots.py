@@ -9,6 +9,7 @@ bucket once a lot, and no task holds more than a lot or a bucket, whatever the d
 from __future__ import annotations
 
 import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hydrospark.llm.common import row_hash, whole_text
 
-LOT_BYTES = 16 << 20  # of text in a lot; a longer text is a lot of its own
+LOT_BYTES = 8 << 20  # of text in a lot; a longer text is a lot of its own
 ROW_BYTES = 64  # that a row counts besides its text
 
 
@@ -44,8 +45,22 @@ def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
 def asked(lots: DataFrame, ask: Callable[[pa.Table], pa.Table], schema: str, answers: DataFrame | None = None) -> DataFrame:
     """What each lot sends; ``ask`` takes its rows, and the rows of ``answers`` to it if there are any."""
     if answers is None:
-        return lots.groupBy("lot").applyInArrow(ask, schema)
-    return lots.groupBy("lot").cogroup(answers.groupBy("lot")).applyInArrow(ask, schema)
+        return lots.groupBy("lot").applyInArrow(lambda table: trimmed(ask, table), schema)
+    return lots.groupBy("lot").cogroup(answers.groupBy("lot")).applyInArrow(lambda table, own: trimmed(ask, table, own), schema)
+
+
+def met(sent: DataFrame, meet: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """What buckets answer; ``meet`` takes all that lots have sent to a bucket."""
+    return sent.groupBy("bucket").applyInArrow(lambda table: trimmed(meet, table), schema)
+
+
+def trimmed(work: Callable, *tables: pa.Table) -> pa.Table:
+    """``work`` on a group, after which the worker gives back what Arrow's pool and the C heap keep of freed memory."""
+    out = work(*tables)
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+    return out
 
 
 def texts_of(table: pa.Table) -> list[bytes]:
