@@ -256,9 +256,11 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, most_words: int = MOST
 
 COLLOCATIONS_SQL = """
     WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
-    p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS ws FROM d),
-    q AS (SELECT lang, ws, unnest([1, 2, 3]) AS size FROM p),
-    o AS (SELECT lang, size, unnest(list_transform(generate_series(1, len(ws) - size + 1), lambda i: array_to_string(ws[i:i + size - 1], ' '))) AS phrase FROM q WHERE len(ws) >= size),
+    p AS (SELECT r, lang, unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')) AS piece, generate_subscripts(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]'), 1) AS p FROM d),
+    q AS (SELECT r, p, lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+    v AS (SELECT r, p, lang, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM q),
+    x AS (SELECT lang, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM v WINDOW o AS (PARTITION BY r, p ORDER BY i)),
+    o AS (SELECT lang, 1 AS size, w AS phrase FROM x UNION ALL SELECT lang, 2, w || ' ' || w2 FROM x WHERE w2 IS NOT NULL UNION ALL SELECT lang, 3, w || ' ' || w2 || ' ' || w3 FROM x WHERE w3 IS NOT NULL),
     f AS (SELECT lang, size, phrase, count(*) AS n FROM o GROUP BY lang, size, phrase),
     t AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
     c AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= 10),

@@ -103,7 +103,8 @@ def test_small_lots_and_a_long_conversation(spark, monkeypatch):
 
     def batch(part):
         ends = [x.rstrip(SPACE)[-1:] for *_, x in part]
-        return pa.RecordBatch.from_pydict({"conv_id": [p[0] for p in part], "turn": [p[2] if p[1] else None for p in part], "role": [p[3] for p in part], "text": [p[4] for p in part], "there": [True] * len(part), "blank": [not e for e in ends], "open": [e not in (".", "!", "?") for e in ends]})
+        kinds = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("there", pa.bool_()), ("blank", pa.bool_()), ("open", pa.bool_())])
+        return pa.RecordBatch.from_pydict({"conv_id": [p[0] for p in part], "turn": [p[2] if p[1] else None for p in part], "role": [p[3] for p in part], "text": [p[4] for p in part], "there": [True] * len(part), "blank": [not e for e in ends], "open": [e not in (".", "!", "?") for e in ends]}, schema=kinds)
 
     for size in (1, 5, 64):
         got = {}
