@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from hydrospark.llm.lots import asked, dropping_shuffles, joined_flags, joined_numbers, lots_of, runs_of, texts_of
+from hydrospark.llm.lots import asked, dropping_shuffles, joined_flags, joined_numbers, lots_of, met, runs_of, texts_of
 from hydrospark.plans.scratch import written
 
 WINDOW = 13
@@ -47,21 +47,19 @@ def window_sums(hashes: np.ndarray, n: int, lane: int) -> np.ndarray:
 
 
 class Lot:
-    """The words of a lot's documents, one document after the other."""
+    """The hashes of the words of a lot's documents, one document after the other."""
 
     def __init__(self, table: pa.Table, window: int) -> None:
         self.window, self.block = window, (window + 1) // 2
-        self.words: list[bytes] = []
-        sizes = []
-        for text in texts_of(table):
-            own = text.split()  # bytes split at ASCII white space alone
-            self.words += own
-            sizes.append(len(own))
-        self.sizes = np.array(sizes, np.int64)
+        self.texts, found = texts_of(table), []
+        for text in self.texts:
+            words = text.split()  # bytes split at ASCII white space alone
+            found.append(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)))
+        self.sizes = np.array([len(x) for x in found], np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.ids = np.array([NO_ID if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
-        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
-        self.doc = np.repeat(np.arange(len(sizes)), self.sizes)
+        self.hashes = np.concatenate(found) if found else np.empty(0, np.uint64)
+        self.doc = np.repeat(np.arange(len(found), dtype=np.int32), self.sizes)
 
     def inside(self, n: int) -> np.ndarray:
         """The places where a window of ``n`` words starts that ends in the same document."""
@@ -181,7 +179,7 @@ def kept_words(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
         second, whole = joined_numbers(answers, "second", np.uint32)[0], joined_flags(answers, "whole", np.bincount(row, minlength=answers.num_rows))
         order = np.lexsort((second, first))
         first, second, whole = first[order], second[order], whole[order]
-        change = np.zeros(len(lot.words) + 1, np.int64)
+        change = np.zeros(len(lot.hashes) + 1, np.int32)
         if len(first):
             s = lot.inside(window)
             own = window_sums(lot.hashes, window, 1)[s]
@@ -204,10 +202,9 @@ def kept_words(window: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
             np.add.at(change, gone + window, -1)
         out = np.cumsum(change)[:-1] > 0
         kept, spans, removed = [], [], []
-        for start, n in zip(lot.starts.tolist(), lot.sizes.tolist()):
-            own = out[start : start + n]
+        for text, start, n in zip(lot.texts, lot.starts.tolist(), lot.sizes.tolist()):
+            own, words = out[start : start + n], text.split()
             lost = int(own.sum())
-            words = lot.words[start : start + n]
             removed.append(lost)
             edges = np.flatnonzero(np.diff(np.concatenate(([False], own, [False])).astype(np.int8))) if lost else []
             spans.append([{"start": int(a), "end": int(b)} for a, b in zip(edges[::2], edges[1::2])])
@@ -227,19 +224,18 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     wide = 4 * buckets  # a window's key has several times the bytes of a probe
     with dropping_shuffles(spark):
         sent = asked(lots, probes(buckets, window), "bucket int, lot int, codes binary, blocks binary")
-        shared = written(sent.groupBy("bucket").applyInArrow(shared_anchors, "lot int, bucket int, codes binary"), "anchors")
+        shared = written(met(sent, shared_anchors, "lot int, bucket int, codes binary"), "anchors")
         sent = asked(lots, windows(buckets, wide, window), "bucket int, lot int, first binary, second binary, least binary, several binary", shared)
-        repeated = written(sent.groupBy("bucket").applyInArrow(repeated_windows, "lot int, first binary, second binary, whole binary"), "windows")
+        repeated = written(met(sent, repeated_windows, "lot int, first binary, second binary, whole binary"), "windows")
     return asked(lots, kept_words(window), "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>", repeated)
 
 
 REPEATS_SQL = """
     WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
-    p AS (SELECT r, doc_id, generate_series(1, len(ws) - 12) AS ss, list_transform(generate_series(1, len(ws) - 12), lambda i: md5(array_to_string(ws[i:i + 12], ' '))) AS ks FROM w WHERE len(ws) >= 13),
-    k AS (SELECT r, doc_id, unnest(ss) AS s, unnest(ks) AS k FROM p),
+    p AS (SELECT r, doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS s FROM w),
+    k AS (SELECT r, doc_id, s, md5(string_agg(word, ' ') OVER o) AS k FROM p WINDOW o AS (PARTITION BY r ORDER BY s ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) QUALIFY count(*) OVER o = 13),
     m AS (SELECT k, min(doc_id) AS least FROM k GROUP BY k),
     h AS (SELECT r, s FROM k JOIN m USING (k) WHERE least < doc_id),
-    c AS (SELECT r, list(DISTINCT s + i) AS gone FROM h, generate_series(0, 12) AS g(i) GROUP BY r)
-    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-        sha256(array_to_string(list_filter(ws, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' ')) AS kept_sha256
-    FROM w LEFT JOIN c USING (r)"""
+    c AS (SELECT DISTINCT r, s + i AS s, true AS gone FROM h, generate_series(0, 12) AS g(i)),
+    o AS (SELECT r, count(gone) AS n_removed, string_agg(word, ' ' ORDER BY s) FILTER (WHERE gone IS NULL) AS kept FROM p LEFT JOIN c USING (r, s) GROUP BY r)
+    SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN o USING (r)"""
