@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from hydrospark.operators import evaluation, events, iterative, projections, rasters, scenes, scoring, spatial, tiles  # noqa: F401  each registers its queries
+from hydrospark.operators import asof, evaluation, events, iterative, lines, outlines, polygons, projections, quadtree, rasters, scenes, scoring, selection, spatial, tiles  # noqa: F401  each registers its queries
 from hydrospark.plans.registry import ORACLES, QUERIES  # noqa: F401
-from hydrospark.sources import scans  # noqa: F401
+from hydrospark.sources import products, scans  # noqa: F401

@@ -54,16 +54,17 @@ def stratified_f1(pixels: DataFrame) -> DataFrame:
         F.struct(F.lit("all").alias("stratum"), F.lit("all").alias("value")), F.struct(F.lit("continent").alias("stratum"), F.col("continent").cast("string").alias("value")),
         F.struct(F.lit("clim_zone").alias("stratum"), F.col("clim_zone").cast("string").alias("value")), F.struct(F.lit("coast").alias("stratum"), F.when(F.col("coast"), "coast").otherwise("inland").alias("value")),
     )
-    # pixels become counts before they are spread over strata
-    counts = kept.groupBy("continent", "clim_zone", "coast", "tile_id", "targ", "pred").agg(F.count(F.lit(1)).alias("n"))
-    spread = counts.select(F.explode(F.filter(strata, lambda s: s["value"].isNotNull())).alias("s"), "tile_id", "targ", "pred", "n").select("s.*", "tile_id", "targ", "pred", "n")
-    sides = spread.groupBy("stratum", "value", "targ", "pred").agg(F.sum("n").alias("n"))
-    tiles = spread.groupBy("stratum", "value").agg(F.count_distinct("tile_id").alias("n_tiles"))
-    classes = sides.select("stratum", "value", F.explode(F.array_distinct(F.array("targ", "pred"))).alias("class"), "targ", "pred", "n")
-    c = F.col("class")
-    add = lambda when: F.sum(F.when(when, F.col("n")).otherwise(0))
-    f1 = classes.groupBy("stratum", "value", F.col("class").cast("int").alias("class")).agg(add((F.col("targ") == c) & (F.col("pred") == c)).alias("tp"), add((F.col("targ") != c) & (F.col("pred") == c)).alias("fp"), add((F.col("targ") == c) & (F.col("pred") != c)).alias("fn"))
-    return metrics(f1).join(tiles, ["stratum", "value"]).select("stratum", "value", "class", "f1", "n_tiles")
+    # pixels become a row of counts a tile before they are spread over strata, so one scan tells hits and tiles
+    pairs = [(i, j) for i in range(N_CLASSES) for j in range(N_CLASSES)]
+    per_tile = kept.groupBy("continent", "clim_zone", "coast", "tile_id").agg(*[F.count_if((F.col("targ") == i) & (F.col("pred") == j)).alias(f"n{i}{j}") for i, j in pairs])
+    sums = [F.sum(f"n{i}{j}").alias(f"n{i}{j}") for i, j in pairs]
+    spread = per_tile.select(F.explode(F.filter(strata, lambda s: s["value"].isNotNull())).alias("s"), "tile_id", *[f"n{i}{j}" for i, j in pairs])
+    found = spread.groupBy("s", "tile_id").agg(*sums).groupBy("s.stratum", "s.value").agg(F.count(F.lit(1)).alias("n_tiles"), *sums)
+    total = lambda which: sum((F.col(f"n{i}{j}") for i, j in which), F.lit(0))
+    others = lambda k: [i for i in range(N_CLASSES) if i != k]
+    of_class = [F.struct(F.lit(k).alias("class"), F.col(f"n{k}{k}").alias("tp"), total((i, k) for i in others(k)).alias("fp"), total((k, i) for i in others(k)).alias("fn")) for k in range(N_CLASSES)]
+    f1 = found.select("stratum", "value", "n_tiles", F.explode(F.array(*of_class)).alias("c")).select("stratum", "value", "n_tiles", "c.*").where("tp + fp + fn > 0")
+    return metrics(f1).select("stratum", "value", "class", "f1", "n_tiles")
 
 
 def tilewise_mse(pixels: DataFrame, last_class: int = N_CLASSES - 1) -> DataFrame:

@@ -129,11 +129,16 @@ def drop_near_existing(candidates: DataFrame, existing: DataFrame, degrees: floa
     return candidates.join(bad, "event_id", "left_anti")
 
 
-def distribution_report(expected: DataFrame, rois: DataFrame) -> DataFrame:
-    """Expected, flooded and dry ROIs by continent and by fold; dry ones are halved."""
-    parts = rois.select("continent", "fold", "flooding", F.explode(F.array(F.struct(F.lit("continent").alias("by"), F.col("continent").cast("int").alias("value")), F.struct(F.lit("fold").alias("by"), F.col("fold").cast("int").alias("value")))).alias("g"))
-    made = parts.groupBy("g.by", "g.value").agg(F.count_if(F.col("flooding")).alias("created"), (F.count_if(~F.col("flooding")) * 0.5).cast("double").alias("negative"))
-    return made.join(expected, ["by", "value"], "left")
+def distribution_report(expected: DataFrame, covered: DataFrame) -> DataFrame:
+    """Expected, flooded and dry basins by continent and by climate zone; dry ones are halved.
+
+    ``expected`` (continent, zone, basins); ``covered`` (continent, zone, n, flooding): the basins that each site covers. One pass over both.
+    """
+    none = F.lit(0).cast("long")
+    rows = expected.select("continent", "zone", F.col("basins").cast("long").alias("expected"), none.alias("created"), none.alias("dry"))
+    rows = rows.unionByName(covered.select("continent", "zone", none.alias("expected"), F.when(F.col("flooding"), F.col("n")).otherwise(0).alias("created"), F.when(F.col("flooding"), 0).otherwise(F.col("n")).alias("dry")))
+    both = rows.select(F.explode(F.array(F.struct(F.lit("continent").alias("by"), F.col("continent").cast("int").alias("value")), F.struct(F.lit("zone").alias("by"), F.col("zone").cast("int").alias("value")))).alias("g"), "expected", "created", "dry")
+    return both.groupBy("g.by", "g.value").agg(F.sum("expected").alias("expected"), F.sum("created").alias("created"), (F.sum("dry") * 0.5).alias("negative"))
 
 
 # --- queries -------------------------------------------------------------------------------------------------
@@ -268,14 +273,6 @@ def _near_candidates(v):
     return v("g_scene").select("event_id", F.col("start_time").alias("day"), "xlo", "ylo", (F.col("xlo") + 2.5).alias("xhi"), (F.col("ylo") + 2.5).alias("yhi"))
 
 
-@query("distribution_report", """WITH r AS (SELECT 'continent' AS "by", continent AS value, flooding FROM g_roi UNION ALL SELECT 'fold', fold, flooding FROM g_roi),
-    m AS (SELECT "by", value, CAST(count_if(flooding) AS BIGINT) AS created, count_if(NOT flooding) * 0.5E0 AS negative FROM r GROUP BY "by", value), e AS (SELECT continent AS value, count(*) AS expected FROM g_basin GROUP BY continent)
-    SELECT m."by", m.value, created, negative, expected FROM m LEFT JOIN e ON m."by" = 'continent' AND m.value = e.value""")
-def _report(v):
-    expected = v("g_basin").groupBy(F.lit("continent").alias("by"), F.col("continent").alias("value")).agg(F.count(F.lit(1)).alias("expected"))
-    return distribution_report(expected, v("g_roi"))
-
-
 @query("continent_counts", f"SELECT k, name, CAST(count(roi_id) AS BIGINT) AS n FROM (VALUES {values_sql(CONTINENTS)}) z(k, name) LEFT JOIN g_roi b ON b.continent = k AND flooding GROUP BY k, name")
 def _continents(v):
     return count_by_domain(v("g_roi").where("flooding"), "continent", CONTINENTS)

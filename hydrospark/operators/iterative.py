@@ -1,24 +1,23 @@
-"""Jobs that go on until nothing changes: drainage, regions, growing extents, site selection, partitions."""
+"""Jobs that go on until nothing changes: drainage, regions, growing extents, partitions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from hydrospark.operators.projections import coastal_outlets, flood_impact
+from hydrospark.operators.evaluation import paste_permanent_water
+from hydrospark.operators.projections import coastal_outlets
 from hydrospark.operators.rasters import majority_filter
-from hydrospark.operators.spatial import lines_hit_grid, majority_basin, overlap_join, points_in_areas
-from hydrospark.plans.components import components, reached
+from hydrospark.operators.spatial import lines_hit_grid, majority_basin, points_in_areas
+from hydrospark.plans.components import components, drained
 from hydrospark.plans.registry import query
 from hydrospark.plans.scratch import written
 
-CHUNK = 5000  # candidates that one round of select_sites walks through, for each continent
-
 
 def upstream_of(basins: DataFrame, targets: DataFrame) -> DataFrame:
-    """All basins that drain into each target (hybas_id), with the number of steps; a target is level 0."""
-    edges = basins.where(F.col("next_down") != 0).select(F.col("next_down").alias("node"), F.col("hybas_id").alias("next"))
-    found = reached(targets.select(F.col("hybas_id").alias("root"), F.col("hybas_id").alias("node")), edges, "upstream")
-    return found.select(F.col("root").alias("target"), F.col("node").alias("hybas_id"), "level")
+    """All basins that drain into each target (hybas_id), with the number of steps; a target is level 0. The rounds grow with the logarithm of the longest way."""
+    after = basins.select(F.col("hybas_id").alias("node"), F.when(F.col("next_down") != 0, F.col("next_down")).alias("next"))
+    found = drained(after, targets.select(F.col("hybas_id").alias("node")), "upstream")
+    return found.select("target", F.col("node").alias("hybas_id"), F.col("steps").cast("int").alias("level"))
 
 
 def major_upstream(basins: DataFrame, targets: DataFrame, min_flow: int = 20_000) -> DataFrame:
@@ -52,10 +51,19 @@ def fill_small_holes(cells: DataFrame, key: str, most: int = 50, grow: int = 2)
     return regions.join(top, [key, "region"], "left").select(key, "gx", "gy", F.coalesce("new", "value").alias("value"))
 
 
-def postprocess_maps(cells: DataFrame, keep: DataFrame) -> DataFrame:
-    """The clean-up of raw maps: majority filter, small holes, tiles outside of the basin out."""
+def postprocess_maps(cells: DataFrame, keep: DataFrame, ocean: DataFrame | None = None) -> DataFrame:
+    """The clean-up of raw maps: majority filter, small holes, tiles outside of the basin out, permanent water pasted over tiles of the ocean.
+
+    ``keep`` (roi_id, gx, gy) stay; ``ocean`` (roi_id, gx, gy, cover) are those in the ocean with the class of the land cover, null where it has none.
+    """
     smooth = majority_filter(cells, "roi_id").select("roi_id", "gx", "gy", F.col("filtered").alias("value"))
-    return fill_small_holes(smooth, "roi_id").join(keep, ["roi_id", "gx", "gy"], "left_semi")
+    kept = fill_small_holes(smooth, "roi_id").join(keep, ["roi_id", "gx", "gy"], "left_semi")
+    if ocean is None:
+        return kept
+    place = F.struct(F.col("roi_id").cast("long").alias("roi_id"), F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"))
+    sea = ocean.select(place.alias("tile_id"), "cover", F.lit(True).alias("sea"))
+    rows = kept.withColumn("tile_id", place).join(sea.select("tile_id", "sea"), "tile_id", "left").select("roi_id", "gx", "gy", "tile_id", F.col("value").alias("targ"), F.coalesce("sea", F.lit(False)).alias("coast"))
+    return paste_permanent_water(rows, sea.select("tile_id", "cover")).select("roi_id", "gx", "gy", F.col("pasted").alias("value"))
 
 
 def _around(reach: int) -> Column:
@@ -93,57 +101,6 @@ def grow_flood_extent(tiles: DataFrame, starts: DataFrame, reach: int = 1, most:
     return seen
 
 
-def select_sites(candidates: DataFrame, expected: DataFrame, degrees: float = 3.5, days: int = 20, slack: int = 3, chunk: int = CHUNK) -> DataFrame:
-    """Sites picked by falling impact, for each continent on its own.
-
-    ``candidates`` (continent, id, hybas_id, impact, zone, day, box); ``expected`` (continent, zone, basins). A
-    candidate is left out if its zone already has ``basins + slack`` sites, if it shares area with an accepted site,
-    or if it lies within less than ``degrees`` and ``days`` of one. The walk depends on what came before, so it is one task
-    for each continent, over ``chunk`` candidates a round; only accepted sites, as many as are expected at
-    most, go on to the next round.
-    """
-    import numpy as np
-    import pandas as pd
-
-    out = "continent int, id long, hybas_id long, impact long, zone int, day date, xlo double, ylo double, xhi double, yhi double"
-    columns = [c.split()[0] for c in out.split(", ")]
-    order = Window.partitionBy("continent").orderBy(F.desc("impact"), "id", "hybas_id")
-    ranked = written(candidates.withColumn("rank", F.row_number().over(order)), "site-candidates")
-    last = ranked.agg(F.coalesce(F.max("rank"), F.lit(0)).alias("n")).first()["n"]
-
-    def walk(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
-        want = old[old["basins"].notna()].groupby("zone")["basins"].first().to_dict()
-        held = old[old["id"].notna()]
-        boxes = [list(map(float, b)) for b in held[["xlo", "ylo", "xhi", "yhi"]].to_numpy()]
-        times = [pd.Timestamp(d).toordinal() for d in held["day"]]
-        counts = held["zone"].value_counts().to_dict()
-        taken = []
-        for row in new.sort_values("rank").to_dict("records"):
-            zone, day = row["zone"], pd.Timestamp(row["day"]).toordinal()
-            if counts.get(zone, 0) >= want.get(zone, 0) + slack:
-                continue
-            if boxes:
-                b, t = np.array(boxes), np.array(times)
-                dx = np.maximum(b[:, 0] - row["xhi"], row["xlo"] - b[:, 2])
-                dy = np.maximum(b[:, 1] - row["yhi"], row["ylo"] - b[:, 3])
-                gap = np.hypot(np.maximum(dx, 0), np.maximum(dy, 0))
-                if ((dx < 0) & (dy < 0) | (gap < degrees) & (np.abs(t - day) < days)).any():
-                    continue
-            boxes.append([row["xlo"], row["ylo"], row["xhi"], row["yhi"]])
-            times.append(day)
-            counts[zone] = counts.get(zone, 0) + 1
-            taken.append({c: row[c] for c in columns})
-        return pd.DataFrame(taken, columns=columns)
-
-    accepted = candidates.sparkSession.createDataFrame([], out)
-    for at in range(0, last, chunk):
-        new = ranked.where(F.col("rank").between(at + 1, at + chunk))
-        state = accepted.withColumn("basins", F.lit(None).cast("long")).unionByName(expected.select("continent", "zone", "basins"), allowMissingColumns=True)
-        more = new.groupBy("continent").cogroup(state.groupBy("continent")).applyInPandas(walk, out)
-        accepted = accepted.unionByName(written(more, "sites"))
-    return accepted
-
-
 def balanced_partitions(basins: DataFrame, trials: int = 20, parts: int = 5, points: DataFrame | None = None) -> DataFrame:
     """The best of several deals of basins into partitions: the one that spreads continents, zones and ``points`` most evenly.
 
@@ -198,9 +155,16 @@ def _holes(v):
 
 @query("postprocess_maps")
 def _postprocess(v):
+    return postprocess_maps(_cells(v), *_layers(v))
+
+
+def _layers(v) -> tuple[DataFrame, DataFrame]:
+    """Tiles inside of their ROI's basin, and every fourth one as ocean, of which a third is water in the land cover and a third is not in it."""
     inside = majority_basin(v("g_tile"), v("g_basin")).where("NOT excluded").select("tile_id")
-    keep = v("g_tile").join(inside, "tile_id", "left_semi").select("roi_id", F.col("tx").alias("gx"), F.col("ty").alias("gy"))
-    return postprocess_maps(_cells(v), keep)
+    place = ["roi_id", F.col("tx").alias("gx"), F.col("ty").alias("gy")]
+    keep = v("g_tile").join(inside, "tile_id", "left_semi").select(*place)
+    cover = F.when(F.col("tile_id") % 3 == 0, 80).when(F.col("tile_id") % 3 == 1, 10).alias("cover")
+    return keep, v("g_tile").where("tile_id % 4 = 0").select(*place, cover)
 
 
 @query("grow_flood_extent")
@@ -209,14 +173,6 @@ def _grow(v):
     return grow_flood_extent(tiles, lines_hit_grid(v("g_river"), v("g_tile"), 500))
 
 
-@query("select_sites")
-def _select(v):
-    pairs = overlap_join(coastal_outlets(v("g_basin"), 0).select("hybas_id", "continent", "clz_cl_smj", "xlo", "ylo", "xhi", "yhi"), v("g_flood").select("id", "dead", "displaced", F.col("began").alias("day"), "xlo", "ylo", "xhi", "yhi"), 0.1)
-    candidates = pairs.select("continent", "id", "hybas_id", flood_impact(F.col("dead"), F.col("displaced")).alias("impact"), F.col("clz_cl_smj").alias("zone"), "day", "xlo", "ylo", "xhi", "yhi")
-    expected = v("g_basin").groupBy("continent", F.col("clz_cl_smj").alias("zone")).agg(F.floor(F.count(F.lit(1)) / 40).cast("long").alias("basins"))
-    return select_sites(candidates, expected)
-
-
 def _partition_points(v) -> DataFrame:
     """Gauges, labelled sites and generated sites (kind, id, hybas_id), each in the basin that holds it or its centre."""
     centres = v("g_tile").groupBy("roi_id").agg(((F.min("xlo") + F.max("xhi")) / 2).alias("px"), ((F.min("ylo") + F.max("yhi")) / 2).alias("py"))

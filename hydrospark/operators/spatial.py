@@ -55,17 +55,19 @@ def overlap_join(a: DataFrame, b: DataFrame, threshold: float = 0.3, size: float
 
 
 def points_in_areas(points: DataFrame, areas: DataFrame, key: str, size: float = CELL) -> DataFrame:
-    """The area that holds each point (lower and left edges belong to it); of several the one with the least ``key``.
+    """The area that holds each point (lower and left edges belong to it); of several the one with the least ``key``. Repeated points stay repeated.
 
     Areas are boxes, or polygons if they have a ``ring`` beside their box: cells and boxes find the candidates, then
-    the ring decides.
+    the ring decides. Equal points are one until they have their area.
     """
-    at = points.withColumns({"cx": F.floor(F.col("px") / size), "cy": F.floor(F.col("py") / size)})
+    each = points.groupBy(*points.columns).agg(F.count(F.lit(1)).alias("times"))
+    at = each.withColumns({"cx": F.floor(F.col("px") / size), "cy": F.floor(F.col("py") / size)})
     pairs = at.join(in_cells(areas, size), ["cx", "cy"])
     inside = (F.col("px") >= F.col("xlo")) & (F.col("px") < F.col("xhi")) & (F.col("py") >= F.col("ylo")) & (F.col("py") < F.col("yhi"))
     if "ring" in areas.columns:
         inside = inside & ring_holds(F.col("ring"), F.col("px"), F.col("py"))
-    return pairs.where(inside).groupBy(*points.columns).agg(F.min(key).alias(key))
+    found = pairs.where(inside).groupBy(*points.columns, "times").agg(F.min(key).alias(key))
+    return found.select(*points.columns, key, F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time")).drop("time")
 
 
 def with_bounds(areas: DataFrame, ring: str = "ring") -> DataFrame:
@@ -193,14 +195,17 @@ def overlap_area(ring: Column, convex: Column) -> Column:
 
 
 def ring_overlay_weights(areas: DataFrame, cell: float) -> DataFrame:
-    """Areas (with ``ring`` and its bounds) to the grid cells (gx, gy) under them, with the share of the area and the share of the cell."""
+    """Areas (with ``ring`` and its bounds) to the grid cells (gx, gy) under them, with the share of the area and the share of the cell.
+
+    Less than a 10^12th of the smaller of the two is rounding, of a ring that only touches the cell, and is left out.
+    """
     span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.greatest(F.floor(F.col(lo) / cell), F.ceil(F.col(hi) / cell) - 1)))
     spread = areas.withColumn("gx", span("xlo", "xhi")).withColumn("gy", span("ylo", "yhi"))
     one, none = F.lit(1.0), F.lit(0.0)
     x, y = F.col("gx") * F.lit(cell), F.col("gy") * F.lit(cell)
     box = F.array(half_plane(one, none, x), half_plane(-one, none, -x - cell), half_plane(none, one, y), half_plane(none, -one, -y - cell))
     shares = spread.withColumn("area", F.abs(ring_area(clipped(F.col("ring"), box)))).withColumn("area_share", F.col("area") / F.abs(ring_area(F.col("ring"))))
-    return shares.where(F.col("area") > 1e-9).withColumn("cell_share", F.col("area") / (cell * cell)).drop("ring")
+    return shares.where(F.col("area") > 1e-12 * F.least(F.abs(ring_area(F.col("ring"))), F.lit(cell * cell))).withColumn("cell_share", F.col("area") / (cell * cell)).drop("ring")
 
 
 def areas_to_grid(areas: DataFrame, cell: float, key: str, absolute: str, relative: str, klass: str) -> DataFrame:
@@ -347,9 +352,9 @@ def _join(v):
     return spatial_join(v("g_basin").select("hybas_id", "xlo", "ylo", "xhi", "yhi"), v("g_flood").select("id", "xlo", "ylo", "xhi", "yhi")).groupBy("hybas_id").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
 
 
-@query("overlap_join", f"SELECT hybas_id, id, round({_SHARED} / {_AREA}, 6) AS share FROM g_basin a JOIN g_flood b ON {_MEET} WHERE maincause = 'Heavy rain' AND {_SHARED} / {_AREA} > 0.3")
+@query("overlap_join", f"SELECT hybas_id, id, round({_SHARED} / {_AREA}, 6) AS share FROM g_basin a JOIN g_flood b ON {_MEET} WHERE {_SHARED} / {_AREA} > 0.3")
 def _overlap(v):
-    found = overlap_join(v("g_basin").select("hybas_id", "xlo", "ylo", "xhi", "yhi"), v("g_flood").where("maincause = 'Heavy rain'").select("id", "xlo", "ylo", "xhi", "yhi"))
+    found = overlap_join(v("g_basin").select("hybas_id", "xlo", "ylo", "xhi", "yhi"), v("g_flood").select("id", "xlo", "ylo", "xhi", "yhi"))
     return found.select("hybas_id", "id", F.round("share", 6).alias("share"))
 
 
@@ -396,8 +401,7 @@ def _without(v):
     return areas_without_rivers(v("g_tile").withColumn("roi_id", F.col("roi_id") * 64 + F.col("tx")), v("g_river"), 2995)
 
 
-# rivers of the first ten columns alone, so that all three kinds of start are met: ROIs above 60 keep their tiles right of column 20
-_STARTS = f"""g_tile2 AS (SELECT roi_id, tile_id, tx, ty FROM g_tile WHERE roi_id <= 60 OR tx > 20), g_river2 AS (SELECT * FROM g_river WHERE greatest(x1, x2) <= 10 OR greatest(x1, x2) > 50 AND riv_tc_usu <= 500),
+_STARTS = f"""g_tile2 AS (SELECT roi_id, tile_id, tx, ty FROM g_tile), g_river2 AS (SELECT * FROM g_river),
     {_HIT.format(flow=0).replace("g_tile", "g_tile2").replace("g_river", "g_river2").replace("t AS (", "t0 AS (", 1).replace("FROM t JOIN", "FROM t0 JOIN", 1)}, {_HIT.format(flow=500).replace("g_tile", "g_tile2").replace("g_river", "g_river2").replace("t AS (", "t1 AS (", 1).replace("FROM t JOIN", "FROM t1 JOIN", 1).replace("n AS (", "n1 AS (", 1)},
     l AS (SELECT roi_id, tx, ty FROM (SELECT t.roi_id, t.tx, t.ty, row_number() OVER (PARTITION BY t.roi_id ORDER BY t.tx, t.ty, t.tile_id) AS r FROM g_tile2 t JOIN n1 ON t.tx = n1.tx AND t.ty = n1.ty) WHERE r <= 200),
     m AS (SELECT roi_id, tx, ty FROM (SELECT t.roi_id, t.tx, t.ty, row_number() OVER (PARTITION BY t.roi_id ORDER BY t.tx, t.ty, t.tile_id) AS r FROM g_tile2 t JOIN n ON t.tx = n.tx AND t.ty = n.ty WHERE t.roi_id NOT IN (SELECT roi_id FROM l)) WHERE r <= 500),
@@ -408,9 +412,7 @@ _STARTS = f"""g_tile2 AS (SELECT roi_id, tile_id, tx, ty FROM g_tile WHERE roi_i
 
 @query("initial_tiles", f"WITH {_STARTS} SELECT DISTINCT s.roi_id, s.tx + p.i AS tx, s.ty + q.i AS ty FROM s, o2 p, o2 q, b WHERE b.roi_id = s.roi_id AND s.tx + p.i BETWEEN 0 AND w - 1 AND s.ty + q.i BETWEEN 0 AND h - 1")
 def _starts(v):
-    right = F.greatest("x1", "x2")
-    rivers = v("g_river").where((right <= 10) | (right > 50) & (F.col("riv_tc_usu") <= 500))
-    return initial_tiles(rivers, v("g_tile").where((F.col("roi_id") <= 60) | (F.col("tx") > 20)))
+    return initial_tiles(v("g_river"), v("g_tile"))
 
 
 _WEIGHTS = """s AS (SELECT *, unnest(generate_series(CAST(floor(xlo / {c}) AS BIGINT), CAST(ceil(xhi / {c}) - 1 AS BIGINT))) AS gx FROM g_basin),

@@ -81,12 +81,6 @@ def tile_set_iou(a: DataFrame, b: DataFrame) -> DataFrame:
     return sides.groupBy("roi_id").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("n_both"), F.count(F.lit(1)).alias("n_either")).withColumn("iou", F.round(F.col("n_both") / F.col("n_either"), 6))
 
 
-def seed_from_labels(rois: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Labelled sites by continent and fold: how many, their tiles, and the first and last of their days."""
-    per = tiles.groupBy("roi_id").agg(F.count(F.lit(1)).alias("n"))
-    return rois.where(F.col("type") == "kurosiwo").join(per, "roi_id").groupBy("continent", "fold").agg(F.count(F.lit(1)).alias("n_sites"), F.sum("n").alias("n_tiles"), F.min("post_date").alias("first_day"), F.max("post_date").alias("last_day"))
-
-
 # --- queries -------------------------------------------------------------------------------------------------
 
 _FLOODED = "n_flooded / CAST(n_background + n_permanent_water + n_flooded AS DOUBLE) > 0.05"
@@ -158,8 +152,3 @@ def _diff(v):
 @query("tile_set_iou", "WITH s AS (SELECT roi_id, n_flooded > 4000 AS a, n_permanent_water > 9000 AS b FROM g_tile) SELECT roi_id, CAST(count_if(a AND b) AS BIGINT) AS n_both, CAST(count_if(a OR b) AS BIGINT) AS n_either, round(CAST(count_if(a AND b) AS DOUBLE) / count_if(a OR b), 6) AS iou FROM s WHERE a OR b GROUP BY roi_id")
 def _iou(v):
     return tile_set_iou(v("g_tile").where("n_flooded > 4000").select("roi_id", "tile_id"), v("g_tile").where("n_permanent_water > 9000").select("roi_id", "tile_id"))
-
-
-@query("seed_from_labels", "SELECT continent, fold, count(*) AS n_sites, CAST(sum(n) AS BIGINT) AS n_tiles, min(post_date) AS first_day, max(post_date) AS last_day FROM g_roi r JOIN (SELECT roi_id, count(*) AS n FROM g_tile GROUP BY roi_id) t ON r.roi_id = t.roi_id WHERE type = 'kurosiwo' GROUP BY continent, fold")
-def _seed(v):
-    return seed_from_labels(v("g_roi"), v("g_tile"))

@@ -1,4 +1,4 @@
-"""Fixed-point jobs over edges: connected components and reachability, all sets at once."""
+"""Fixed-point jobs over edges: connected components, and what drains into what in a forest, all sets at once."""
 
 from __future__ import annotations
 
@@ -53,3 +53,46 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def nearest_stops(after: DataFrame, stops: DataFrame, table: str = "stops") -> DataFrame:
+    """``after`` (node, next; one row a node) and ``stops`` (node) to (node, stop, steps): the first stop on the way from each node on, itself if it is one.
+
+    Pointers are doubled: each round a node's pointer becomes that of the node that it points to, so a way of any length takes the
+    logarithm of its length in rounds. Nodes whose way ends or goes round without a stop are left out.
+    """
+    at = stops.select("node").distinct()
+    last = at.select("node", F.col("node").alias("to"), F.lit(0).cast("long").alias("steps"), F.lit(True).alias("there"))
+    first = after.where("next IS NOT NULL").select("node", F.col("next").alias("to"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("there")).join(at, "node", "left_anti")
+    state = written(last.unionByName(first), table)
+    rounds = max(1, state.count()).bit_length() + 1  # more are only needed by a way that goes round
+    for _ in range(rounds):
+        under_way = state.where("NOT there")
+        if not under_way.limit(1).count():
+            break
+        far = state.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"), F.col("there").alias("ends"))
+        moved = under_way.join(far, "to").select("node", F.col("further").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("there"))
+        before, state = state, written(state.where("there").unionByName(moved), table)
+        drop_written(before)
+    return state.where("there").select("node", F.col("to").alias("stop"), "steps")
+
+
+def drained(after: DataFrame, targets: DataFrame, table: str = "drained") -> DataFrame:
+    """``after`` (node, next) and ``targets`` (node) to (target, node, steps): all nodes whose way leads through a target, itself with no steps.
+
+    Each node knows its nearest target. Targets that lie on one another's ways are a small forest of their own; the ways in
+    it are doubled too (targets within 2^k, and the one 2^k on), so no step waits for a level of nodes.
+    """
+    near = written(nearest_stops(after, targets, table), f"{table}-nearest")
+    onward = after.where("next IS NOT NULL").join(targets.select("node").distinct(), "node").select(F.col("node").alias("low"), F.col("next").alias("node"))
+    jump = written(onward.join(near, "node").select("low", F.col("stop").alias("high"), (F.col("steps") + 1).alias("way")).where("low <> high"), f"{table}-targets")
+    within = targets.select(F.col("node").alias("low"), F.col("node").alias("high"), F.lit(0).cast("long").alias("way")).distinct()
+    rounds = max(1, jump.count()).bit_length() + 1
+    for _ in range(rounds):
+        if not jump.limit(1).count():
+            break
+        on = lambda df: jump.select("low", F.col("high").alias("mid"), F.col("way").alias("first")).join(df.select(F.col("low").alias("mid"), "high", "way"), "mid").select("low", "high", (F.col("first") + F.col("way")).alias("way"))  # noqa: B023, E731
+        # targets on a round way meet themselves; the fewest steps count
+        within = written(within.unionByName(on(within)).groupBy("low", "high").agg(F.min("way").alias("way")), f"{table}-within")
+        jump = written(on(jump).where("low <> high"), f"{table}-targets")
+    return near.join(within, near["stop"] == within["low"]).select(F.col("high").alias("target"), "node", (F.col("steps") + F.col("way")).alias("steps"))

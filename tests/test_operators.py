@@ -93,17 +93,6 @@ def test_grow_walk_and_sets_agree(spark):
     assert len(iterative.grow_flood_extent(t, starts, most=1).collect()) == 2
 
 
-def test_select_sites(spark):
-    day = datetime.date(2000, 1, 1)
-    row = lambda i, impact, zone, x, d=0: (1, i, i, impact, zone, day + datetime.timedelta(d), float(x), 0.0, x + 1.0, 1.0)
-    rows = [row(1, 90, 1, 0), row(2, 80, 1, 3), row(3, 70, 1, 3, 40), row(4, 60, 1, 20), row(5, 50, 1, 40), row(6, 40, 2, 60), row(7, 30, 2, 0.5, 400)]
-    c = spark.createDataFrame(rows, "continent int, id long, hybas_id long, impact long, zone int, day date, xlo double, ylo double, xhi double, yhi double")
-    expected = spark.createDataFrame([(1, 1, 2), (1, 2, 1)], "continent int, zone int, basins long")
-    want = [1, 3, 4, 6]  # 2 is near 1 in time and space, 5 is above the zone's three, 7 overlaps 1
-    assert sorted(r["id"] for r in iterative.select_sites(c, expected, slack=1).collect()) == want
-    assert sorted(r["id"] for r in iterative.select_sites(c, expected, slack=1, chunk=2).collect()) == want
-
-
 def test_balanced_partitions(spark):
     basins = Views(spark, SF)("g_basin")
     found = iterative.balanced_partitions(basins)
