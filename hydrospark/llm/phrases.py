@@ -17,11 +17,11 @@ columns of any name do not matter; a text of any length is worked on whole, as n
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -55,8 +55,8 @@ class Numbers(dict):
         return n
 
 
-def words_by_lang(table: pa.Table) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
-    """Of each lang of a lot: its words by number, and the numbers of its texts' words, 0 between pieces."""
+def words_by_lang(table: pa.Table) -> Iterator[tuple[str, Numbers, np.ndarray]]:
+    """Of each lang of a lot: the numbers of its words, and its texts as numbers of words, 0 between pieces."""
     langs, texts = np.array(table.column("lang").to_pylist(), object), texts_of(table)
     order = np.argsort(langs.astype(str), kind="stable")
     for own in np.split(order, np.flatnonzero(langs[order][1:] != langs[order][:-1]) + 1) if len(order) else []:
@@ -65,88 +65,102 @@ def words_by_lang(table: pa.Table) -> Iterator[tuple[str, list[bytes], np.ndarra
         for i in own:
             tokens = texts[i].translate(_TABLE).replace(_BREAK, b" . ").split()  # bytes split at ASCII white space alone
             found += [np.fromiter(map(numbers.__getitem__, tokens), np.int64, len(tokens)), np.zeros(1, np.int64)]
-        yield langs[own[0]], list(numbers), np.concatenate(found)
+        yield langs[own[0]], numbers, np.concatenate(found)
 
 
-def packed(words: list[bytes]) -> bytes:
-    return b"\n".join(words)  # no word has a line feed
+def packed(words: pa.Array, starts: np.ndarray) -> pa.Array:
+    """Words, in runs that begin at ``starts`` (and end at the last of them), each run as one binary; no word has a line feed."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(starts, words), b"\n")
 
 
-class Stripes:
-    """Rows (bucket, lot, lang, prefix, nexts, counts) under way."""
+def bytes_of(numbers: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """The same of numbers."""
+    data = np.ascontiguousarray(numbers)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer((starts * data.itemsize).astype(np.int64)), pa.py_buffer(data)]).cast(pa.binary())
 
-    SCHEMA = "bucket int, lot int, lang string, prefix binary, nexts binary, counts binary"
 
-    def __init__(self, lot: int, buckets: int) -> None:
-        self.lot, self.buckets, self.rows = lot, buckets, []
+STRIPES = "bucket int, lot int, lang string, prefix binary, nexts binary, counts binary"
+ANSWERS = "lot int, lang string, prefix binary, nexts binary, counts binary"
+_TYPES = {"bucket": pa.int32(), "lot": pa.int32(), "lang": pa.string(), "prefix": pa.binary(), "nexts": pa.binary(), "counts": pa.binary()}
 
-    def add(self, lang: str, prefix: bytes, drawer: int, nexts: list[bytes], counts: np.ndarray) -> None:
-        bucket = xxhash.xxh64_intdigest(b"%s\n%s\n%d" % (lang.encode(), prefix, drawer)) % self.buckets
-        self.rows.append((bucket, lang, prefix, packed(nexts), counts.astype(np.int64).tobytes()))
 
-    def table(self) -> pa.Table:
-        column = lambda i, kind: pa.array([r[i] for r in self.rows], kind)
-        return pa.table({"bucket": column(0, pa.int32()), "lot": pa.array([self.lot] * len(self.rows), pa.int32()), "lang": column(1, pa.string()), "prefix": column(2, pa.binary()), "nexts": column(3, pa.binary()), "counts": column(4, pa.binary())})
+def rows_of(parts: list[dict], names: list[str]) -> pa.Table:
+    """Columns that come in parts, one under the other."""
+    return pa.table({c: pa.chunked_array([pa.array(p[c], _TYPES[c]) for p in parts], _TYPES[c]) for c in names})
 
-    def add_extensions(self, lang: str, prefixes: np.ndarray, nexts: np.ndarray, totals: np.ndarray, name: Callable[[int], bytes], words: list[bytes]) -> None:
-        """Occurrences of next words after prefixes, numbers both; ``totals`` by the number of a prefix."""
-        codes, counts = np.unique(prefixes << 32 | nexts, return_counts=True)
-        prefixes, nexts = codes >> 32, codes & 0xFFFFFFFF
-        drawers = 1 + totals[prefixes] // DRAWER
-        drawer = np.zeros(len(codes), np.int64)
-        for i in np.flatnonzero(drawers > 1):
-            drawer[i] = xxhash.xxh64_intdigest(words[nexts[i]]) % int(drawers[i])
-        order = np.lexsort((drawer, prefixes))
-        prefixes, nexts, counts, drawer = prefixes[order], nexts[order], counts[order], drawer[order]
-        starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(codes)), bool), (prefixes[1:] != prefixes[:-1]) | (drawer[1:] != drawer[:-1]))))
-        for x, y in zip(starts.tolist(), np.append(starts[1:], len(codes)).tolist()):
-            self.add(lang, name(int(prefixes[x])), int(drawer[x]), [words[j] for j in nexts[x:y].tolist()], counts[x:y])
+
+def stripes_of(lot: int, lang: str, buckets: int, prefixes: list[bytes], drawers: np.ndarray, starts: np.ndarray, nexts: pa.Array, counts: np.ndarray) -> dict:
+    """Rows of stripes: a prefix and a drawer for each run of next words and counts."""
+    at = [xxhash.xxh64_intdigest(b"%s\n%s\n%d" % (lang.encode(), p, d)) % buckets for p, d in zip(prefixes, drawers.tolist())]
+    return {"bucket": at, "lot": [lot] * len(at), "lang": [lang] * len(at), "prefix": prefixes, "nexts": packed(nexts, starts), "counts": bytes_of(counts.astype(np.int32), starts)}
 
 
 def words(buckets: int) -> Callable[[pa.Table], pa.Table]:
     """A lot to the stripe of the empty prefix, a drawer for each bucket."""
 
     def ask(table: pa.Table) -> pa.Table:
-        out = Stripes(table.column("lot")[0].as_py(), buckets)
+        parts = []
         for lang, vocabulary, numbers in words_by_lang(table):
+            own = list(vocabulary)[1:]
             counts = np.bincount(numbers, minlength=len(vocabulary))[1:]
-            bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in vocabulary[1:]), np.int64, len(counts))
-            order = np.argsort(bucket, kind="stable")
-            for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
-                out.add(lang, b"", int(bucket[own[0]]), [vocabulary[i + 1] for i in own.tolist()], counts[own])
-        return out.table()
+            drawer = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own)) % np.uint64(buckets)
+            order = np.argsort(drawer, kind="stable")
+            held, starts = np.unique(drawer[order], return_index=True)
+            parts.append(stripes_of(table.column("lot")[0].as_py(), lang, buckets, [b""] * len(held), held, np.append(starts, len(own)), pa.array(own, pa.binary()).take(pa.array(order)), counts[order]))
+        return rows_of(parts, list(_TYPES))
 
     return ask
 
 
 def merge(least: int) -> Callable[[pa.Table], pa.Table]:
-    """A bucket's stripes, merged: to each lot the extensions it has that are ``least`` or more in all, once all such
-    (lot -1), and the total of all, as text (lot -2)."""
+    """A bucket's stripes, merged element by element: to each lot the extensions it has that are ``least`` or more in all, once all such
+    (lot -1), and the total of each stripe, as text (lot -2)."""
 
     def meet(table: pa.Table) -> pa.Table:
-        rows = [(*key, n.split(b"\n"), np.frombuffer(c, np.int64)) for *key, n, c in zip(*(table.column(c).to_pylist() for c in ("lot", "lang", "prefix", "nexts", "counts")))]
-        merged: dict[tuple[str, bytes], Counter] = {}
-        for _, lang, prefix, nexts, counts in rows:
-            stripe = merged.setdefault((lang, prefix), Counter())
-            for word, n in zip(nexts, counts.tolist()):
-                stripe[word] += n
-        out: list[tuple] = []
-        frequent = {}
-        for (lang, prefix), stripe in merged.items():
-            frequent[lang, prefix] = kept = {w: n for w, n in stripe.items() if n >= least}
-            out.append((-2, lang, prefix, b"%d" % stripe.total(), b""))
-            if kept:
-                out.append((-1, lang, prefix, packed(list(kept)), np.array(list(kept.values()), np.int64).tobytes()))
-        for lot, lang, prefix, nexts, _ in rows:
-            kept = frequent[lang, prefix]
-            if kept and (own := [w for w in nexts if w in kept]):
-                out.append((lot, lang, prefix, packed(own), np.array([kept[w] for w in own], np.int64).tobytes()))
-        column = lambda i, kind: pa.array([r[i] for r in out], kind)
-        return pa.table({"lot": column(0, pa.int32()), "lang": column(1, pa.string()), "prefix": column(2, pa.binary()), "nexts": column(3, pa.binary()), "counts": column(4, pa.binary())})
+        table = table.combine_chunks()
+        lists = pc.split_pattern(table.column("nexts").combine_chunks(), b"\n")
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        nexts = lists.flatten()
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int32)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        stripe_of, known = Numbering(), list(zip(table.column("lang").to_pylist(), table.column("prefix").to_pylist()))
+        stripe = np.fromiter(map(stripe_of.__getitem__, known), np.int64, len(known))
+        # an element of a stripe: its number and that of the next word
+        word = pc.dictionary_encode(nexts).indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        _, first, element = np.unique(stripe[row] << 32 | word, return_index=True, return_inverse=True)
+        sums = np.bincount(element, counts, len(first)).astype(np.int64)  # exact below 2^53
+        stripes = list(stripe_of)
+
+        def part(lots: list[int], of: list[int], at: np.ndarray, runs: np.ndarray, totals: np.ndarray) -> dict:
+            """Rows of the elements that stand at ``at``, in runs."""
+            return {"lot": lots, "lang": [stripes[i][0] for i in of], "prefix": [stripes[i][1] for i in of], "nexts": packed(nexts.take(pa.array(at)), runs), "counts": bytes_of(totals, runs)}
+
+        def cut(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            held, starts = np.unique(group, return_index=True)
+            return held, np.append(starts, len(group))
+
+        often = np.flatnonzero(sums >= least)  # in the order of stripes
+        held, runs = cut(stripe[row[first[often]]])
+        parts = [part([-1] * len(held), held.tolist(), first[often], runs, sums[often])]
+        total = np.bincount(stripe[row], counts, len(stripes)).astype(np.int64).tolist()
+        parts.append({"lot": [-2] * len(stripes), "lang": [s[0] for s in stripes], "prefix": [s[1] for s in stripes], "nexts": [b"%d" % n for n in total], "counts": [b""] * len(stripes)})
+        live = np.flatnonzero(sums[element] >= least)
+        held, runs = cut(row[live])
+        lots = table.column("lot").to_numpy()
+        parts.append(part(lots[held].tolist(), stripe[held].tolist(), live, runs, sums[element[live]]))
+        return rows_of(parts, list(_TYPES)[1:])
 
     return meet
 
 
+class Numbering(dict):
+    """Keys to numbers in the order of their first sight."""
+
+    def __missing__(self, key: tuple) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def answers_of(answers: pa.Table) -> dict[str, list[tuple[bytes, list[bytes], np.ndarray]]]:
     """The answers to a lot by lang: (prefix, next words, counts)."""
     found: dict[str, list] = {}
@@ -155,40 +169,55 @@ def answers_of(answers: pa.Table) -> dict[str, list[tuple[bytes, list[bytes], np
     return found
 
 
+def places_of(phrases: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each word of a text the number of the phrase that starts there, -1 if none does; and the place in ``phrases`` (a row of
+    numbers of words each) that each number stands for. Word by word, a phrase's number comes from that of its beginning and the next word."""
+    rank, at = phrases[:, 0], numbers
+    table, first, rank = np.unique(rank, return_index=True, return_inverse=True)
+    look = np.full(int(max(numbers.max(initial=0), table.max(initial=0))) + 1, -1, np.int64)
+    look[table] = np.arange(len(table))
+    at = look[at]
+    for j in range(1, phrases.shape[1]):
+        table, first, rank = np.unique(rank << 32 | phrases[:, j], return_index=True, return_inverse=True)
+        begun = np.flatnonzero(at[: len(at) - j] >= 0) if len(at) > j else np.empty(0, np.int64)
+        want = at[begun] << 32 | numbers[begun + j]
+        there = np.searchsorted(table, want)
+        hit = table[np.minimum(there, len(table) - 1)] == want
+        at = np.full(len(numbers), -1, np.int64)
+        at[begun[hit]] = there[hit]
+    return at, first
+
+
 def longer(buckets: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A lot and its frequent phrases, all of one length, to the stripes of prefixes of that length: their extensions whose
     last words, without the first one, are a frequent phrase too."""
 
     def ask(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows or not answers.num_rows:
-            return Stripes(0, buckets).table()
-        out, known = Stripes(table.column("lot")[0].as_py(), buckets), answers_of(answers)
-        for lang, vocabulary, numbers in words_by_lang(table):
+        known, parts = answers_of(answers) if table.num_rows else {}, []
+        for lang, of_word, numbers in words_by_lang(table) if known else []:
             if lang not in known:
                 continue
-            of_word = {w: i for i, w in enumerate(vocabulary)}
             # each frequent phrase by the numbers of its words, with its count
-            phrases = np.concatenate([np.array([[*map(of_word.__getitem__, prefix.split()), of_word[w]] for w in nexts], np.int64) for prefix, nexts, _ in known[lang]])
-            counts = np.concatenate([c for _, _, c in known[lang]])
-            n = phrases.shape[1]
-            phrases, first = np.unique(phrases, axis=0, return_index=True)
-            counts = counts[first]
-            # the number of the phrase that starts at each word, -1 if it is not frequent
-            at = np.full(len(numbers), -1, np.int64)
-            there = np.arange(max(0, len(numbers) - n + 1))
-            low, high = np.zeros(len(there), np.int64), np.full(len(there), len(phrases), np.int64)
-            for j in range(n):  # phrases are sorted: each word narrows the range of those that begin alike
-                column = phrases[:, j] + (np.unique(phrases[:, :j], axis=0, return_inverse=True)[1].reshape(-1) << 32 if j else 0)
-                group = column[np.minimum(low, len(phrases) - 1)] >> 32
-                want = (group << 32) + numbers[there + j]
-                low, high = np.searchsorted(column, want), np.searchsorted(column, want, side="right")
-                there, low = there[low < high], low[low < high]
-            at[there] = low
+            rows = [[*map(of_word.__getitem__, prefix.split()), of_word[w]] for prefix, nexts, _ in known[lang] for w in nexts]
+            phrases, totals = np.array(rows, np.int64), np.concatenate([c for _, _, c in known[lang]])
+            n, vocabulary = phrases.shape[1], list(of_word)
+            at, place = places_of(phrases, numbers)
             both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
-            both = both[both + n < len(numbers)]
-            name = lambda i: b" ".join(vocabulary[k] for k in phrases[i])  # noqa: B023, E731
-            out.add_extensions(lang, at[both], numbers[both + n], counts, name, vocabulary)
-        return out.table()
+            codes, counts = np.unique(at[both] << 32 | numbers[both + n], return_counts=True)
+            prefix, word = codes >> 32, codes & 0xFFFFFFFF
+            drawers = 1 + totals[place[prefix]] // DRAWER
+            drawer = np.zeros(len(codes), np.int64)
+            for i in np.flatnonzero(drawers > 1).tolist():
+                drawer[i] = xxhash.xxh64_intdigest(vocabulary[word[i]]) % int(drawers[i])
+            order = np.lexsort((drawer, prefix))
+            prefix, word, counts, drawer = prefix[order], word[order], counts[order], drawer[order]
+            new = np.ones(len(codes), bool)
+            new[1:] = (prefix[1:] != prefix[:-1]) | (drawer[1:] != drawer[:-1])
+            starts = np.flatnonzero(new)
+            names = [b" ".join([vocabulary[k] for k in own]) for own in phrases[place[prefix[starts]]].tolist()]
+            nexts = pa.array(vocabulary, pa.binary()).take(pa.array(word))
+            parts.append(stripes_of(table.column("lot")[0].as_py(), lang, buckets, names, drawer[starts], np.append(starts, len(codes)), nexts, counts))
+        return rows_of(parts, list(_TYPES))
 
     return ask
 
@@ -213,11 +242,11 @@ def stripes(docs: DataFrame, least: int = MIN_COUNT, most_words: int = MOST_WORD
     ``least`` times or more. Each is a written table."""
     lots, n_bytes = lots_of(docs, lang=F.coalesce(F.col("lang").cast("string"), F.lit("und")))
     buckets = max(1, -(-n_bytes // BUCKET_BYTES))
-    rows, found = "lot int, lang string, prefix binary, nexts binary, counts binary", []
+    found = []
     with dropping_shuffles(docs.sparkSession):
         for k in range(most_words):
-            sent = asked(lots, longer(buckets), Stripes.SCHEMA, merged.where("lot >= 0")) if k else asked(lots, words(buckets), Stripes.SCHEMA)
-            merged = written(met(sent, merge(least), rows), "stripes")
+            sent = asked(lots, longer(buckets), STRIPES, merged.where("lot >= 0")) if k else asked(lots, words(buckets), STRIPES)
+            merged = written(met(sent, merge(least), ANSWERS), "stripes")
             found.append(merged)
     sums = found[0].where("lot = -2").select("lang", F.col("nexts").cast("string").cast("long").alias("n"))
     totals = sums.groupBy("lang").agg(F.sum("n").alias("n"))
