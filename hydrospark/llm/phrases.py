@@ -34,6 +34,7 @@ SHARE = 50  # percent of a phrase's occurrences in a longer one from which the l
 TOP = 2000
 DRAWER = 1 << 20  # occurrences of a prefix for each of its drawers
 BUCKET_BYTES = 8 << 20  # of text for each bucket
+PARTS = 256  # of a lang, that are sorted apart
 _BREAK = b"."
 # lower case for A-Z; all that ends a piece becomes a full stop
 _TABLE = bytearray(range(256))
@@ -278,8 +279,11 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, most_words: int = MOST
     inner = candidates.where("size > 2").select("lang", "n", "w", "size", F.explode(F.expr("sequence(2, size - 1)")).alias("m")).select("lang", "n", "w", "m", F.explode(F.expr("sequence(1, size - m + 1)")).alias("at"))
     around = inner.select("lang", part(F.col("at"), F.col("m")).alias("phrase"), "n").groupBy("lang", "phrase").agg(F.max("n").alias("longest"))
     kept = best.join(around, ["lang", "phrase"], "left").where(F.coalesce(F.col("longest") * 100 < F.col("a") * share, F.lit(True)))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # the first of each of a lang's parts are all that can be among its first, so no task sorts a whole lang
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    parts = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    some = parts.withColumn("place", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("place") <= top)
+    ranked = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
