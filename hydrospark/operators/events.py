@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from hydrospark.functions.names import CLIMATE_ZONES, CONTINENTS, domain, values_sql
 from hydrospark.operators.projections import coastal_outlets, flood_impact
 from hydrospark.operators.spatial import overlap_join, points_in_areas, shared_area, spatial_join
+from hydrospark.plans.checks import Watched, merge_none_lost
 from hydrospark.plans.registry import ORACLES, QUERIES, query
 
 
@@ -129,6 +130,14 @@ def drop_near_existing(candidates: DataFrame, existing: DataFrame, degrees: floa
     return candidates.join(bad, "event_id", "left_anti")
 
 
+def attr_merge(rows: DataFrame, needed: DataFrame, on: list[str], more: DataFrame | None = None, more_on: list[str] | None = None) -> Watched:
+    """Rows with the attributes of ``needed``, of which none may be without (``verify`` after an action raises), and of ``more`` where there are any."""
+    merged = merge_none_lost(rows, needed, on)
+    if more is not None:
+        merged.rows = merged.rows.join(more, more_on, "left")
+    return merged
+
+
 def distribution_report(expected: DataFrame, covered: DataFrame) -> DataFrame:
     """Expected, flooded and dry basins by continent and by climate zone; dry ones are halved.
 
@@ -186,7 +195,7 @@ def _covering(v):
 def _merge(v):
     customers = v.table("customer").select(F.col("c_custkey").alias("gauge_id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("n_nationkey"))
     nations = v.table("nation").select("n_nationkey", F.col("n_name").alias("nation"))
-    return v("g_gauge").join(customers, "gauge_id").join(nations, "n_nationkey", "left").select("gauge_id", "name", "nation")
+    return attr_merge(v("g_gauge"), customers, ["gauge_id"], nations, ["n_nationkey"]).rows.select("gauge_id", "name", "nation")
 
 
 @query("basin_distribution", "SELECT continent, clz_cl_smj, count(*) AS n FROM g_basin GROUP BY ROLLUP (continent, clz_cl_smj)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hydrospark.functions.names import CLIMATE_ZONES, CONTINENTS, label_of, values_sql
@@ -207,14 +209,72 @@ def rescale_minmax(rows: DataFrame) -> DataFrame:
     return fill_with_band_min(rows).withColumn("value", F.coalesce(F.try_divide(F.col("value") - F.col("least"), F.col("most") - F.col("least")), F.lit(0.0)))
 
 
-def augment_tiles(tiles: DataFrame, values: str, side: int, seed: int = 0, noise: float = 0.01) -> DataFrame:
-    """Tiles (one array in rows of ``side``) flipped sideways or not by one draw of the tile's id, with noise scaled by the tile's largest value."""
-    draw = F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(2)) == 1
-    rows = F.transform(F.sequence(F.lit(0), (F.size(values) / side).cast("int") - 1), lambda i: F.slice(F.col(values), i * side + 1, F.lit(side)))
-    flipped = F.flatten(F.transform(rows, F.reverse))
-    most = F.array_max(F.col(values))
-    wave = lambda x, i: x + F.sin(F.pmod(F.xxhash64("vec_id", i, F.lit(seed)), F.lit(100003)).cast("double")) * noise * most
-    return tiles.withColumn("flipped", draw).withColumn("augmented", F.transform(F.when(draw, flipped).otherwise(F.col(values)), wave))
+def uniform(*of: Column) -> Column:
+    """A number above 0 and up to 1, the same each time for the same values, however rows are dealt."""
+    return (F.pmod(F.xxhash64(*of), F.lit(1 << 53)) + 1).cast("double") / float(1 << 53)
+
+
+def normal(*of: Column) -> Column:
+    """A draw of the normal distribution, from two uniform ones."""
+    return F.sqrt(F.log(uniform(F.lit("length"), *of)) * -2.0) * F.cos(uniform(F.lit("turn"), *of) * (2 * math.pi))
+
+
+def blurred(values: Column, side: int) -> Column:
+    """Each cell of a tile (an array in rows of ``side``) as the mean of the up to nine cells around it."""
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for j in (-1, 0, 1) for i in (-1, 0, 1)])
+
+    def mean(at: Column, own: Column) -> Column:
+        x, y = at % side, F.floor(at / side).cast("int")
+        near = F.filter(F.transform(steps, lambda s: F.when((x + s["i"]).between(0, side - 1), F.try_element_at(own, F.when(y + s["j"] >= 0, at + s["i"] + s["j"] * side + 1)))), lambda v: v.isNotNull())
+        return F.aggregate(near, F.lit(0.0), lambda a, b: a + b) / F.size(near)
+
+    whole = F.transform(values, lambda v: v.cast("double"))
+    return F.get(F.transform(F.array(whole), lambda own: F.transform(F.sequence(F.lit(0), F.size(own) - 1), lambda at: mean(at, own))), F.lit(0))
+
+
+def mirrored(values: Column, side: int) -> Column:
+    rows = F.transform(F.sequence(F.lit(0), (F.size(values) / side).cast("int") - 1), lambda i: F.slice(values, i * side + 1, F.lit(side)))
+    return F.flatten(F.transform(rows, F.reverse))
+
+
+def augment_tiles(tiles: DataFrame, values: str, side: int, seed: int = 0, noise: float = 0.01, label: str | None = None, flip: float = 0.5, blur: float = 0.0, key: str = "vec_id") -> DataFrame:
+    """Tiles (one array in rows of ``side``) with normal noise scaled by the tile's largest value, then blurred or not, then flipped sideways or not.
+
+    ``flip`` and ``blur`` are the shares of tiles; a tile's ``label``, an array of the same form, is flipped with it and otherwise left
+    alone. All draws go by the tile's ``key`` and the seed, so a task that runs again makes the same tiles.
+    """
+    draw = lambda what: uniform(F.lit(what), F.col(key), F.lit(seed))
+    turned, soft = draw("flip") <= flip, draw("blur") <= blur
+    most = F.array_max(F.col(values)).cast("double")
+    noisy = F.transform(F.col(values), lambda x, i: x.cast("double") + normal(F.col(key), i, F.lit(seed)) * noise * most)
+    found = tiles.withColumns({"flipped": turned, "blurred": soft, "augmented": noisy})
+    found = found.withColumn("augmented", F.when(F.col("blurred"), blurred(F.col("augmented"), side)).otherwise(F.col("augmented")))
+    for c in ["augmented", *([label] if label else [])]:
+        found = found.withColumn(c, F.when(F.col("flipped"), mirrored(F.col(c), side)).otherwise(F.col(c)))
+    return found
+
+
+def context_window(boxes: DataFrame, t: tuple[float, ...], pixels: int) -> DataFrame:
+    """The window of a grid (affine transform ``t`` without turn) around each box, grown by ``pixels`` and outward to whole ones: pxlo, pylo,
+    pxhi, pyhi in pixels, and the box that it is. The bounds of a hull that is grown are the grown bounds of the hull."""
+    a, _, c, _, e, f = t
+    x0, x1, y0, y1 = (F.col("xlo") - c) / a, (F.col("xhi") - c) / a, (F.col("ylo") - f) / e, (F.col("yhi") - f) / e
+    low = lambda p, q: F.floor(F.round(F.least(p, q) - pixels, 9))
+    high = lambda p, q: F.ceil(F.round(F.greatest(p, q) + pixels, 9))
+    found = boxes.withColumns({"pxlo": low(x0, x1), "pylo": low(y0, y1), "pxhi": high(x0, x1), "pyhi": high(y0, y1)})
+    ends = lambda p, scale, shift: (F.col(f"{p}lo") * scale + shift, F.col(f"{p}hi") * scale + shift)
+    (xa, xb), (ya, yb) = ends("px", F.lit(a), F.lit(c)), ends("py", F.lit(e), F.lit(f))
+    return found.withColumns({"xlo": F.least(xa, xb), "ylo": F.least(ya, yb), "xhi": F.greatest(xa, xb), "yhi": F.greatest(ya, yb)})
+
+
+def flood_of_key(key: Column) -> Column:
+    """The flood id that a site's key (flood-basin) begins with, null if it does not."""
+    return F.regexp_extract(key, r"^(\d+)-\d+$", 1).try_cast("long")
+
+
+def scene_stem(key: Column, day: Column) -> Column:
+    """The name of a scene's files: key and day."""
+    return F.concat_ws("-", key, F.date_format(day, "yyyy-MM-dd"))
 
 
 # --- queries -------------------------------------------------------------------------------------------------
@@ -431,4 +491,20 @@ def _rescale(v):
 
 @query("augment_tiles")
 def _augment(v):
-    return augment_tiles(v.table("embeddings"), "embedding", 8).select("vec_id", "flipped", "augmented")
+    e = v.table("embeddings").withColumn("label", F.transform("embedding", lambda x: (x > 0).cast("int")))
+    return augment_tiles(e, "embedding", 8, label="label", blur=0.3).select("vec_id", "flipped", "blurred", "augmented", "label")
+
+
+@query("context_window", """WITH b AS (SELECT roi_id, min(xlo) AS xlo, min(ylo) AS ylo, max(xhi) AS xhi, max(yhi) AS yhi FROM g_tile GROUP BY roi_id),
+    p AS (SELECT roi_id, CAST(floor(round((xlo + 180) / 0.1E0 - 5, 9)) AS BIGINT) AS pxlo, CAST(floor(round((90 - yhi) / 0.1E0 - 5, 9)) AS BIGINT) AS pylo, CAST(ceil(round((xhi + 180) / 0.1E0 + 5, 9)) AS BIGINT) AS pxhi, CAST(ceil(round((90 - ylo) / 0.1E0 + 5, 9)) AS BIGINT) AS pyhi FROM b)
+    SELECT *, round(pxlo * 0.1E0 - 180, 6) AS xlo, round(90 - pyhi * 0.1E0, 6) AS ylo, round(pxhi * 0.1E0 - 180, 6) AS xhi, round(90 - pylo * 0.1E0, 6) AS yhi FROM p""")
+def _window_around(v):
+    boxes = v("g_tile").groupBy("roi_id").agg(F.min("xlo").alias("xlo"), F.min("ylo").alias("ylo"), F.max("xhi").alias("xhi"), F.max("yhi").alias("yhi"))
+    return context_window(boxes, (0.1, 0.0, -180.0, 0.0, -0.1, 90.0), 5).withColumns({c: F.round(c, 6) for c in ("xlo", "ylo", "xhi", "yhi")})
+
+
+@query("scene_stem", "SELECT id, began AS day, concat(CAST(id AS VARCHAR), '-', CAST(1080000000 + id % 7 AS VARCHAR), '-', strftime(began, '%Y-%m-%d')) AS stem, id AS flood_id FROM g_flood")
+def _stem(v):
+    key = F.concat_ws("-", F.col("id").cast("string"), (F.lit(1080000000) + F.col("id") % 7).cast("string"))
+    rows = v("g_flood").select("id", F.col("began").alias("day"), key.alias("key"))
+    return rows.select("id", "day", scene_stem(F.col("key"), F.col("day")).alias("stem"), flood_of_key(F.col("key")).alias("flood_id"))

@@ -177,7 +177,7 @@ def _select(v):
     places = candidates.select("continent", "hybas_id", *BOUNDS).distinct()
     zones = zone_counts(basins, places.select("hybas_id", *BOUNDS).withColumnRenamed("hybas_id", "place"), "place").withColumnsRenamed({"place": "hybas_id", "clz_cl_smj": "zone"})
     zones = candidates.select("id", "hybas_id").join(zones, "hybas_id").select("id", "hybas_id", "zone", "n")
-    expected = v("g_basin").groupBy("continent", F.col("clz_cl_smj").alias("zone")).agg(F.floor(F.count(F.lit(1)) / 40).cast("long").alias("basins"))
+    expected = v("g_basin").groupBy("continent", F.col("clz_cl_smj").alias("zone")).agg(F.floor(F.count(F.lit(1)) / 4).cast("long").alias("basins"))
     sites = v("g_roi").where("type = 'kurosiwo'").join(v("g_tile").groupBy("roi_id").agg(*[(F.min if c.endswith("lo") else F.max)(c).alias(c) for c in BOUNDS]), "roi_id")
     counts = zone_counts(basins, sites.select("roi_id", *BOUNDS), "roi_id").join(sites.select("roi_id", "continent"), "roi_id").select("continent", F.col("clz_cl_smj").alias("zone"), "n")
     found = select_sites(candidates, zones, expected, sites.select(F.col("post_date").alias("day"), *BOUNDS), counts)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hydrospark.operators.projections import LEAD_BINS, lead_days
+from hydrospark.operators.projections import flood_of_key
 from hydrospark.plans.registry import query
 
 PIXEL_COUNTS = ("n_background", "n_permanent_water", "n_flooded")
@@ -30,10 +31,15 @@ def roi_counts(rois: DataFrame, tiles: DataFrame, types: tuple[str, ...] = ("gen
     return wide.select("fold", *[F.coalesce(f"{t}_{c}", F.lit(0)).alias(f"{t}_{c}") for t in types for c in ("rois", "tiles")])
 
 
-def site_summary(rois: DataFrame, tiles: DataFrame, flooded: Column, least: int = 50) -> DataFrame:
-    """Centre, counts and whether more than ``least`` tiles are flooded, for each ROI."""
+def site_summary(rois: DataFrame, tiles: DataFrame, flooded: Column, least: int = 50, floods: DataFrame | None = None) -> DataFrame:
+    """Centre, counts and whether more than ``least`` tiles are flooded, for each ROI. With ``floods`` (id, maincause), generated ROIs get the cause of the flood that their ``key`` names."""
     per = tiles.groupBy("roi_id").agg(F.count(F.lit(1)).alias("n_tiles"), F.count_if(flooded).alias("n_flooded_tiles"), F.sum("n_flooded").alias("flood_pixels"), F.round(F.avg((F.col("xlo") + F.col("xhi")) / 2), 6).alias("lon"), F.round(F.avg((F.col("ylo") + F.col("yhi")) / 2), 6).alias("lat"))
-    return rois.select("roi_id", "type", "fold").join(per, "roi_id").withColumn("is_flooded", F.col("n_flooded_tiles") > least)
+    found = rois.join(per, "roi_id").withColumn("is_flooded", F.col("n_flooded_tiles") > least)
+    if floods is None:
+        return found.select("roi_id", "type", "fold", *per.columns[1:], "is_flooded")
+    flood = F.when(F.col("type") == "generated", flood_of_key(F.col("key")))
+    causes = floods.select(F.col("id").alias("flood_id"), F.col("maincause").alias("cause"))
+    return found.withColumn("flood_id", flood).join(causes, "flood_id", "left").select("roi_id", "type", "fold", "cause", *per.columns[1:], "is_flooded")
 
 
 def group_label_tiles(tiles: DataFrame, keys: list[Column], flooded: Column) -> DataFrame:
@@ -111,9 +117,10 @@ def _roi_counts(v):
 
 
 @query("site_summary", f"""WITH p AS (SELECT roi_id, count(*) AS n_tiles, CAST(count_if({_FLOODED}) AS BIGINT) AS n_flooded_tiles, CAST(sum(n_flooded) AS BIGINT) AS flood_pixels, round(avg((xlo + xhi) / 2), 6) AS lon, round(avg((ylo + yhi) / 2), 6) AS lat FROM g_tile GROUP BY roi_id)
-    SELECT p.*, type, fold, n_flooded_tiles > 85 AS is_flooded FROM p JOIN g_roi r ON p.roi_id = r.roi_id""")
+    SELECT p.*, type, fold, CASE WHEN type = 'generated' THEN maincause END AS cause, n_flooded_tiles > 85 AS is_flooded FROM p JOIN g_roi r ON p.roi_id = r.roi_id LEFT JOIN g_flood f ON f.id = r.roi_id""")
 def _summary(v):
-    return site_summary(v("g_roi"), v("g_tile"), _flooded(), 85)
+    rois = v("g_roi").withColumn("key", F.concat_ws("-", F.col("roi_id").cast("string"), F.lit("1080000010")))
+    return site_summary(rois, v("g_tile"), _flooded(), 85, v("g_flood").select("id", "maincause"))
 
 
 @query("group_label_tiles", f"SELECT roi_id, CAST(tx % 4 AS INT) AS actid, CAST(ty % 3 AS INT) AS aoiid, min(xlo) AS xlo, min(ylo) AS ylo, max(xhi) AS xhi, max(yhi) AS yhi, count(*) AS n_tiles, CAST(count_if({_FLOODED}) AS BIGINT) AS n_flooded_tiles, {_SUMS} FROM g_tile GROUP BY roi_id, CAST(tx % 4 AS INT), CAST(ty % 3 AS INT)")

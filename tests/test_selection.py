@@ -132,6 +132,6 @@ def test_query_equals_the_walk(spark):
     box_of = {r[0]: tuple(r[1:]) for r in tiles}
     sites = [(r["continent"], r["post_date"], box_of[r["roi_id"]]) for r in v("g_roi").where("type = 'kurosiwo'").collect() if r["roi_id"] in box_of]
     seed_counts = [(c, z, n) for c, _, box in sites for z, n in zones_of(box).items()]
-    want = walk(rows, zones, [(c, z, n // 40) for (c, z), n in counts.items()], [(d, b) for _, d, b in sites], seed_counts)
+    want = walk(rows, zones, [(c, z, n // 4) for (c, z), n in counts.items()], [(d, b) for _, d, b in sites], seed_counts)
     got = sorted(r["id"] for r in QUERIES["select_sites"](spark, sf).collect())
-    assert got == want
+    assert got == want and len(got) > 10
