@@ -194,9 +194,11 @@ _NOTCHED = f"""p AS (SELECT hybas_id, id, a.xlo AS ax, a.ylo AS ay, b.xlo AS bx,
     s AS (SELECT hybas_id, id, any_value(bw * bh * 3 / 4) AS own, sum((x2 - x1) * greatest(least({_UP}, byhi) - greatest(ay, {_DOWN}), 0)) AS area FROM m GROUP BY hybas_id, id)"""
 
 
-@query("ring_overlaps", f"WITH {_NOTCHED} SELECT hybas_id, id, round(area, 6) AS area, round(area / 6, 6) AS a_share, round(area / own, 6) AS b_share FROM s WHERE area > 1e-9")
+@query("ring_overlaps", f"WITH {_NOTCHED} SELECT hybas_id, id, round(area + 1e-9, 6) AS area, round(area / 6 + 1e-9, 6) AS a_share, round(area / own + 1e-9, 6) AS b_share FROM s WHERE area > 1e-9")
 def _overlaps(v):
-    return ring_overlaps(notched_basins(v), notched_floods(v), "hybas_id", "id").select("hybas_id", "id", *[F.round(c, 6).alias(c) for c in ("area", "a_share", "b_share")])
+    # many shares lie half way between two sixth digits, where rounding would go by the last bit
+    found = ring_overlaps(notched_basins(v), notched_floods(v), "hybas_id", "id")
+    return found.select("hybas_id", "id", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("area", "a_share", "b_share")])
 
 
 # a third of each basin's box, lower left corner inside of a box with a square hole: what is left of it is its box less the part in the hole
