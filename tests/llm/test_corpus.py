@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from hydrospark.llm import bpe, catalog, exact_dedup, fingerprints, mixing, pii, quality, sharding, simhash, token_files, toxicity
+from tests.llm.test_phrases import brute as phrases_of
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -23,6 +24,8 @@ ODD = [
     (11, "The Quick brown fox.\nit's a test of white space and more!! 12345 don't", "en", "c", 1),
 ]
 
+TURNS = "conv_id long, turn long, role string, text string"
+
 
 @pytest.fixture(scope="module")
 def odd(spark):
@@ -40,6 +43,8 @@ def folder(spark, odd, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("odd"))
     odd.select("*", *[F.lit(1).alias(c) for c in ("h", "key", "size", "shard", "row", "label", "score", "fp", "base", "digest", "ids")]).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, 1, 0), (3, None, None), (None, 0, 1), (6, 0, 1), (6, 0, 1), (10, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    turns = [(1, 0, "user", "a."), (1, 0, "user", "a."), (None, None, None, None), (2, 5, "tool", ""), (2, None, "system", "x" * 5000)]
+    spark.createDataFrame([(*t, 1, "q") for t in turns], f"{TURNS}, copy int, audit string").write.parquet(f"{path}/conversations.parquet")
     return path
 
 
@@ -48,12 +53,15 @@ def nothing(spark, odd, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("nothing"))
     odd.where("false").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([], TURNS).write.parquet(f"{path}/conversations.parquet")
     return path
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_odd_rows_and_no_rows(spark, folder, nothing, name):
-    assert catalog.QUERIES[name](spark, folder).count() == len(ODD)
+    # conversations have a row each, phrases those that are found
+    rows = {"op12_conversation_repair": 3, "op13_phrases": len(phrases_of([r[1:3] for r in ODD]))}.get(name, len(ODD))
+    assert rows and catalog.QUERIES[name](spark, folder).count() == rows
     assert catalog.QUERIES[name](spark, nothing).count() == 0
 
 
