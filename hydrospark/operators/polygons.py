@@ -81,7 +81,8 @@ def ring_overlaps(a: DataFrame, b: DataFrame, key: str, other: str, width: float
         return boxes.groupBy(k).agg(*[(F.min if c.endswith("lo") else F.max)(c).alias(c) for c in BOUNDS], F.sum("own").alias("own"))
 
     left, right = whole(a, key), whole(b, other).withColumnRenamed("own", "b_own")
-    pairs = spatial_join(left, right).where((F.col("xlo") < F.col("b_xhi")) & (F.col("b_xlo") < F.col("xhi")))
+    # boxes that only touch share no area
+    pairs = spatial_join(left, right).where("xlo < b_xhi AND b_xlo < xhi AND ylo < b_yhi AND b_ylo < yhi")
     lo, hi = F.greatest("xlo", "b_xlo"), F.least("xhi", "b_xhi")
     strips = pairs.select(key, other, "own", "b_own", F.explode(F.sequence(F.floor(lo / width), F.ceil(hi / width) - 1)).alias("strip"))
     met = strips.join(in_strips(a, [key], "p", width), [key, "strip"]).join(in_strips(b, [other], "q", width), [other, "strip"])
