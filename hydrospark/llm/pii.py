@@ -12,8 +12,7 @@ or removed from ``REMOVE`` on.
 All counts are over all documents; copies of a text add to them but not to the number of distinct texts.
 
 Spans never retry: a candidate that fails its check is dropped, and the search goes on after it. Each pattern
-only starts where a run starts, or where the last match ended, and a text's matches are walked once, so that
-40,000 words on one line take about four times as long as 10,000.
+only starts where a run starts, or where the last match ended, and a text's matches are walked once.
 
 Defined cases: a null or empty text has no spans; rows that repeat stay and get equal results; an empty table
 gives no rows.
@@ -35,6 +34,7 @@ REMOVE = 0.95
 CHUNK = 256  # spans that are appended to one array
 DRAWERS = 256  # maps that the disclosing terms of one text are dealt into
 MOST_SENT = 500_000  # disclosing terms that are broadcast at most
+MOST_HITS = 100_000  # terms of texts that are broadcast at most
 
 # The four patterns as given; possessive quantifiers and starts at a run's start find the same matches.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -126,30 +126,61 @@ def entities(base: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(base, levels)))
 
 
-def with_terms(held: DataFrame) -> DataFrame:
-    """``held`` (key, n, entities, terms) to (key, n, entity, term): each entity with each distinct term outside of entities in the same text."""
-    return held.select("key", "n", "entities", F.explode("terms").alias("term")).select("key", "n", F.explode("entities").alias("entity"), "term")
+def reach(n_entity: Column, total: Column, share: float) -> Column:
+    """No term in more rows than this can have the share of an entity in ``n_entity`` rows: n_et is n_e at most, so what it tells is log2(N / n_t) at most."""
+    return F.greatest(n_entity, F.pow(n_entity, F.lit(share)) * F.pow(total, F.lit(1.0 - share))) * F.lit(1 + 1e-9)
 
 
-def disclosing(rows: DataFrame, held: DataFrame, support: int = SUPPORT, share: float = GENERALISE) -> DataFrame:
-    """(entity, term, share) of the terms that tell too much.
+def disclosing(words: DataFrame, held: DataFrame, support: int = SUPPORT, share: float = GENERALISE) -> DataFrame:
+    """(entity, term, share) of the terms that tell too much; of entities that are in the same texts the least stands for all.
 
-    ``rows`` (text) are all documents, ``held`` (key, n, entities, terms) the distinct texts with entities and their
-    number of rows. Words are summed by each reading task before they move.
+    ``words`` (terms) are the distinct terms of each document, ``held`` (id, n, entities, terms) the distinct texts with
+    entities and their number of rows. Pairs are only made of what can pass: entities and terms of ``support`` or more
+    texts, those in the same texts as one, and terms within ``reach`` of the entity. So a text with many addresses of its
+    own and many words of its own makes no pairs of them.
     """
-    total = rows.count()
-    pairs = with_terms(held).groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts"))
-    pairs = written(pairs.where(F.col("texts") >= support).drop("texts"), "pii-pairs")
-    of_entity = held.select("n", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("n").alias("n_e"))
-    words = rows.select(F.explode(distinct_terms(F.col("text"))).alias("term"))
-    of_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi")
-    found = pairs.join(of_entity, "entity").join(of_term, "term")
-    content = F.log2(F.lit(float(max(1, total))) / F.col("n_e"))
-    told = F.log2(F.col("n_et") * F.lit(float(max(1, total))) / (F.col("n_e") * F.col("n_t")))
-    found = found.select("entity", "term", F.when(content > 0, F.least(F.lit(1.0), told / content)).otherwise(0.0).alias("share"))
+    total = F.lit(float(max(1, words.count())))
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "id")).alias(f"mark_{i}") for i in range(2)]
+    own = held.select("id", "n", F.explode("entities").alias("entity"))
+    of_entity = own.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count(F.lit(1)).alias("texts"), *marks).where(F.col("texts") >= support)
+    of_entity = written(of_entity.groupBy("mark_0", "mark_1", "texts", "n_e").agg(F.min("entity").alias("entity")).select("entity", "n_e"), "pii-entities")
+    widest = of_entity.agg(F.max("n_e").alias("n")).select(reach(F.col("n").cast("double"), total, share).alias("most")).first()["most"] or 0.0
+    used = held.select("id", "n", F.explode("terms").alias("term"))
+    of_term = words.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).where(F.col("n_t") <= widest)
+    seen = used.groupBy("term").agg(F.count(F.lit(1)).alias("texts"), *marks).where(F.col("texts") >= support).drop("texts")
+    of_term = written(seen.join(of_term, "term"), "pii-terms")
+    # terms of the same texts go as one, the rarest of them decides whether an entity is within reach
+    used = used.join(of_term, "term").groupBy("id", "mark_0", "mark_1").agg(F.first("n").alias("n"), F.min("n_t").alias("n_t"))
+    beside = own.join(of_entity, "entity").groupBy("id").agg(F.collect_list(F.struct("entity", "n_e", reach(F.col("n_e").cast("double"), total, share).alias("most"))).alias("entities"))
+    near = F.explode(F.filter("entities", lambda e: e["most"] >= F.col("n_t"))).alias("e")
+    pairs = used.join(beside, "id").select("n", "mark_0", "mark_1", near).select("n", "mark_0", "mark_1", "e.entity", "e.n_e")
+    pairs = pairs.groupBy("mark_0", "mark_1", "entity", "n_e").agg(F.sum("n").alias("n_et"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
+    content = F.log2(total / F.col("n_e"))
+    told = F.log2(F.col("n_et") * total / (F.col("n_e") * F.col("n_t")))
+    found = pairs.join(of_term, ["mark_0", "mark_1"]).select("entity", "term", F.when(content > 0, F.least(F.lit(1.0), told / content)).otherwise(0.0).alias("share"))
     return found.where(F.col("share") >= share)
 
 
+def outside(places: Column, base: Column) -> Column:
+    """The ``places`` (start, end, value) that overlap no span of ``base``, both in order of start: one walk over both lists, in which a place waits for the next one."""
+    span = "struct<start:int,end:int,value:string>"
+    none = F.array().cast(f"array<{span}>")
+    nothing = F.lit(None).cast(span)
+    of = lambda rank: lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), s["value"].alias("value"))
+    both = F.sort_array(F.concat(F.transform(base, of(0)), F.transform(places, of(1))))
+    begin = F.struct(F.lit(0).alias("until"), nothing.alias("waits"), none.alias("last"), F.array().cast(f"array<array<{span}>>").alias("full"))
+
+    def step(state: Column, x: Column) -> Column:
+        waits, whole = state["waits"], F.size(state["last"]) >= CHUNK
+        cut = F.struct(F.greatest(state["until"], x["end"]).alias("until"), F.when(waits["end"] > x["start"], nothing).otherwise(waits).alias("waits"), state["last"].alias("last"), state["full"].alias("full"))
+        one = F.when(x["start"] >= state["until"], F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))).otherwise(nothing)
+        last = F.when(waits.isNull(), state["last"]).when(whole, F.array(waits)).otherwise(F.concat(state["last"], F.array(waits)))
+        full = F.when(waits.isNotNull() & whole, F.concat(state["full"], F.array(state["last"]))).otherwise(state["full"])
+        return F.when(x["rank"] == 0, cut).otherwise(F.struct(state["until"].alias("until"), one.alias("waits"), last.alias("last"), full.alias("full")))
+
+    return F.aggregate(both, begin, step, lambda state: F.concat(F.flatten(state["full"]), state["last"], F.when(state["waits"].isNull(), none).otherwise(F.array(state["waits"]))))
+
+
 def drawer(term: Column) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(DRAWERS)).cast("int")
 
@@ -159,22 +190,25 @@ def find(docs: DataFrame, support: int = SUPPORT, share: float = GENERALISE) ->
     text = whole_text()
     rows = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("key"))
     found = rows.withColumn("base", base_spans(F.col("text")))
+    words = written(rows.select("key", distinct_terms(F.col("text")).alias("terms")), "pii-words")
     # only texts with entities are counted with terms, equal ones once
     held = found.where(F.size("base") > 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text"), F.first("base").alias("base"))
     blank = F.transform("base", lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("rank"), s["end"].alias("end"), F.lit(" ").alias("by")))
     # both arrays are written once, so that no later step works them out for each of a text's terms
-    held = written(held.select("key", "n", entities(F.col("base")).alias("entities"), distinct_terms(replaced(F.col("text"), blank)).alias("terms")), "pii-entities")
-    told = written(disclosing(rows, held, support, share).groupBy("term").agg(F.max("share").alias("share")), "pii-disclosing")
+    held = written(held.select(F.monotonically_increasing_id().alias("id"), "n", entities(F.col("base")).alias("entities"), distinct_terms(replaced(F.col("text"), blank)).alias("terms")), "pii-held")
+    told = written(disclosing(words, held, support, share).groupBy("term").agg(F.max("share").alias("share")), "pii-disclosing")
     few = told.limit(MOST_SENT + 1).count() <= MOST_SENT
-    hits = rows.select("key", F.explode(distinct_terms(F.col("text"))).alias("term")).join(F.broadcast(told) if few else told, "term").groupBy("key", "term").agg(F.max("share").alias("share"))
+    hits = words.select("key", F.explode("terms").alias("term")).join(F.broadcast(told) if few else told, "term").groupBy("key", "term").agg(F.max("share").alias("share"))
     # Spark searches a map from end to end, so a text's terms are in maps by a hash
-    hits = hits.groupBy("key", drawer(F.col("term")).alias("drawer")).agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
-    hits = written(hits.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("drawer", "told"))).alias("told")), "pii-extra")
+    hits = hits.groupBy("key", drawer(F.col("term")).alias("drawer")).agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"), F.count(F.lit(1)).alias("n"))
+    hits = written(hits.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("drawer", "told"))).alias("told"), F.sum("n").alias("n")), "pii-hits")
+    # few hits go to the texts; beyond a bound texts and hits meet by key
+    light = (hits.agg(F.sum("n").alias("n")).first()["n"] or 0) <= MOST_HITS
+    hits = F.broadcast(hits.drop("n")) if light else hits.drop("n")
     none = F.array().cast("array<struct<start:int,end:int,value:string,share:double>>")
     share_of = lambda term: F.try_element_at(F.try_element_at("told", drawer(term)), term)
     places = located(F.col("text"), TERM, lambda v: share_of(F.lower(v)).isNotNull())
-    outside = F.filter(places, lambda t: ~F.exists("base", lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"])))
-    extra = F.transform(outside, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("value"), share_of(F.lower(t["value"])).alias("share")))
+    extra = F.transform(outside(places, F.col("base")), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("value"), share_of(F.lower(t["value"])).alias("share")))
     return found.join(hits, "key", "left").select("doc_id", "text", "base", F.when(F.col("told").isNotNull(), extra).otherwise(none).alias("extra"))
 
 
