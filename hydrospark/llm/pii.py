@@ -33,8 +33,8 @@ GENERALISE = 0.85
 REMOVE = 0.95
 CHUNK = 256  # spans that are appended to one array
 DRAWERS = 256  # maps that the disclosing terms of one text are dealt into
+PIECE = 1024  # code points of a text that are walked at once
 MOST_SENT = 500_000  # disclosing terms that are broadcast at most
-MOST_HITS = 100_000  # terms of texts that are broadcast at most
 
 # The four patterns as given; possessive quantifiers and starts at a run's start find the same matches.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -162,18 +162,18 @@ def disclosing(words: DataFrame, held: DataFrame, support: int = SUPPORT, share:
 
 
 def outside(places: Column, base: Column) -> Column:
-    """The ``places`` (start, end, value) that overlap no span of ``base``, both in order of start: one walk over both lists, in which a place waits for the next one."""
-    span = "struct<start:int,end:int,value:string>"
+    """The ``places`` (start, end, value, share) that overlap no span of ``base``, both in order of start: one walk over both lists, in which a place waits for the next one."""
+    span = "struct<start:int,end:int,value:string,share:double>"
     none = F.array().cast(f"array<{span}>")
     nothing = F.lit(None).cast(span)
-    of = lambda rank: lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), s["value"].alias("value"))
-    both = F.sort_array(F.concat(F.transform(base, of(0)), F.transform(places, of(1))))
+    of = lambda rank, share: lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), s["value"].alias("value"), share(s).alias("share"))
+    both = F.sort_array(F.concat(F.transform(base, of(0, lambda s: F.lit(1.0))), F.transform(places, of(1, lambda s: s["share"]))))
     begin = F.struct(F.lit(0).alias("until"), nothing.alias("waits"), none.alias("last"), F.array().cast(f"array<array<{span}>>").alias("full"))
 
     def step(state: Column, x: Column) -> Column:
         waits, whole = state["waits"], F.size(state["last"]) >= CHUNK
         cut = F.struct(F.greatest(state["until"], x["end"]).alias("until"), F.when(waits["end"] > x["start"], nothing).otherwise(waits).alias("waits"), state["last"].alias("last"), state["full"].alias("full"))
-        one = F.when(x["start"] >= state["until"], F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))).otherwise(nothing)
+        one = F.when(x["start"] >= state["until"], F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"), x["share"].alias("share"))).otherwise(nothing)
         last = F.when(waits.isNull(), state["last"]).when(whole, F.array(waits)).otherwise(F.concat(state["last"], F.array(waits)))
         full = F.when(waits.isNotNull() & whole, F.concat(state["full"], F.array(state["last"]))).otherwise(state["full"])
         return F.when(x["rank"] == 0, cut).otherwise(F.struct(state["until"].alias("until"), one.alias("waits"), last.alias("last"), full.alias("full")))
@@ -185,31 +185,47 @@ def drawer(term: Column) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(DRAWERS)).cast("int")
 
 
+def pieces(rows: DataFrame) -> DataFrame:
+    """(key, at, piece) of ``rows`` (key, text): texts in pieces of about ``PIECE`` code points that cut no word, as a walk copies what it has found at each step."""
+    cut = F.regexp_extract_all(F.col("text"), F.lit(rf"(?Us)\A.{{0,{PIECE}}}+\p{{L}}*+|\G.{{1,{PIECE}}}+\p{{L}}*+"), F.lit(0))
+    ends = F.aggregate("cut", F.array(F.lit(0)), lambda found, piece: F.concat(found, F.array(F.element_at(found, -1) + F.char_length(piece))))
+    return rows.select("key", cut.alias("cut")).select("key", F.inline(F.zip_with(F.slice(ends, 1, F.size("cut")), "cut", lambda at, piece: F.struct(at.alias("at"), piece.alias("piece")))))
+
+
+def placed(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """(key, places) of the texts of ``rows`` (key, text) that have terms of ``told`` (term, share): all their places as array of (start, end, value, share), by start.
+
+    Terms up to ``MOST_SENT`` go to the texts, and no text moves. More of them meet the distinct terms of each text, and what they hit meets the texts by key.
+    """
+    if told.limit(MOST_SENT + 1).count() <= MOST_SENT:
+        each = pieces(rows).select("key", "at", F.explode(located(F.col("piece"), TERM)).alias("p"))
+        each = each.select("key", (F.col("at") + F.col("p.start")).alias("start"), (F.col("at") + F.col("p.end")).alias("end"), F.lower("p.value").alias("term")).join(F.broadcast(told), "term")
+        return each.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col("term").alias("value"), "share"))).alias("places"))
+    hits = rows.select("key", F.explode(distinct_terms(F.col("text"))).alias("term")).join(told, "term").groupBy("key", "term").agg(F.max("share").alias("share"))
+    # Spark searches a map from end to end, so a text's terms are in maps by a hash
+    hits = hits.groupBy("key", drawer(F.col("term")).alias("drawer")).agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
+    hits = written(hits.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("drawer", "told"))).alias("told")), "pii-hits")
+    share_of = lambda term: F.try_element_at(F.try_element_at("told", drawer(term)), term)
+    places = located(F.col("text"), TERM, lambda v: share_of(F.lower(v)).isNotNull())
+    places = F.transform(places, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("value"), share_of(F.lower(t["value"])).alias("share")))
+    return rows.join(hits, "key").select("key", places.alias("places")).dropDuplicates(["key"])
+
+
 def find(docs: DataFrame, support: int = SUPPORT, share: float = GENERALISE) -> DataFrame:
     """(doc_id, text, base, extra) of each row: ``base`` of ``base_spans``, ``extra`` the disclosing terms as array of (start, end, value, share)."""
     text = whole_text()
     rows = docs.select("doc_id", text.alias("text"), F.sha2(text, 256).alias("key"))
     found = rows.withColumn("base", base_spans(F.col("text")))
-    words = written(rows.select("key", distinct_terms(F.col("text")).alias("terms")), "pii-words")
+    words = rows.select(distinct_terms(F.col("text")).alias("terms"))
     # only texts with entities are counted with terms, equal ones once
     held = found.where(F.size("base") > 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("text").alias("text"), F.first("base").alias("base"))
     blank = F.transform("base", lambda s: F.struct(s["start"].alias("start"), F.lit(0).alias("rank"), s["end"].alias("end"), F.lit(" ").alias("by")))
     # both arrays are written once, so that no later step works them out for each of a text's terms
     held = written(held.select(F.monotonically_increasing_id().alias("id"), "n", entities(F.col("base")).alias("entities"), distinct_terms(replaced(F.col("text"), blank)).alias("terms")), "pii-held")
     told = written(disclosing(words, held, support, share).groupBy("term").agg(F.max("share").alias("share")), "pii-disclosing")
-    few = told.limit(MOST_SENT + 1).count() <= MOST_SENT
-    hits = words.select("key", F.explode("terms").alias("term")).join(F.broadcast(told) if few else told, "term").groupBy("key", "term").agg(F.max("share").alias("share"))
-    # Spark searches a map from end to end, so a text's terms are in maps by a hash
-    hits = hits.groupBy("key", drawer(F.col("term")).alias("drawer")).agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"), F.count(F.lit(1)).alias("n"))
-    hits = written(hits.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("drawer", "told"))).alias("told"), F.sum("n").alias("n")), "pii-hits")
-    # few hits go to the texts; beyond a bound texts and hits meet by key
-    light = (hits.agg(F.sum("n").alias("n")).first()["n"] or 0) <= MOST_HITS
-    hits = F.broadcast(hits.drop("n")) if light else hits.drop("n")
-    none = F.array().cast("array<struct<start:int,end:int,value:string,share:double>>")
-    share_of = lambda term: F.try_element_at(F.try_element_at("told", drawer(term)), term)
-    places = located(F.col("text"), TERM, lambda v: share_of(F.lower(v)).isNotNull())
-    extra = F.transform(outside(places, F.col("base")), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("value"), share_of(F.lower(t["value"])).alias("share")))
-    return found.join(hits, "key", "left").select("doc_id", "text", "base", F.when(F.col("told").isNotNull(), extra).otherwise(none).alias("extra"))
+    places = written(placed(rows.select("key", "text"), told), "pii-places")
+    # of the rows only what the caller reads goes along: the query takes no texts
+    return found.join(places, "key", "left").select("doc_id", "text", "base", outside(F.coalesce("places", F.array().cast("array<struct<start:int,end:int,value:string,share:double>>")), F.col("base")).alias("extra"))
 
 
 def sanitised(found: DataFrame, remove: float = REMOVE) -> DataFrame:

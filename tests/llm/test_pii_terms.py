@@ -57,7 +57,7 @@ def brute_terms(texts):
     return told
 
 
-def test_terms_as_counted_by_brute_force(spark):
+def test_terms_as_counted_by_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcd") for _ in range(4))
     people = [(f"box{i}@d{i % 9}.org", word() + "x" * (i % 5)) for i in range(40)]
@@ -72,6 +72,8 @@ def test_terms_as_counted_by_brute_force(spark):
     want = brute_terms(texts)
     got = extras(spark, texts)
     assert len(want) > 20
+    monkeypatch.setattr(pii, "MOST_SENT", 3)
+    assert extras(spark, texts) == got
     assert got == [{t for t in re.findall("(?<![a-z])[a-z]{3,}(?![a-z])", re.sub(r"\S+@\S+", lambda m: " " * len(m[0]), text)) if t in want} for text in texts]
 
 
@@ -88,10 +90,10 @@ def test_terms_outside_of_spans(spark):
     rows = []
     for i in range(60):
         cuts = sorted(rng.sample(range(4000), 2 * rng.choice((0, 1, 40, 700))))
-        places = [(a, b, f"t{a}") for a, b in zip(cuts[::2], cuts[1::2])]
+        places = [(a, b, f"t{a}", a / 4000) for a, b in zip(cuts[::2], cuts[1::2])]
         base = sorted((a, a + rng.randrange(1, 30), "s") for a in (rng.randrange(4000) for _ in range(rng.choice((0, 1, 50)))))
         rows.append((i, places, base))
-    span = "array<struct<start:int,end:int,value:string>>"
-    got = spark.createDataFrame(rows, f"i int, places {span}, base {span}").select("i", pii.outside(F.col("places"), F.col("base")).alias("got")).collect()
+    span = "array<struct<start:int,end:int,value:string{}>>"
+    got = spark.createDataFrame(rows, f"i int, places {span.format(',share:double')}, base {span.format('')}").select("i", pii.outside(F.col("places"), F.col("base")).alias("got")).collect()
     want = {i: [p for p in places if not any(p[0] < e and s < p[1] for s, e, _ in base)] for i, places, base in rows}
     assert {r["i"]: [tuple(s) for s in r["got"]] for r in got} == want
