@@ -33,7 +33,6 @@ GENERALISE = 0.85
 REMOVE = 0.95
 CHUNK = 256  # spans that are appended to one array
 DRAWERS = 256  # maps that the disclosing terms of one text are dealt into
-PIECE = 1024  # code points of a text that are walked at once
 MOST_SENT = 500_000  # disclosing terms that are broadcast at most
 
 # The four patterns as given; possessive quantifiers and starts at a run's start find the same matches.
@@ -185,30 +184,20 @@ def drawer(term: Column) -> Column:
     return F.pmod(F.crc32(term.cast("binary")), F.lit(DRAWERS)).cast("int")
 
 
-def pieces(rows: DataFrame) -> DataFrame:
-    """(key, at, piece) of ``rows`` (key, text): texts in pieces of about ``PIECE`` code points that cut no word, as a walk copies what it has found at each step."""
-    cut = F.regexp_extract_all(F.col("text"), F.lit(rf"(?Us)\A.{{0,{PIECE}}}+\p{{L}}*+|\G.{{1,{PIECE}}}+\p{{L}}*+"), F.lit(0))
-    ends = F.aggregate("cut", F.array(F.lit(0)), lambda found, piece: F.concat(found, F.array(F.element_at(found, -1) + F.char_length(piece))))
-    return rows.select("key", cut.alias("cut")).select("key", F.inline(F.zip_with(F.slice(ends, 1, F.size("cut")), "cut", lambda at, piece: F.struct(at.alias("at"), piece.alias("piece")))))
-
-
 def placed(rows: DataFrame, told: DataFrame) -> DataFrame:
     """(key, places) of the texts of ``rows`` (key, text) that have terms of ``told`` (term, share): all their places as array of (start, end, value, share), by start.
 
-    Terms up to ``MOST_SENT`` go to the texts, and no text moves. More of them meet the distinct terms of each text, and what they hit meets the texts by key.
+    Terms up to ``MOST_SENT`` are broadcast to the distinct terms of each text. What they hit meets the texts by key, by the same join at every size.
     """
-    if told.limit(MOST_SENT + 1).count() <= MOST_SENT:
-        each = pieces(rows).select("key", "at", F.explode(located(F.col("piece"), TERM)).alias("p"))
-        each = each.select("key", (F.col("at") + F.col("p.start")).alias("start"), (F.col("at") + F.col("p.end")).alias("end"), F.lower("p.value").alias("term")).join(F.broadcast(told), "term")
-        return each.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "end", F.col("term").alias("value"), "share"))).alias("places"))
-    hits = rows.select("key", F.explode(distinct_terms(F.col("text"))).alias("term")).join(told, "term").groupBy("key", "term").agg(F.max("share").alias("share"))
+    few = told.limit(MOST_SENT + 1).count() <= MOST_SENT
+    hits = rows.select("key", F.explode(distinct_terms(F.col("text"))).alias("term")).join(F.broadcast(told) if few else told, "term").groupBy("key", "term").agg(F.max("share").alias("share"))
     # Spark searches a map from end to end, so a text's terms are in maps by a hash
     hits = hits.groupBy("key", drawer(F.col("term")).alias("drawer")).agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told"))
     hits = written(hits.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("drawer", "told"))).alias("told")), "pii-hits")
     share_of = lambda term: F.try_element_at(F.try_element_at("told", drawer(term)), term)
     places = located(F.col("text"), TERM, lambda v: share_of(F.lower(v)).isNotNull())
     places = F.transform(places, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.lower(t["value"]).alias("value"), share_of(F.lower(t["value"])).alias("share")))
-    return rows.join(hits, "key").select("key", places.alias("places")).dropDuplicates(["key"])
+    return rows.join(hits.hint("merge"), "key").select("key", places.alias("places")).dropDuplicates(["key"])
 
 
 def find(docs: DataFrame, support: int = SUPPORT, share: float = GENERALISE) -> DataFrame:
