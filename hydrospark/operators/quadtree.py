@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hydrospark.operators.spatial import CELL, MARGIN, in_cells, ring_holds
+from hydrospark.operators.spatial import CELL, MARGIN, in_cells, ring_holds, unequal
+from hydrospark.plans.joins import by_sort
 from hydrospark.plans.registry import query
 from hydrospark.plans.scratch import written
 
@@ -65,7 +66,7 @@ def crowd_join(a: DataFrame, b: DataFrame, size: float = CELL, crowded: int = CR
     last = splits.agg(F.max("level").alias("k")).first()["k"]
     levels = 0 if last is None else last + 1
     right = in_leaves(b, splits, levels, size).withColumnsRenamed({c: f"b_{c}" for c in BOUNDS})
-    pairs = in_leaves(a, splits, levels, size).join(right, ["level", "cx", "cy"])
+    pairs = by_sort(in_leaves(a, splits, levels, size)).join(right, ["level", "cx", "cy"])
     meet = (F.col("xlo") <= F.col("b_xhi")) & (F.col("b_xlo") <= F.col("xhi")) & (F.col("ylo") <= F.col("b_yhi")) & (F.col("b_ylo") <= F.col("yhi"))
     side = F.lit(size) / F.pow(F.lit(2.0), F.col("level"))
     # a pair counts in the leaf that holds the lower left corner of what it shares
@@ -82,7 +83,7 @@ def crowded_points_in_areas(points: DataFrame, areas: DataFrame, key: str, size:
     inside = (F.col("px") < F.col("b_xhi")) & (F.col("py") < F.col("b_yhi"))
     if "ring" in areas.columns:
         inside = inside & ring_holds(F.col("ring"), F.col("px"), F.col("py"))
-    found = crowd_join(boxes, areas, size, crowded).where(inside).groupBy(*points.columns, "times").agg(F.min(key).alias(key))
+    found = crowd_join(boxes, unequal(areas, key), size, crowded).where(inside).groupBy(*points.columns, "times").agg(F.min(key).alias(key))
     return found.select(*points.columns, key, F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("time")).drop("time")
 
 
