@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hydrospark.plans.joins import by_sort
 from hydrospark.plans.registry import query
 
 IGNORED = 255
@@ -102,7 +103,7 @@ def blockout_join(pixels: DataFrame, water_tiles: DataFrame) -> DataFrame:
 
 def paste_permanent_water(pixels: DataFrame, cover: DataFrame) -> DataFrame:
     """The class becomes permanent water (1) where land cover says water or is missing, in tiles of the ocean."""
-    found = pixels.join(cover, "tile_id", "left")
+    found = pixels.join(by_sort(cover), "tile_id", "left")
     return found.withColumn("pasted", F.when(F.col("coast") & (F.coalesce(F.col("cover"), F.lit(WATER_COVER)) == WATER_COVER), 1).otherwise(F.col("targ"))).drop("cover")
 
 

@@ -9,6 +9,7 @@ from hydrospark.operators.projections import coastal_outlets
 from hydrospark.operators.rasters import majority_filter
 from hydrospark.operators.spatial import lines_hit_grid, majority_basin, points_in_areas
 from hydrospark.plans.components import components, drained
+from hydrospark.plans.joins import by_sort
 from hydrospark.plans.registry import query
 from hydrospark.plans.scratch import written
 
@@ -31,9 +32,9 @@ def connected_regions(cells: DataFrame, key: str) -> DataFrame:
     at = cells.withColumn("cell", F.struct(F.col(key).alias("k"), F.col("gy").cast("long").alias("y"), F.col("gx").cast("long").alias("x")))
     near = cells.select(F.col(key).alias("k"), "gx", "gy", "value", F.explode(F.array(F.struct(F.lit(1).alias("i"), F.lit(0).alias("j")), F.struct(F.lit(0).alias("i"), F.lit(1).alias("j")))).alias("s"))
     step = near.select("value", F.struct("k", F.col("gy").cast("long").alias("y"), F.col("gx").cast("long").alias("x")).alias("a"), F.struct("k", (F.col("gy") + F.col("s.j")).cast("long").alias("y"), (F.col("gx") + F.col("s.i")).cast("long").alias("x")).alias("cell"))
-    edges = step.join(at.select("cell", "value"), ["cell", "value"]).select("a", F.col("cell").alias("b"))
+    edges = step.join(by_sort(at.select("cell", "value")), ["cell", "value"]).select("a", F.col("cell").alias("b"))
     labels = components(edges, "regions")
-    joined = at.join(labels, at["cell"] == labels["node"], "left").withColumn("region", F.coalesce("label", "cell"))
+    joined = at.join(by_sort(labels), at["cell"] == labels["node"], "left").withColumn("region", F.coalesce("label", "cell"))
     return joined.select(key, "gx", "gy", "value", F.struct("region.y", "region.x").alias("region"))
 
 
@@ -46,9 +47,9 @@ def fill_small_holes(cells: DataFrame, key: str, most: int = 50, grow: int = 2)
     # a small region's box is small, so its cells may be listed
     reach = lambda lo, hi: F.explode(F.sequence(F.col(lo) - grow, F.col(hi) + grow))
     around = small.select(key, "region", reach("bx0", "bx1").alias("gx"), "by0", "by1").select(key, "region", "gx", reach("by0", "by1").alias("gy"))
-    votes = around.join(cells.select(key, "gx", "gy", "value"), [key, "gx", "gy"]).groupBy(key, "region", "value").agg(F.count(F.lit(1)).alias("n"))
+    votes = around.join(by_sort(cells.select(key, "gx", "gy", "value")), [key, "gx", "gy"]).groupBy(key, "region", "value").agg(F.count(F.lit(1)).alias("n"))
     top = votes.groupBy(key, "region").agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("new"))
-    return regions.join(top, [key, "region"], "left").select(key, "gx", "gy", F.coalesce("new", "value").alias("value"))
+    return regions.join(by_sort(top), [key, "region"], "left").select(key, "gx", "gy", F.coalesce("new", "value").alias("value"))
 
 
 def postprocess_maps(cells: DataFrame, keep: DataFrame, ocean: DataFrame | None = None) -> DataFrame:
@@ -57,12 +58,12 @@ def postprocess_maps(cells: DataFrame, keep: DataFrame, ocean: DataFrame | None
     ``keep`` (roi_id, gx, gy) stay; ``ocean`` (roi_id, gx, gy, cover) are those in the ocean with the class of the land cover, null where it has none.
     """
     smooth = majority_filter(cells, "roi_id").select("roi_id", "gx", "gy", F.col("filtered").alias("value"))
-    kept = fill_small_holes(smooth, "roi_id").join(keep, ["roi_id", "gx", "gy"], "left_semi")
+    kept = fill_small_holes(smooth, "roi_id").join(by_sort(keep), ["roi_id", "gx", "gy"], "left_semi")
     if ocean is None:
         return kept
     place = F.struct(F.col("roi_id").cast("long").alias("roi_id"), F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"))
     sea = ocean.select(place.alias("tile_id"), "cover", F.lit(True).alias("sea"))
-    rows = kept.withColumn("tile_id", place).join(sea.select("tile_id", "sea"), "tile_id", "left").select("roi_id", "gx", "gy", "tile_id", F.col("value").alias("targ"), F.coalesce("sea", F.lit(False)).alias("coast"))
+    rows = kept.withColumn("tile_id", place).join(by_sort(sea.select("tile_id", "sea")), "tile_id", "left").select("roi_id", "gx", "gy", "tile_id", F.col("value").alias("targ"), F.coalesce("sea", F.lit(False)).alias("coast"))
     return paste_permanent_water(rows, sea.select("tile_id", "cover")).select("roi_id", "gx", "gy", F.col("pasted").alias("value"))
 
 
@@ -83,20 +84,20 @@ def grow_flood_extent(tiles: DataFrame, starts: DataFrame, reach: int = 1, most:
     far a flood reaches. With ``most`` tiles for each ROI it is a walk, ring by ring, that stops there.
     """
     spreading = F.col("flooded") & ~F.col("open")
-    first = starts.select("roi_id", "tx", "ty").distinct().join(tiles, ["roi_id", "tx", "ty"])
+    first = starts.select("roi_id", "tx", "ty").distinct().join(by_sort(tiles), ["roi_id", "tx", "ty"])
     if most is None:
         carriers = tiles.where(spreading).select("roi_id", "tx", "ty", F.struct("roi_id", "tx", "ty").alias("b"))
         near = carriers.select("b", F.explode(_around(reach)).alias("s"), "roi_id", "tx", "ty").select(F.col("b").alias("a"), "roi_id", (F.col("tx") + F.col("s.i")).alias("tx"), (F.col("ty") + F.col("s.j")).alias("ty"))
-        labels = components(near.join(carriers, ["roi_id", "tx", "ty"]).select("a", "b"), "extent")
-        hit = first.where(spreading).select(F.struct("roi_id", "tx", "ty").alias("node")).join(labels, "node").select("label").distinct()
-        flood = labels.join(hit, "label", "left_semi").select("node.*")
-        return first.select("roi_id", "tx", "ty").union(_grown(flood, reach)).distinct().join(tiles, ["roi_id", "tx", "ty"])
+        labels = components(near.join(by_sort(carriers), ["roi_id", "tx", "ty"]).select("a", "b"), "extent")
+        hit = first.where(spreading).select(F.struct("roi_id", "tx", "ty").alias("node")).join(by_sort(labels), "node").select("label").distinct()
+        flood = labels.join(by_sort(hit), "label", "left_semi").select("node.*")
+        return first.select("roi_id", "tx", "ty").union(_grown(flood, reach)).distinct().join(by_sort(tiles), ["roi_id", "tx", "ty"])
     frontier = written(first, "grown")
     seen = frontier
     while frontier.limit(1).count():
         full = seen.groupBy("roi_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
-        fresh = _grown(frontier.where(spreading), reach).join(seen, ["roi_id", "tx", "ty"], "left_anti").join(full, "roi_id", "left_anti")
-        frontier = written(fresh.join(tiles, ["roi_id", "tx", "ty"]), "grown")
+        fresh = _grown(frontier.where(spreading), reach).join(by_sort(seen), ["roi_id", "tx", "ty"], "left_anti").join(full, "roi_id", "left_anti")
+        frontier = written(fresh.join(by_sort(tiles), ["roi_id", "tx", "ty"]), "grown")
         seen = written(seen.unionByName(frontier), "grown-all")
     return seen
 
@@ -115,7 +116,7 @@ def balanced_partitions(basins: DataFrame, trials: int = 20, parts: int = 5, poi
     things = basins.select("hybas_id", F.explode(F.array(*[F.struct(F.lit(c).alias("thing"), F.col(c).cast("int").alias("group")) for c in ("continent", "clz_cl_smj")])).alias("t")).select("hybas_id", "t.*")
     if points is not None:
         things = things.unionByName(points.select("hybas_id", F.col("kind").alias("thing"), F.lit(0).alias("group")))
-    counts = things.groupBy("hybas_id", "thing", "group").agg(F.count(F.lit(1)).alias("n")).join(dealt.select("hybas_id", "trial", "part"), "hybas_id")
+    counts = things.groupBy("hybas_id", "thing", "group").agg(F.count(F.lit(1)).alias("n")).join(by_sort(dealt.select("hybas_id", "trial", "part")), "hybas_id")
     wide = counts.groupBy("trial", "thing", "group").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"p{k}") for k in range(parts)])
     shares = wide.select("trial", "thing", "group", F.explode(F.array(*[F.col(f"p{k}") / F.col("n") for k in range(parts)])).alias("share"))
     scores = shares.groupBy("trial", "thing", "group").agg(F.stddev_pop("share").alias("s")).groupBy("trial", "thing").agg(F.avg("s").alias("s")).groupBy("trial").agg(F.sum("s").alias("s"))
@@ -162,7 +163,7 @@ def _layers(v) -> tuple[DataFrame, DataFrame]:
     """Tiles inside of their ROI's basin, and every fourth one as ocean, of which a third is water in the land cover and a third is not in it."""
     inside = majority_basin(v("g_tile"), v("g_basin")).where("NOT excluded").select("tile_id")
     place = ["roi_id", F.col("tx").alias("gx"), F.col("ty").alias("gy")]
-    keep = v("g_tile").join(inside, "tile_id", "left_semi").select(*place)
+    keep = v("g_tile").join(by_sort(inside), "tile_id", "left_semi").select(*place)
     cover = F.when(F.col("tile_id") % 3 == 0, 80).when(F.col("tile_id") % 3 == 1, 10).alias("cover")
     return keep, v("g_tile").where("tile_id % 4 = 0").select(*place, cover)
 
@@ -191,4 +192,4 @@ def _partitions(v):
 @query("partition_assignments")
 def _assignments(v):
     points = _partition_points(v)
-    return points.join(balanced_partitions(v("g_basin"), points=points), "hybas_id").select("kind", "id", "part")
+    return points.join(by_sort(balanced_partitions(v("g_basin"), points=points)), "hybas_id").select("kind", "id", "part")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hydrospark.operators.projections import decoded
+from hydrospark.plans.joins import by_sort
 from hydrospark.plans.registry import query
 
 # Offsets of a disk of radius 2.
@@ -55,7 +56,7 @@ def majority_filter(rows: DataFrame, *by: str) -> DataFrame:
     """The most common class within a disk of radius 2 around each cell that has one, the lowest class on ties."""
     counts = focal(rows, DISK, *by).groupBy(*by, "gx", "gy", "value").agg(F.count(F.lit(1)).alias("n"))
     top = counts.groupBy(*by, "gx", "gy").agg(F.max_by("value", F.struct("n", -F.col("value"))).alias("filtered"))
-    return rows.join(top, [*by, "gx", "gy"])
+    return rows.join(by_sort(top), [*by, "gx", "gy"])
 
 
 def block_max(rows: DataFrame, side: int, *by: str) -> DataFrame:
