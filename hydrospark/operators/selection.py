@@ -20,6 +20,7 @@ from hydrospark.operators.polygons import BOUNDS, box_corners, hull_ring, union_
 from hydrospark.operators.projections import coastal_outlets, flood_impact
 from hydrospark.operators.scenes import scene_eligibility
 from hydrospark.operators.spatial import _HULL, overlap_join, ring_area, spatial_join, zone_counts
+from hydrospark.plans.joins import by_sort
 from hydrospark.plans.registry import query
 from hydrospark.plans.scratch import drop_written, written
 
@@ -189,17 +190,20 @@ def _select(v):
 
 def zones_of_tiles(basins: DataFrame, tiles: DataFrame, key: str, threshold: float = 0.3) -> DataFrame:
     """(key, zone, n): basins by climate zone of which the union of a key's tiles covers more than ``threshold``; exact for tiles that overlap or lie off any grid."""
-    pairs = spatial_join(tiles.select(key, *BOUNDS), basins.select("hybas_id", "clz_cl_smj", *BOUNDS))
+    # basins of one place are covered alike
+    place = F.struct(*BOUNDS).alias("place")
+    alike = basins.groupBy(place, F.col("clz_cl_smj").alias("zone")).agg(F.count_distinct("hybas_id").alias("n"))
+    pairs = spatial_join(tiles.select(key, *BOUNDS).distinct(), basins.select(place, *BOUNDS).distinct())
     own = (F.col("b_xhi") - F.col("b_xlo")) * (F.col("b_yhi") - F.col("b_ylo"))
-    part = pairs.select(key, "hybas_id", F.col("clz_cl_smj").alias("zone"), own.alias("own"), *[F.greatest(c, f"b_{c}").alias(c) for c in ("xlo", "ylo")], *[F.least(c, f"b_{c}").alias(c) for c in ("xhi", "yhi")])
-    covered = union_area(part, [key, "hybas_id", "zone", "own"]).where(F.round(F.col("area") / F.col("own"), 9) > threshold)
-    return covered.groupBy(key, "zone").agg(F.count(F.lit(1)).alias("n"))
+    part = pairs.select(key, "place", own.alias("own"), *[F.greatest(c, f"b_{c}").alias(c) for c in ("xlo", "ylo")], *[F.least(c, f"b_{c}").alias(c) for c in ("xhi", "yhi")])
+    covered = union_area(part, [key, "place", "own"]).where(F.round(F.col("area") / F.col("own"), 9) > threshold)
+    return covered.join(by_sort(alike), "place").groupBy(key, "zone").agg(F.sum("n").alias("n"))
 
 
 def seed_from_labels(rois: DataFrame, tiles: DataFrame, basins: DataFrame) -> DataFrame:
     """(continent, zone, n, n_tiles): the basins that labelled sites cover, and the tiles of the sites that do."""
     labelled = rois.where(F.col("type") == "kurosiwo").select("roi_id", "continent")
-    own = tiles.join(labelled, "roi_id")
+    own = tiles.join(labelled, "roi_id")  # one row a site
     zones = zones_of_tiles(basins, own, "roi_id").join(own.groupBy("roi_id", "continent").agg(F.count(F.lit(1)).alias("n_tiles")), "roi_id")
     return zones.groupBy("continent", "zone").agg(F.sum("n").alias("n"), F.sum("n_tiles").alias("n_tiles"))
 
