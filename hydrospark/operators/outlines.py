@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from hydrospark.operators.polygons import bound
 from hydrospark.operators.spatial import ring_area
 from hydrospark.plans.components import components, nearest_stops
+from hydrospark.plans.joins import by_sort
 from hydrospark.plans.registry import query
 from hydrospark.plans.scratch import written
 
@@ -45,15 +46,15 @@ def outlines(cells: DataFrame, key: str, frame: DataFrame | None = None) -> Data
     later = sides.select("k", "region", F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.col("turn").alias("then"), F.col("side").alias("next"))
     # to the left first, which is the same cell, then straight on, then to the right
     prefer = F.pmod(F.lit(5) - (F.col("then") - F.col("turn")), F.lit(4))
-    onward = sides.join(later, ["k", "region", "x1", "y1"]).groupBy("side").agg(F.min_by("next", prefer).alias("next"))
-    links = written(sides.select("side").join(onward, "side", "left").select(F.col("side").alias("node"), "next"), "side-links")
-    sets = written(sides.select(F.col("side").alias("node")).join(components(links.where("next IS NOT NULL").select(F.col("node").alias("a"), F.col("next").alias("b")), "outlines"), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "side-sets")
+    onward = sides.join(by_sort(later), ["k", "region", "x1", "y1"]).groupBy("side").agg(F.min_by("next", prefer).alias("next"))
+    links = written(sides.select("side").join(by_sort(onward), "side", "left").select(F.col("side").alias("node"), "next"), "side-links")
+    sets = written(sides.select(F.col("side").alias("node")).join(by_sort(components(links.where("next IS NOT NULL").select(F.col("node").alias("a"), F.col("next").alias("b")), "outlines")), "node", "left").select("node", F.coalesce("label", "node").alias("label")), "side-sets")
     # an open outline is ranked by its last side, a closed one by its least
     last = links.where("next IS NULL").select("node")
-    open_sets = sets.join(last, "node").select("label", F.lit(False).alias("closed")).distinct()
-    stops = last.union(sets.select(F.col("label").alias("node")).distinct().join(open_sets.select(F.col("label").alias("node")), "node", "left_anti"))
+    open_sets = sets.join(by_sort(last), "node").select("label", F.lit(False).alias("closed")).distinct()
+    stops = last.union(sets.select(F.col("label").alias("node")).distinct().join(by_sort(open_sets.select(F.col("label").alias("node"))), "node", "left_anti"))
     far = nearest_stops(links, stops, "side-ranks")
-    placed = far.join(sets, "node").join(open_sets, "label", "left").withColumn("closed", F.coalesce("closed", F.lit(True)))
+    placed = far.join(by_sort(sets), "node").join(by_sort(open_sets), "label", "left").withColumn("closed", F.coalesce("closed", F.lit(True)))
     # the least side of a closed one comes first, though it is the one that all others lead to
     place = F.when(F.col("closed") & (F.col("steps") == 0), F.lit(-(1 << 62)).cast("long")).otherwise(-F.col("steps"))
     points = placed.select("label", "closed", F.struct(place.alias("place"), F.col("node.x0").alias("x"), F.col("node.y0").alias("y"), F.col("node.turn").alias("turn")).alias("p"))

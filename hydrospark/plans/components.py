@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from hydrospark.plans.joins import by_size, by_sort
 from hydrospark.plans.scratch import drop_written, written
 
 
@@ -14,15 +15,17 @@ def components(edges: DataFrame, table: str = "components") -> DataFrame:
     followed to their labels; that shortens a chain to a share of its length. A round is a written table.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{table}-edges")
+    # sides that are few may be collected by Spark, others are merged
+    many = both.count()
     state = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), table)
     while True:
-        near = both.join(state.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        met = state.join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("least"))
+        near = by_size(both, many).join(state.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
+        met = by_size(state, many).join(near, F.col("node") == F.col("a")).select("node", "label", F.least("label", "near").alias("least"))
         told = met.select("node", "least").union(met.select(F.col("label").alias("node"), "least")).groupBy("node").agg(F.min("least").alias("least"))
         told = written(told, f"{table}-told")
-        jumped = told.join(told.select(F.col("node").alias("least"), F.col("least").alias("further")), "least", "left").select("node", F.coalesce("further", "least").alias("label"))
+        jumped = by_size(told, many).join(told.select(F.col("node").alias("least"), F.col("least").alias("further")), "least", "left").select("node", F.coalesce("further", "least").alias("label"))
         after = written(jumped, table)
-        changed = after.join(state.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
+        changed = by_size(after, many).join(state.withColumnRenamed("label", "old"), "node").where("label <> old").limit(1).count()
         drop_written(told)
         if not changed:
             return after
@@ -63,15 +66,16 @@ def nearest_stops(after: DataFrame, stops: DataFrame, table: str = "stops") -> D
     """
     at = stops.select("node").distinct()
     last = at.select("node", F.col("node").alias("to"), F.lit(0).cast("long").alias("steps"), F.lit(True).alias("there"))
-    first = after.where("next IS NOT NULL").select("node", F.col("next").alias("to"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("there")).join(at, "node", "left_anti")
+    first = after.where("next IS NOT NULL").select("node", F.col("next").alias("to"), F.lit(1).cast("long").alias("steps"), F.lit(False).alias("there")).join(by_sort(at), "node", "left_anti")
     state = written(last.unionByName(first), table)
-    rounds = max(1, state.count()).bit_length() + 1  # more are only needed by a way that goes round
+    many = state.count()
+    rounds = max(1, many).bit_length() + 1  # more are only needed by a way that goes round
     for _ in range(rounds):
         under_way = state.where("NOT there")
         if not under_way.limit(1).count():
             break
         far = state.select(F.col("node").alias("to"), F.col("to").alias("further"), F.col("steps").alias("more"), F.col("there").alias("ends"))
-        moved = under_way.join(far, "to").select("node", F.col("further").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("there"))
+        moved = by_size(under_way, many).join(far, "to").select("node", F.col("further").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("there"))
         before, state = state, written(state.where("there").unionByName(moved), table)
         drop_written(before)
     return state.where("there").select("node", F.col("to").alias("stop"), "steps")

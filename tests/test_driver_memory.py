@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hydrospark.catalog import QUERIES
-from hydrospark.operators import events, quadtree, spatial
+from hydrospark.operators import events, iterative, lines, quadtree, spatial
+from hydrospark.plans import components, joins
 
 SF = "/root/testdata/sf0.001"
 BOX = "xlo double, ylo double, xhi double, yhi double"
@@ -18,12 +19,18 @@ def joins_of(df):
     return first
 
 
-@pytest.mark.parametrize("name", ["spatial_join", "overlap_join", "points_in_areas", "points_in_rings", "crowded_points_in_areas", "covered_share", "climate_zone_of", "zone_counts", "flood_distribution", "time_overlap_join", "storm_flood_basins", "storm_floods"])
+@pytest.mark.parametrize("name", ["spatial_join", "overlap_join", "points_in_areas", "points_in_rings", "crowded_points_in_areas", "covered_share", "climate_zone_of", "zone_counts", "flood_distribution", "time_overlap_join", "storm_flood_basins", "storm_floods", "uncovered_storms"])
 def test_no_side_is_collected_whole(spark, name):
     plan = joins_of(QUERIES[name](spark, SF))
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_deals_are_not_collected(spark):
+    found = iterative.balanced_partitions(spark.range(40).selectExpr("id AS hybas_id", "CAST(id % 3 AS INT) AS clz_cl_smj", "CAST(id % 2 AS INT) AS continent"), 2, 2)
+    # the best trial is one row
+    assert joins_of(found).count("BroadcastHashJoin") == 1 and found.count() == 40
+
+
 def test_a_tile_meets_its_basin_without_a_broadcast(spark):
     tiles = spark.createDataFrame([(1, 10, 0.0, 0.0, 0.25, 0.25), (1, 11, 9.0, 9.0, 9.25, 9.25)], f"roi_id long, tile_id long, {BOX}")
     basins = spark.createDataFrame([(8, 0.0, 0.0, 3.0, 3.0), (7, 0.0, 0.0, 3.0, 3.0)], f"hybas_id long, {BOX}")
@@ -65,3 +72,36 @@ def test_floods_of_one_time_are_one_until_they_have_met(spark):
     floods = spark.sql(f"SELECT id, {at('05')} AS began, {at('09')} AS ended FROM VALUES (1), (2) v(id) UNION ALL SELECT 4, {at('20')}, {at('21')}")
     storms = spark.sql(f"SELECT s AS storm_key, {at('01')} AS first_track, {at('06')} AS last_track FROM VALUES ('a'), ('b'), ('b') v(s) UNION ALL SELECT 'c', {at('09')}, {at('20')}")
     assert sorted(events.floods_of_storms(floods, storms).collect()) == [("a", 2, 3), ("b", 4, 6)]
+
+
+def test_storms_are_covered_where_they_meet_as_by_the_pairs(spark):
+    at = "date'2000-01-{}'".format
+    floods = spark.sql(f"SELECT id, {at('05')} AS began, {at('09')} AS ended, 0D AS xlo, 0D AS ylo, 4D AS xhi, 4D AS yhi FROM VALUES (1), (2), (3) v(id)")
+    storms = spark.createDataFrame([("a", 0.0, 0.0, 2.0, 2.0), ("b", 3.0, 3.0, 5.0, 5.0), ("b", -1.0, -1.0, 1.5, 1.5), ("c", 50.0, 0.0, 51.0, 1.0)], f"storm_key string, {BOX}").withColumns({"first_track": F.lit("2000-01-01").cast("date"), "last_track": F.lit("2000-01-07").cast("date")})
+    chosen = spark.createDataFrame([(1, 0.5, 0.5, 1.5, 1.5), (1, 9.0, 9.0, 9.5, 9.5), (2, 1.0, 1.0, 2.0, 2.0)], f"id int, {BOX}")
+    want = sorted(events.uncovered_storms(events.storm_floods(floods, storms), chosen, storms).collect())
+    found = events.uncovered_meetings(floods, storms, chosen)
+    # the pairs stay where they are made
+    assert joins_of(found).count("SortMergeJoin") == 3
+    assert sorted(found.collect()) == want == [(2, "b"), (2, "b"), (3, "a"), (3, "b"), (3, "b")]
+
+
+def test_no_point_carries_its_line(spark):
+    points = spark.sql("SELECT 1 AS i, transform(sequence(0, 4), k -> struct(CAST(k AS DOUBLE) AS x, CAST(k % 2 AS DOUBLE) AS y)) AS points")
+    seen = []
+    keep = lines.written
+    lines.written, back = lambda df, name: (seen.append(df._jdf.queryExecution().optimizedPlan().toString()), keep(df, name))[1], lines.written
+    try:
+        assert len(lines.simplified(points, "i", 0.2).first()["points"]) == 5
+    finally:
+        lines.written = back
+    above = seen[0].split("Generate")[0]
+    assert "element_at" not in above and "size(" not in above
+
+
+def test_many_edges_are_merged(spark, monkeypatch):
+    edges = spark.range(40).selectExpr("id AS a", "id + 1 AS b").where("a % 10 <> 9")
+    monkeypatch.setattr(joins, "MANY", 10)
+    hinted = joins.by_size(edges, 11).join(edges.withColumnRenamed("b", "c"), "a")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in hinted and "SortMergeJoin" in hinted
+    assert {r["label"] for r in components.components(edges).collect()} == {0, 10, 20, 30}
