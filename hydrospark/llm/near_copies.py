@@ -1,6 +1,11 @@
 """Near copies by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-All such pairs are met, by a prefix filter. With all shingles in one order, two sets of similarity t share one of
+First come SimHash and pigeonhole blocks, as in ``simhash``, on fingerprints of these shingles: 64 bits in seven ``BLOCKS``, filed by
+each choice of two, meet all fingerprints that differ in at most ``BLOCK_BITS`` bits. What is linked there and verified is joined to components.
+That radius is as wide as pigeonholes can go here: fingerprints of similarity 0.8 differ in about ten bits, up to 22, and for so many no two blocks need
+agree. So pairs beyond it, between sets that are not in one component yet, are met in a second step.
+
+That step leaves none out: it is a prefix filter. With all shingles in one order, two sets of similarity t share one of
 the first n - ceil(t * n) + 1 shingles of each, so each distinct set is filed under those. Files that hold the same sets are kept once. Any order gives the same
 pairs; here shingles that are frequent in a bounded sample come last, so that files stay small.
 
@@ -29,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from hydrospark.llm import simhash
 from hydrospark.llm.common import about, small_batches, tidy, whole_text
 from hydrospark.llm.simhash import _LOWER, SEED, first_rows, majority
 from hydrospark.plans.components import components
@@ -38,6 +44,8 @@ WORDS = 5
 SIMILARITY = Fraction(4, 5)
 SAMPLE = 20_000  # texts that frequent shingles are looked for in
 FREQUENT = 100_000  # frequent shingles at most
+BLOCKS = (9, 9, 9, 9, 9, 9, 10)  # bits of each block of a fingerprint
+BLOCK_BITS = 5  # that fingerprints of a pigeonhole differ in
 TURNS = ((4, 2), (16, 8), (64, 16), (256, 32))  # pivots of a file, and how many of them a set is compared with
 SKETCH = 4  # fingerprints of 64 bits
 NEAR_BITS = 75
@@ -126,6 +134,16 @@ def _verified(pairs: DataFrame, distinct: DataFrame, texts: DataFrame, n_words:
     return found.where(F.col("both") * similarity.denominator >= F.col("any") * similarity.numerator).select("a", "b")
 
 
+def pigeonholed(distinct: DataFrame, bits: int = BLOCK_BITS) -> DataFrame:
+    """Pairs (a, b) of ``distinct`` (key, fp) by their first fingerprints: each set with the first one of its fingerprint, and these where fingerprints are linked."""
+    of_fp = written(distinct.select("key", F.col("fp")[0].alias("own")).withColumn("first", F.min("key").over(Window.partitionBy("own"))), "near-fingerprints")
+    firsts = of_fp.where("key = first").select("own", "key")
+    found = simhash.links(firsts.select(F.col("own").alias("fp")), bits, blocks=BLOCKS)
+    found = written(found, "near-pigeonholes").join(firsts.select(F.col("own").alias("a"), F.col("key").alias("x")), "a").join(firsts.select(F.col("own").alias("b"), F.col("key").alias("y")), "b")
+    found = found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    return found.unionByName(of_fp.where("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b")))
+
+
 def links(distinct: DataFrame, texts: DataFrame, n_words: int = WORDS, similarity: Fraction = SIMILARITY, most_bits: int = NEAR_BITS, small_bits: int = SMALL_BITS) -> DataFrame:
     """(node, label) of the sets that are similar to others. ``distinct`` (key, n, fp, prefix, text_hash) are the sets, each with one of its texts, ``texts`` (text_hash, text) all."""
     filed, whole = distinct.select(F.posexplode("prefix").alias("at", "file"), "key"), Window.partitionBy("file")
@@ -146,24 +164,28 @@ def links(distinct: DataFrame, texts: DataFrame, n_words: int = WORDS, similarit
     able = (F.col("label") != F.col("beside")) & wide & room & close & once
     beside = [F.col("key").alias("other"), F.col("n").alias("m"), F.col("at").alias("be"), F.col("fp").alias("fq"), F.col("early").alias("ahead"), F.col("label").alias("beside")]
     pair = [F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")]
-    labelled, labels, found, tried = filed.withColumn("label", F.col("key")), None, None, None
+
+    def left(labels: DataFrame) -> DataFrame:
+        joined = filed.join(labels, filed["key"] == labels["node"], "left").select(*filed.columns, F.coalesce("label", "key").alias("label"))
+        # files that are in one component already need no more
+        mixed = joined.groupBy("file").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("file")
+        return written(joined.join(mixed, "file", "left_semi"), "near-labelled")
+
+    tried = written(pigeonholed(distinct), "near-pairs")
+    found = written(_verified(tried, distinct, texts, n_words, similarity), "near-links")
+    labelled = left(components(found, "near-labels"))
     for turn, (pivots_of_file, partners) in enumerate(TURNS):
         order = Window.partitionBy("file").orderBy(F.xxhash64(F.lit(turn), "key"), "key")
         pivots = labelled.withColumn("place", F.row_number().over(order)).where(F.col("place") <= pivots_of_file).select("file", *beside)
         near = labelled.join(pivots, "file").where(able).select("key", "other").distinct()
         few = Window.partitionBy("key").orderBy(F.xxhash64(F.lit(turn), "other"), "other")
         pairs = near.withColumn("place", F.row_number().over(few)).where(F.col("place") <= partners).select(*pair).distinct()
-        pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         more = written(_verified(pairs, distinct, texts, n_words, similarity), "near-links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = more if found is None else found.unionByName(more)
-        if labels is not None and not more.limit(1).count():
+        tried, found = tried.unionByName(pairs), found.unionByName(more)
+        if turn and not more.limit(1).count():
             break
-        labels = components(found, "near-labels")
-        joined = filed.join(labels, filed["key"] == labels["node"], "left").select(*filed.columns, F.coalesce("label", "key").alias("label"))
-        # files that are in one component already need no more
-        mixed = joined.groupBy("file").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("file")
-        labelled = written(joined.join(mixed, "file", "left_semi"), "near-labelled")
+        labelled = left(components(found, "near-labels"))
     rest = labelled.join(labelled.select("file", *beside), "file").where((F.col("key") < F.col("other")) & able).select(*pair).distinct()
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "near-rest")
     last = written(_verified(rest, distinct, texts, n_words, similarity), "near-more")

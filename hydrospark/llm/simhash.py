@@ -128,11 +128,11 @@ def spanning(members: np.ndarray, others: np.ndarray | None, bits: int) -> list[
     return found
 
 
-def links(distinct: DataFrame, bits: int = NEAR_BITS, most_in_file: int = MOST_IN_FILE) -> DataFrame:
-    """``distinct`` (fp) to links (a, b) between fingerprints at most ``bits`` apart, enough to connect all that are."""
-    ends = list(itertools.accumulate(BLOCKS))
-    masks = [((1 << e) - (1 << (e - w))) for e, w in zip(ends, BLOCKS)]
-    choices = [sum(c) for c in itertools.combinations(masks, len(BLOCKS) - bits)]
+def links(distinct: DataFrame, bits: int = NEAR_BITS, most_in_file: int = MOST_IN_FILE, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
+    """``distinct`` (fp) to links (a, b) between fingerprints at most ``bits`` apart, enough to connect all that are; there are more ``blocks`` than bits."""
+    ends = list(itertools.accumulate(blocks))
+    masks = [((1 << e) - (1 << (e - w))) for e, w in zip(ends, blocks)]
+    choices = [sum(c) for c in itertools.combinations(masks, len(blocks) - bits)]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
     files = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("part")) for i, m in enumerate(choices)])
     filed = distinct.select("fp", F.explode(files).alias("f")).select("f.choice", "f.part", "fp")

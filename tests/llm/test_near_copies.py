@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from hydrospark.llm import near_copies, simhash
 from hydrospark.llm.common import documents
 from tests.llm.test_corpus import SCHEMA
 
@@ -63,3 +64,25 @@ def test_chains_groups_and_boilerplate(spark):
     want = brute_kept(rows)
     assert 30 < len(want) < len(rows)
     assert kept(spark, rows) == want
+
+
+def test_pigeonholes_come_first(spark, monkeypatch):
+    rng = random.Random(3)
+    fps = [rng.getrandbits(64) for _ in range(40)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), k)) for f in fps[:20] for k in (1, 4, 5)]
+    signed = lambda f: f - (1 << 64) if f >> 63 else f
+    distinct = spark.createDataFrame([(k, [signed(f), 0]) for k, f in enumerate([*fps, fps[0]])], "key long, fp array<long>")
+    parent = list(range(len(fps) + 1))
+    root = lambda d: d if parent[d] == d else root(parent[d])
+    for r in near_copies.pigeonholed(distinct).collect():
+        assert r["a"] < r["b"]
+        parent[root(r["b"])] = root(r["a"])
+    # every set within five bits of another is linked to it
+    assert all(root(40 + 3 * i + k) == root(i) for i in range(20) for k in range(3)) and root(len(fps)) == root(0)
+    assert len({root(i) for i in range(40)}) == 40
+    # rows that stay come through simhash.links with these blocks
+    seen, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *args, **named: (seen.append(named["blocks"]), links(*args, **named))[1])
+    base = " ".join(f"w{i}" for i in range(300))
+    assert kept(spark, [(1, base), (2, base + " x"), (3, "other words that are here alone now")]) == [1, 3]
+    assert seen == [near_copies.BLOCKS] and sum(near_copies.BLOCKS) == 64
