@@ -31,3 +31,13 @@ def test_cells_of_one_key_are_summed_before_they_meet_days(spark):
     found = spatial.area_average(weights, values, ["t"], "k")
     assert sorted(map(tuple, found.collect())) == [("a", d, "t", float(d)) for d in range(30)]
     assert outputs(found, "Join") == 30
+
+
+def test_equal_rings_are_cut_once(spark):
+    ring = [{"x": 0.0, "y": 0.0}, {"x": 2.0, "y": 0.0}, {"x": 0.0, "y": 2.0}]
+    areas = spark.createDataFrame([(k, ring, 0.0, 0.0, 2.0, 2.0) for k in range(50)] + [(50, [{**p, "x": p["x"] + 4.0} for p in ring], 4.0, 0.0, 6.0, 2.0)], f"k long, ring {RING}, {BOX}")
+    found = spatial.ring_overlay_weights(areas, 1.0)
+    assert found.columns == ["k", "xlo", "ylo", "xhi", "yhi", "gx", "gy", "area", "area_share", "cell_share"]
+    rows = {(r["k"], r["gx"], r["gy"]): r["area"] for r in found.collect()}
+    assert len(rows) == 51 * 3 and rows[7, 0, 0] == pytest.approx(1) and rows[50, 5, 0] == pytest.approx(0.5)
+    assert outputs(found, "Generate") <= 8
