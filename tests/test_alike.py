@@ -41,3 +41,11 @@ def test_equal_rings_are_cut_once(spark):
     rows = {(r["k"], r["gx"], r["gy"]): r["area"] for r in found.collect()}
     assert len(rows) == 51 * 3 and rows[7, 0, 0] == pytest.approx(1) and rows[50, 5, 0] == pytest.approx(0.5)
     assert outputs(found, "Generate") <= 8
+
+
+def test_rivers_of_one_course_are_listed_once(spark):
+    line = lambda k, x, y: (k, 900, x, y, x + 2.5, y)
+    rivers = spark.createDataFrame([line(k, 0.5, 0.5) for k in range(40)] + [line(90, 0.5, 0.5), line(90, 0.5, 0.5), line(90, 8.5, 0.5), line(None, 20.5, 0.5)], "river_id long, riv_tc_usu long, x1 double, y1 double, x2 double, y2 double")
+    found = spatial._rivers_of_tiles(rivers)
+    assert {(r["tx"], r["ty"]): r["n_rivers"] for r in found.collect()} == {(0, 0): 41, (1, 0): 41, (2, 0): 41, (3, 0): 41} | {(x, 0): 1 for x in (8, 9, 10, 11)} | {(x, 0): 0 for x in (20, 21, 22, 23)}
+    assert outputs(spatial._rivers_of_tiles(rivers.where("river_id < 50")), "Generate") == 4
