@@ -58,3 +58,14 @@ def test_polygons_of_one_key_meet_by_it(spark):
     found = polygons.ring_overlaps(a, b, "k", "o", same=True)
     assert sorted((r["k"], r["o"], r["area"]) for r in found.collect()) == [(k, k, 1.0) for k in range(20)]
     assert outputs(found, "Join") <= 60
+
+
+def test_equal_boxes_are_compared_once_and_all_their_rows_pair(spark):
+    a = spark.createDataFrame([(k, 0.0, 0.0, 3.0, 3.0) for k in (1, 2, 2)] + [(3, 9.0, 9.0, 12.0, 12.0)], f"k long, {BOX}")
+    b = spark.createDataFrame([(n, 0.0, 0.0, 2.0, 3.0) for n in "xyy"] + [("z", 8.0, 8.0, 13.0, 13.0), ("n", 40.0, 40.0, 41.0, 41.0)], f"n string, {BOX}")
+    found = spatial.alike_overlap_join(a, b, 0.5)
+    want = spatial.overlap_join(a, b, 0.5)
+    assert found.columns == want.columns and sorted(found.collect()) == sorted(want.collect()) and found.count() == 10
+    # the cells that boxes touch, of which each box has the same whatever its rows
+    more = a.unionByName(spark.createDataFrame([(k, 0.0, 0.0, 3.0, 3.0) for k in range(10, 60)], f"k long, {BOX}"))
+    assert outputs(spatial.alike_overlap_join(more, b, 0.5), "Generate") == outputs(found, "Generate")
