@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hydrospark.operators.evaluation import paste_permanent_water
@@ -27,15 +29,63 @@ def major_upstream(basins: DataFrame, targets: DataFrame, min_flow: int = 20_000
     return found.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.min("xlo").alias("xlo"), F.min("ylo").alias("ylo"), F.max("xhi").alias("xhi"), F.max("yhi").alias("yhi"))
 
 
+BLOCK = 64  # cells on a side of a block, which one task labels
+LOTS = 1024  # blocks are dealt into so many lots
+
+
+def pieces(cells: DataFrame) -> DataFrame:
+    """``cells`` (k, gx, gy, value) with ``y`` and ``x``: the least of the cells that it is connected to within its block."""
+    x, y = F.col("gx").cast("long"), F.col("gy").cast("long")
+    lot = F.pmod(F.xxhash64("k", F.floor(x / BLOCK), F.floor(y / BLOCK)), F.lit(LOTS)).cast("int")
+
+    def label(table: pa.Table) -> pa.Table:
+        number = lambda c: table.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        k, v, gx, gy = number("k"), number("value"), *(table.column(c).to_numpy().astype(np.int64) for c in ("x", "y"))
+        across, down = np.lexsort((gx, gy, v, k)), np.lexsort((gy, gx, v, k))
+        # numbers in the order of across, in which the first of connected cells is the least
+        place = np.empty(len(k), np.int64)
+        place[across] = np.arange(len(k))
+
+        def beside(order: np.ndarray, same: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            a, b = order[:-1], order[1:]
+            # the same cell twice is one
+            near = (k[a] == k[b]) & (v[a] == v[b]) & (v[a] >= 0) & (same[a] == same[b]) & (((on[a] + 1 == on[b]) & (on[a] // BLOCK == on[b] // BLOCK)) | (on[a] == on[b]))
+            return place[a[near]], place[b[near]]
+
+        a, b = map(np.concatenate, zip(beside(across, gy, gx), beside(down, gx, gy)))
+        least = np.arange(len(k))
+        while True:
+            low, told = np.minimum(least[a], least[b]), least.copy()
+            for at in (least[a], least[b]):
+                np.minimum.at(told, at, low)
+            while (told[told] != told).any():
+                told = told[told]
+            if (told == least).all():
+                break
+            least = told
+        first = across[least[place]]
+        return table.select(["k", "gx", "gy", "value"]).append_column("y", pa.array(gy[first])).append_column("x", pa.array(gx[first]))
+
+    kind = lambda c: cells.schema[c].dataType.simpleString()
+    dealt = cells.select("k", "gx", "gy", "value", x.alias("x"), y.alias("y"), lot.alias("lot"))
+    return dealt.groupBy("lot").applyInArrow(label, ", ".join([*(f"{c} {kind(c)}" for c in ("k", "gx", "gy", "value")), "y long, x long"]))
+
+
 def connected_regions(cells: DataFrame, key: str) -> DataFrame:
-    """``cells`` (key, gx, gy, value) with ``region``: the least cell number of its connected cells of one class (four neighbours)."""
-    at = cells.withColumn("cell", F.struct(F.col(key).alias("k"), F.col("gy").cast("long").alias("y"), F.col("gx").cast("long").alias("x")))
-    near = cells.select(F.col(key).alias("k"), "gx", "gy", "value", F.explode(F.array(F.struct(F.lit(1).alias("i"), F.lit(0).alias("j")), F.struct(F.lit(0).alias("i"), F.lit(1).alias("j")))).alias("s"))
-    step = near.select("value", F.struct("k", F.col("gy").cast("long").alias("y"), F.col("gx").cast("long").alias("x")).alias("a"), F.struct("k", (F.col("gy") + F.col("s.j")).cast("long").alias("y"), (F.col("gx") + F.col("s.i")).cast("long").alias("x")).alias("cell"))
-    edges = step.join(by_sort(at.select("cell", "value")), ["cell", "value"]).select("a", F.col("cell").alias("b"))
+    """``cells`` (key, gx, gy, value) with ``region``: the least cell number of its connected cells of one class (four neighbours).
+
+    Blocks are labelled on their own; then only what touches the border of a block meets its neighbours, and the rounds are over pieces of blocks.
+    """
+    parts = written(pieces(cells.select(F.col(key).alias("k"), "gx", "gy", "value")), "region-pieces")
+    x, y, piece = F.col("gx").cast("long"), F.col("gy").cast("long"), F.struct("k", "y", "x")
+    place = lambda i, j: F.struct("k", (y + j).alias("y"), (x + i).alias("x")).alias("cell")
+    edge = lambda c, at: F.pmod(c, F.lit(BLOCK)) == at
+    last = [parts.where(edge(c, BLOCK - 1)).select(place(*step), "value", piece.alias("a")) for c, step in ((x, (1, 0)), (y, (0, 1)))]
+    first = parts.where(edge(x, 0) | edge(y, 0)).select(place(0, 0), "value", piece.alias("b"))
+    edges = last[0].unionByName(last[1]).join(by_sort(first), ["cell", "value"]).select("a", "b").distinct()
     labels = components(edges, "regions")
-    joined = at.join(by_sort(labels), at["cell"] == labels["node"], "left").withColumn("region", F.coalesce("label", "cell"))
-    return joined.select(key, "gx", "gy", "value", F.struct("region.y", "region.x").alias("region"))
+    joined = parts.withColumn("piece", piece).join(by_sort(labels), F.col("piece") == F.col("node"), "left").withColumn("region", F.coalesce("label", "piece"))
+    return joined.select(F.col("k").alias(key), "gx", "gy", "value", F.struct("region.y", "region.x").alias("region"))
 
 
 def fill_small_holes(cells: DataFrame, key: str, most: int = 50, grow: int = 2) -> DataFrame:

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from hydrospark.operators import iterative, polygons, selection, spatial
+from hydrospark.operators import iterative, polygons, spatial
 
 BOX = "xlo double, ylo double, xhi double, yhi double"
 RING = "array<struct<x:double,y:double>>"
@@ -69,3 +69,37 @@ def test_equal_boxes_are_compared_once_and_all_their_rows_pair(spark):
     # the cells that boxes touch, of which each box has the same whatever its rows
     more = a.unionByName(spark.createDataFrame([(k, 0.0, 0.0, 3.0, 3.0) for k in range(10, 60)], f"k long, {BOX}"))
     assert outputs(spatial.alike_overlap_join(more, b, 0.5), "Generate") == outputs(found, "Generate")
+
+
+def brute_regions(rows):
+    value, region = {(k, x, y): v for k, x, y, v in rows}, {}
+    for start in sorted(value, key=lambda c: (str(c[0]), c[2], c[1])):
+        if start in region:
+            continue
+        region[start], queue = (start[2], start[1]), [start]
+        while queue:
+            k, x, y = queue.pop()
+            for near in ((k, x + 1, y), (k, x - 1, y), (k, x, y + 1), (k, x, y - 1)):
+                if near in value and value[near] is not None and value[near] == value[k, x, y] and near not in region:
+                    region[near] = region[start]
+                    queue.append(near)
+    return region
+
+
+@pytest.mark.parametrize("block", [3, 64])
+def test_regions_as_brute_force_across_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(iterative, "BLOCK", block)
+    rng = random.Random(block)
+    rows = [(k, x, y, rng.choice((0, 1, 1, None) if k == "b" else (0, 1))) for k in "ab" for x in range(-9, 12) for y in range(-4, 15) if rng.random() < 0.9]
+    cells = spark.createDataFrame([*rows, rows[0]], "k2 string, gx int, gy long, value int")
+    found = iterative.connected_regions(cells, "k2")
+    assert found.columns == ["k2", "gx", "gy", "value", "region"] and found.count() == len(rows) + 1
+    assert {(r["k2"], r["gx"], r["gy"]): (r["region"]["y"], r["region"]["x"]) for r in found.collect()} == brute_regions(rows)
+
+
+def test_only_borders_of_blocks_are_edges(spark, monkeypatch):
+    sent, keep = [], iterative.components
+    monkeypatch.setattr(iterative, "components", lambda edges, name: (sent.append(edges.count()), keep(edges, name))[1])
+    cells = spark.range(64 * 64 + 64).selectExpr("1 AS roi_id", "id % 64 AS gx", "CAST(floor(id / 64) AS BIGINT) AS gy", "1 AS value")
+    assert iterative.connected_regions(cells, "roi_id").select("region").distinct().count() == 1
+    assert sent == [1]
