@@ -19,7 +19,7 @@ from hydrospark.operators.events import distribution_report
 from hydrospark.operators.polygons import BOUNDS, box_corners, hull_ring, union_area
 from hydrospark.operators.projections import coastal_outlets, flood_impact
 from hydrospark.operators.scenes import scene_eligibility
-from hydrospark.operators.spatial import _HULL, overlap_join, ring_area, spatial_join, zone_counts
+from hydrospark.operators.spatial import _HULL, alike_overlap_join, ring_area, spatial_join, zone_counts
 from hydrospark.plans.joins import by_sort
 from hydrospark.plans.registry import query
 from hydrospark.plans.scratch import drop_written, written
@@ -94,10 +94,10 @@ def select_sites(candidates: DataFrame, zones: DataFrame, expected: DataFrame, s
     wanted = written(wanted, "site-zones")
     open_ = rows.where("has_scenes")
     if seeds is not None:
-        open_ = open_.join(too_near(open_, seeds, [], degrees, days), "rank", "left_anti")
+        open_ = open_.join(by_sort(too_near(open_, seeds, [], degrees, days)), "rank", "left_anti")
     # half counts of sites without floods, doubled: everything below is in halves where it is about the end
     open_ = written(open_.select("rank", "continent", "id", "hybas_id", "impact", "day", "flooding", *BOUNDS, F.floor(F.date_diff("day", F.lit("2000-01-01").cast("date")) / days).alias("bucket")), "site-open")
-    zoned = zones.join(open_.select("rank", "continent", "id", "hybas_id", "flooding"), ["id", "hybas_id"]).join(wanted, ["continent", "zone"], "left").fillna(0, ["basins", "seeded"])
+    zoned = zones.join(by_sort(open_.select("rank", "continent", "id", "hybas_id", "flooding")), ["id", "hybas_id"]).join(wanted, ["continent", "zone"], "left").fillna(0, ["basins", "seeded"])
     zoned = written(zoned.select("rank", "continent", "zone", "n", "flooding", "basins", "seeded"), "site-zoned")
     boxes = written(open_.select("continent", *BOUNDS).distinct(), "site-boxes")
     # which boxes are in each other's way always (they share area), or at about the same time; by their corners, each box with itself too
@@ -111,7 +111,7 @@ def select_sites(candidates: DataFrame, zones: DataFrame, expected: DataFrame, s
         done, state = _round(open_, zoned, near, wanted, taken, slack, chunk)
         fresh = written(done.where("take").drop("take"), "site-taken")
         taken = fresh if taken is None else taken.unionByName(fresh)
-        left_over = state.join(too_near(state, fresh, ["continent"], degrees, days), "rank", "left_anti")
+        left_over = state.join(by_sort(too_near(state, fresh, ["continent"], degrees, days)), "rank", "left_anti")
         before, open_ = open_, written(left_over, "site-open")
         drop_written(before)
     return taken if taken is not None else open_
@@ -123,15 +123,15 @@ def _round(open_: DataFrame, zoned: DataFrame, near: DataFrame, wanted: DataFram
     # the least open rank of a box, at any time and by time
     by_time = open_.groupBy("continent", place, "bucket").agg(F.min("rank").alias("least"))
     ever = by_time.groupBy("continent", "box").agg(F.min("least").alias("least"))
-    other = near.join(ever.withColumnRenamed("box", "other"), ["continent", "other"])
+    other = near.join(by_sort(ever.withColumnRenamed("box", "other")), ["continent", "other"])
     always = other.where("always").groupBy("continent", "box").agg(F.min("least").alias("before"))
-    then = near.where("NOT always").join(by_time.withColumnRenamed("box", "other"), ["continent", "other"])
+    then = near.where("NOT always").join(by_sort(by_time.withColumnRenamed("box", "other")), ["continent", "other"])
     then = then.select("continent", "box", F.explode(F.expr("sequence(bucket - 1, bucket + 1)")).alias("bucket"), "least").groupBy("continent", "box", "bucket").agg(F.min("least").alias("before_then"))
     # counts of certain and of possible basins before each candidate, in its zones
     state = open_.select("rank", F.lit(True).alias("open"))
     if taken is not None:
         state = state.unionByName(taken.select("rank", F.lit(False).alias("open")))
-    z = zoned.join(state, "rank")
+    z = zoned.join(by_sort(state), "rank")
     part = lambda of, open_too: F.when(of & (F.lit(True) if open_too else ~F.col("open")), F.col("n")).otherwise(F.lit(0))
     flooded, all_ = F.col("flooding"), F.lit(True)
     halves = lambda open_too: part(flooded, open_too) * 2 + part(~flooded, open_too)
@@ -146,7 +146,7 @@ def _round(open_: DataFrame, zoned: DataFrame, near: DataFrame, wanted: DataFram
     ends = wanted.join(met, ["continent", "zone"], "left")
     at = lambda c: F.max(F.when(F.col("basins") <= F.col("seeded"), F.lit(-1).cast("long")).otherwise(F.coalesce(c, never))).alias(f"{c}_end")
     ends = ends.groupBy("continent").agg(at("sure_at"), at("may_at"))
-    rows = open_.withColumn("box", place).join(always, ["continent", "box"], "left").join(then, ["continent", "box", "bucket"], "left").join(fits, "rank", "left").join(ends, "continent", "left").fillna(0, ["n_zones", "n_fit", "n_may"])
+    rows = open_.withColumn("box", place).join(by_sort(always), ["continent", "box"], "left").join(by_sort(then), ["continent", "box", "bucket"], "left").join(by_sort(fits), "rank", "left").join(ends, "continent", "left").fillna(0, ["n_zones", "n_fit", "n_may"])
     rank = F.col("rank")
     free = (F.coalesce("before", rank) >= rank) & (F.coalesce("before_then", rank) >= rank)
     # a continent of which nothing is expected is done at once, like one whose zones are all met
@@ -165,7 +165,7 @@ def candidates_of(v) -> DataFrame:
     basins = coastal_outlets(v("g_basin"), 0).select("hybas_id", "continent", "pop_ct_usu", *BOUNDS)
     floods = v("g_flood").select("id", "dead", "displaced", F.col("began").alias("day"), *BOUNDS)
     found = scene_eligibility(v("g_scene"), v("g_scene_event")).select("basin_key", F.lit(True).alias("found"))
-    pairs = overlap_join(basins, floods, 0.1).withColumn("basin_key", F.col("hybas_id") % 40).join(found, "basin_key", "left")
+    pairs = alike_overlap_join(basins, floods, 0.1).withColumn("basin_key", F.col("hybas_id") % 40).join(found, "basin_key", "left")
     impact = flood_impact(F.col("dead"), F.col("displaced")).alias("impact")
     return pairs.select("continent", "id", "hybas_id", impact, F.col("pop_ct_usu").alias("pop"), "day", "xlo", "ylo", (F.col("xhi") + 1.5).alias("xhi"), "yhi", (F.col("id") % 3 != 0).alias("flooding"), F.coalesce("found", F.lit(False)).alias("has_scenes"))
 
@@ -177,7 +177,7 @@ def _select(v):
     # a place has the same basins whatever the flood
     places = candidates.select("continent", "hybas_id", *BOUNDS).distinct()
     zones = zone_counts(basins, places.select("hybas_id", *BOUNDS).withColumnRenamed("hybas_id", "place"), "place").withColumnsRenamed({"place": "hybas_id", "clz_cl_smj": "zone"})
-    zones = candidates.select("id", "hybas_id").join(zones, "hybas_id").select("id", "hybas_id", "zone", "n")
+    zones = candidates.select("id", "hybas_id").join(by_sort(zones), "hybas_id").select("id", "hybas_id", "zone", "n")
     expected = v("g_basin").groupBy("continent", F.col("clz_cl_smj").alias("zone")).agg(F.floor(F.count(F.lit(1)) / 4).cast("long").alias("basins"))
     sites = v("g_roi").where("type = 'kurosiwo'").join(v("g_tile").groupBy("roi_id").agg(*[(F.min if c.endswith("lo") else F.max)(c).alias(c) for c in BOUNDS]), "roi_id")
     counts = zone_counts(basins, sites.select("roi_id", *BOUNDS), "roi_id").join(sites.select("roi_id", "continent"), "roi_id").select("continent", F.col("clz_cl_smj").alias("zone"), "n")

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from hydrospark.operators import iterative, polygons, spatial
+from hydrospark.operators import iterative, polygons, selection, spatial
 
 BOX = "xlo double, ylo double, xhi double, yhi double"
 RING = "array<struct<x:double,y:double>>"
@@ -71,6 +71,23 @@ def test_equal_boxes_are_compared_once_and_all_their_rows_pair(spark):
     assert outputs(spatial.alike_overlap_join(more, b, 0.5), "Generate") == outputs(found, "Generate")
 
 
+def test_rounds_of_selection_collect_no_side(spark):
+    at = "date'2001-01-{:02}'".format
+    rows = " UNION ALL ".join(f"SELECT 1 AS continent, {i}L AS id, {i}L AS hybas_id, {90 - i} AS impact, 5 AS pop, {at(i + 1)} AS day, {9.0 * i}D AS xlo, 0D AS ylo, {9.0 * i + 1}D AS xhi, 1D AS yhi, true AS flooding, true AS has_scenes" for i in range(4))
+    candidates = spark.sql(rows)
+    zones = candidates.selectExpr("id", "hybas_id", "7 AS zone", "1L AS n")
+    expected = spark.sql("SELECT 1 AS continent, 7 AS zone, 9L AS basins")
+    plans, keep = [], selection.written
+    selection.written, back = lambda df, name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), keep(df, name))[1], keep
+    try:
+        assert selection.select_sites(candidates, zones, expected).count() == 4
+    finally:
+        selection.written = back
+    judged = [p for n, p in plans if n == "site-judged"]
+    # candidates meet counts by rank and what is in their way; only tables of zones and continents may be collected
+    assert judged and all(p.count("SortMergeJoin") >= 5 and "BroadcastHashJoin [rank" not in p for p in judged)
+
+
 def brute_regions(rows):
     value, region = {(k, x, y): v for k, x, y, v in rows}, {}
     for start in sorted(value, key=lambda c: (str(c[0]), c[2], c[1])):
