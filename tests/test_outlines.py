@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from hydrospark.operators import outlines as module
 from hydrospark.operators.outlines import outlines
 from hydrospark.operators.spatial import ring_area
 
@@ -78,3 +79,25 @@ def test_a_long_outline(spark):
             cells.add((x, y))
     got = rings_of(spark, [(1, 1, x, y) for x, y in cells])
     assert sum(g[4] for g in got) == len(cells) and sorted(s for g in got for s in unit_sides(g[3], True)) == border(cells)
+
+
+def test_blocks_change_no_outline(spark):
+    """Outlines in blocks of six corners are those in one block: rings that go round through many blocks, open ones, a key and a region that are null."""
+    rng = random.Random(3)
+    cells = [(k, rng.choice([1, 1, 1, None]), x, y) for k in (1, None) for x in range(-9, 9) for y in range(-5, 9) if rng.random() < 0.85]
+    df = spark.createDataFrame(cells, "k long, region long, gx long, gy long")
+    frame = spark.createDataFrame([(1, -9, -5, 8, 8)], "k long, x0 long, y0 long, x1 long, y1 long")
+    rows = lambda found: sorted([(r["k"], r["region"], r["closed"], [(int(p["x"]), int(p["y"])) for p in r["ring"]]) for r in found.collect()], key=repr)
+    one, many = (rows(outlines(df, "k", frame, block)) for block in (64, 6))
+    assert one == many and len(one) > 20 and {r[2] for r in one} == {True, False}
+    own = {(x, y) for k, r, x, y in cells if k is r is None}
+    assert sorted(s for r in rows(outlines(df.where("k IS NULL AND region IS NULL"), "k", None, 64)) for s in unit_sides(r[3], True)) == border(own)
+
+
+def test_rounds_are_over_pieces_of_blocks(spark, monkeypatch):
+    """Outlines within a block need no rounds; of one that goes through blocks its sides are folded."""
+    ranked, keep = [], module.nearest_stops
+    monkeypatch.setattr(module, "nearest_stops", lambda links, *more: (ranked.append(links.count()), keep(links, *more))[1])
+    cells = spark.range(200).selectExpr("1 AS k", "2 AS region", "id AS gx", "0 AS gy")
+    assert [len(r["ring"]) for r in outlines(cells.where("gx < 100"), "k").collect()] == [4] and ranked == []
+    assert [len(r["ring"]) for r in outlines(cells, "k").collect()] == [4] and ranked == [2]
