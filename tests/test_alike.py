@@ -4,6 +4,7 @@ import random
 
 import pytest
 from hydrospark.operators import iterative, polygons, selection, spatial
+from hydrospark.plans import joins
 
 BOX = "xlo double, ylo double, xhi double, yhi double"
 RING = "array<struct<x:double,y:double>>"
@@ -120,3 +121,16 @@ def test_only_borders_of_blocks_are_edges(spark, monkeypatch):
     cells = spark.range(64 * 64 + 64).selectExpr("1 AS roi_id", "id % 64 AS gx", "CAST(floor(id / 64) AS BIGINT) AS gy", "1 AS value")
     assert iterative.connected_regions(cells, "roi_id").select("region").distinct().count() == 1
     assert sent == [1]
+
+
+@pytest.mark.parametrize(("find", "share", "lot"), [(spatial._overlap, 4 / 9, 250), (spatial._overlap, 4 / 9, 7), (polygons._overlaps, None, 7)])
+def test_products_of_alike_rows_are_made_last(spark, monkeypatch, find, share, lot):
+    """Each pair of boxes stands for 30 x 40 rows, which no join gives and no rounding sees."""
+    monkeypatch.setattr(joins, "ALIKE", lot)
+    basins = spark.createDataFrame([(k, 0.0, 0.0, 3.0, 3.0) for k in range(30)] + [(30, 60.0, 0.0, 63.0, 3.0)], f"hybas_id long, {BOX}")
+    floods = spark.createDataFrame([(k, 1.0, 1.0, 5.0, 5.0) for k in range(40)] + [(40, -60.0, 0.0, -57.0, 3.0)], f"id long, {BOX}")
+    found = find({"g_basin": basins, "g_flood": floods}.__getitem__)
+    rows = found.collect()
+    assert sorted((r["hybas_id"], r["id"]) for r in rows) == [(a, b) for a in range(30) for b in range(40)]
+    assert len({tuple(r)[2:] for r in rows}) == 1 and (share is None or rows[0]["share"] == round(share, 6))
+    assert outputs(found, "Join") <= 60
