@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from hydrospark.operators import iterative, polygons, selection, spatial
+from hydrospark.operators import events, iterative, polygons, selection, spatial
 from hydrospark.plans import joins
 
 BOX = "xlo double, ylo double, xhi double, yhi double"
@@ -134,3 +134,24 @@ def test_products_of_alike_rows_are_made_last(spark, monkeypatch, find, share, l
     assert sorted((r["hybas_id"], r["id"]) for r in rows) == [(a, b) for a in range(30) for b in range(40)]
     assert len({tuple(r)[2:] for r in rows}) == 1 and (share is None or rows[0]["share"] == round(share, 6))
     assert outputs(found, "Join") <= 60
+
+
+def test_pairs_of_storms_and_floods_are_not_moved(spark):
+    """Basins come to where the pairs are made: one shuffle of each side, none of the pairs."""
+    at = "date'2000-01-{}'".format
+    floods = spark.range(8).selectExpr("id", f"{at('05')} AS began", f"{at('09')} AS ended", "CAST(id AS DOUBLE) AS xlo", "-1D AS ylo", "id + 4D AS xhi", "3D AS yhi")
+    storms = spark.range(9).selectExpr("concat('s', id) AS storm_key", f"{at('01')} AS first_track", f"{at('07')} AS last_track", "id - 3D AS xlo", "0D AS ylo", "id + 1D AS xhi", "9D AS yhi")
+    rng = random.Random(2)
+    boxes = [(k, x := rng.uniform(-5, 8), y := rng.uniform(-3, 2), x + rng.uniform(0.1, 4), y + rng.uniform(0.1, 4)) for k in range(25)] + [(99, 1.0, 1.5, 2.0, 3.0), (98, 1.0, 1.5, 2.0, 3.0)]
+    basins = spark.createDataFrame(boxes, f"hybas_id long, {BOX}")
+    found = events.storm_flood_basins(floods, storms, basins)
+    want = []
+    for f in range(8):
+        for s in range(9):
+            lo, hi = max(f, s - 3), min(f + 4, s + 1)
+            if hi > lo and (held := [k for k, x0, y0, x1, y1 in boxes if x0 <= (lo + hi) / 2 < x1 and y0 <= 1.5 < y1]):
+                want.append((f, f"s{s}", min(held)))
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) > 20
+    # only floods, storms and basins are dealt out, by their months and cells
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(px" not in plan and "hashpartitioning(id" not in plan and plan.count("hashpartitioning(m#") >= 3
