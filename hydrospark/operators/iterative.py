@@ -33,8 +33,11 @@ BLOCK = 64  # cells on a side of a block, which one task labels
 LOTS = 1024  # blocks are dealt into so many lots
 
 
-def pieces(cells: DataFrame) -> DataFrame:
-    """``cells`` (k, gx, gy, value) with ``y`` and ``x``: the least of the cells that it is connected to within its block."""
+def pieces(cells: DataFrame, steps: list[tuple[int, int]] | None = None) -> DataFrame:
+    """``cells`` (k, gx, gy, value) with ``y`` and ``x``: the least of the cells that it is connected to within its block.
+
+    Connected are cells of one value beside or above each other, or with ``steps`` (across, up) those that are a step apart.
+    """
     x, y = F.col("gx").cast("long"), F.col("gy").cast("long")
     lot = F.pmod(F.xxhash64("k", F.floor(x / BLOCK), F.floor(y / BLOCK)), F.lit(LOTS)).cast("int")
 
@@ -52,7 +55,17 @@ def pieces(cells: DataFrame) -> DataFrame:
             near = (k[a] == k[b]) & (v[a] == v[b]) & (v[a] >= 0) & (same[a] == same[b]) & (((on[a] + 1 == on[b]) & (on[a] // BLOCK == on[b] // BLOCK)) | (on[a] == on[b]))
             return place[a[near]], place[b[near]]
 
-        a, b = map(np.concatenate, zip(beside(across, gy, gx), beside(down, gx, gy)))
+        def apart(i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+            # cells in the order of across, numbered by key, value, row and column
+            row, column = gy[across] - gy.min(), gx[across] - gx.min()
+            high, wide = row.max(initial=0) + 1 + 2 * abs(j), column.max(initial=0) + 1 + 2 * abs(i)
+            at = (np.unique(k[across] * (v.max(initial=0) + 2) + v[across], return_inverse=True)[1] * high + row + abs(j)) * wide + column + abs(i)
+            there = np.minimum(np.searchsorted(at, at + j * wide + i), len(at) - 1)
+            near = (at[there] == at + j * wide + i) & (v[across] >= 0) & ((row + gy.min()) // BLOCK == (row + gy.min() + j) // BLOCK) & ((column + gx.min()) // BLOCK == (column + gx.min() + i) // BLOCK)
+            return np.flatnonzero(near), there[near]
+
+        linked = [beside(across, gy, gx), beside(down, gx, gy)] if steps is None else [beside(across, gy, gx), *(apart(i, j) for i, j in steps)]
+        a, b = map(np.concatenate, zip(*linked))
         least = np.arange(len(k))
         while True:
             low, told = np.minimum(least[a], least[b]), least.copy()
@@ -117,6 +130,13 @@ def postprocess_maps(cells: DataFrame, keep: DataFrame, ocean: DataFrame | None
     return paste_permanent_water(rows, sea.select("tile_id", "cover")).select("roi_id", "gx", "gy", F.col("pasted").alias("value"))
 
 
+def _extents(tiles: DataFrame, reach: int) -> DataFrame:
+    """``tiles`` (roi_id, tx, ty) with ``y`` and ``x``: the least of those that they are connected to within their block, by steps of up to ``reach`` in both directions."""
+    steps = [(i, j) for i in range(-reach, reach + 1) for j in range(reach + 1) if (j, i) > (0, 0)]
+    found = pieces(tiles.select(F.col("roi_id").alias("k"), F.col("tx").alias("gx"), F.col("ty").alias("gy"), F.lit(1).alias("value")), steps)
+    return found.select(F.col("k").alias("roi_id"), F.col("gx").alias("tx"), F.col("gy").alias("ty"), "y", "x")
+
+
 def _around(reach: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])
 
@@ -136,11 +156,23 @@ def grow_flood_extent(tiles: DataFrame, starts: DataFrame, reach: int = 1, most:
     spreading = F.col("flooded") & ~F.col("open")
     first = starts.select("roi_id", "tx", "ty").distinct().join(by_sort(tiles), ["roi_id", "tx", "ty"])
     if most is None:
-        carriers = tiles.where(spreading).select("roi_id", "tx", "ty", F.struct("roi_id", "tx", "ty").alias("b"))
-        near = carriers.select("b", F.explode(_around(reach)).alias("s"), "roi_id", "tx", "ty").select(F.col("b").alias("a"), "roi_id", (F.col("tx") + F.col("s.i")).alias("tx"), (F.col("ty") + F.col("s.j")).alias("ty"))
-        labels = components(near.join(by_sort(carriers), ["roi_id", "tx", "ty"]).select("a", "b"), "extent")
-        hit = first.where(spreading).select(F.struct("roi_id", "tx", "ty").alias("node")).join(by_sort(labels), "node").select("label").distinct()
-        flood = labels.join(by_sort(hit), "label", "left_semi").select("node.*")
+        carriers = tiles.where(spreading).select("roi_id", "tx", "ty")
+        parts = written(_extents(carriers, reach), "extent-pieces")
+        x, y, piece = F.col("tx").cast("long"), F.col("ty").cast("long"), F.struct("roi_id", "y", "x")
+        # only tiles that have neighbours beyond their block meet those
+        edge = lambda c: (F.pmod(c, F.lit(BLOCK)) < reach) | (F.pmod(c, F.lit(BLOCK)) >= BLOCK - reach)
+        rim = parts.where(edge(F.col("tx")) | edge(F.col("ty"))).select("roi_id", x.alias("tx"), y.alias("ty"), piece.alias("a"))
+        block = lambda x, y: F.struct(F.floor(x / BLOCK), F.floor(y / BLOCK))
+        near = rim.select("roi_id", "a", "tx", "ty", F.explode(_around(reach)).alias("s")).where(block(F.col("tx"), F.col("ty")) != block(F.col("tx") + F.col("s.i"), F.col("ty") + F.col("s.j")))
+        near = near.select("roi_id", "a", (F.col("tx") + F.col("s.i")).alias("tx"), (F.col("ty") + F.col("s.j")).alias("ty"))
+        edges = near.join(by_sort(rim.withColumnRenamed("a", "b")), ["roi_id", "tx", "ty"]).select("a", "b").distinct()
+        labels = components(edges, "extent")
+        named = parts.select("roi_id", "tx", "ty", piece.alias("piece"))
+        begun = named.join(by_sort(first.where(spreading).select("roi_id", "tx", "ty")), ["roi_id", "tx", "ty"], "left_semi").select(F.col("piece").alias("node")).distinct()
+        # a piece that a starting tile is in, and all that are connected to one
+        hit = labels.join(by_sort(begun), "node", "left_semi").select("label").distinct()
+        pieces = begun.union(labels.join(by_sort(hit), "label", "left_semi").select("node")).distinct()
+        flood = named.join(by_sort(pieces), F.col("piece") == F.col("node"), "left_semi").select("roi_id", "tx", "ty")
         return first.select("roi_id", "tx", "ty").union(_grown(flood, reach)).distinct().join(by_sort(tiles), ["roi_id", "tx", "ty"])
     frontier = written(first, "grown")
     seen = frontier

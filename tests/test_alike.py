@@ -155,3 +155,25 @@ def test_pairs_of_storms_and_floods_are_not_moved(spark):
     # only floods, storms and basins are dealt out, by their months and cells
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(px" not in plan and "hashpartitioning(id" not in plan and plan.count("hashpartitioning(m#") >= 3
+
+
+@pytest.mark.parametrize("reach", [1, 2])
+def test_extents_grow_by_blocks(spark, monkeypatch, reach):
+    """A flood through corners of blocks, and one that no start is in; only what is near to another block goes into the rounds."""
+    rng = random.Random(reach)
+    grid = [(r, x, y, rng.random() < (0.45 if reach == 1 else 0.17), rng.random() < 0.1) for r in (1, 2) for x in range(56, 76) for y in range(-9, 11)]
+    tiles = spark.createDataFrame(grid, "roi_id long, tx long, ty long, flooded boolean, open boolean")
+    starts = rng.sample([(r, x, y) for r, x, y, f, o in grid if f and not o and r == 1], 12) + [(2, 64, 0), (2, 57, 10)]
+    counted = []
+    monkeypatch.setattr(iterative, "components", lambda edges, *more, of=iterative.components: (counted.append(edges.count()), of(edges, *more))[1])
+    got = iterative.grow_flood_extent(tiles, spark.createDataFrame(starts, "roi_id long, tx long, ty long"), reach)
+    at = {(r, x, y): f and not o for r, x, y, f, o in grid}
+    seen, todo = set(starts), list(starts)
+    while todo:
+        r, x, y = todo.pop()
+        if at[r, x, y]:
+            fresh = {p for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if (p := (r, x + i, y + j)) in at} - seen
+            seen |= fresh
+            todo += fresh
+    assert sorted((r["roi_id"], r["tx"], r["ty"]) for r in got.collect()) == sorted(seen) and 40 < len(seen) < len(grid) // 2 + 20
+    assert 0 < counted[0] < sum(at.values())
